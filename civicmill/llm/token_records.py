@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,7 +40,14 @@ MASK_DELTA = 0xA282EAD8
 HEAD, ENTRY, TAIL = "<QI", "<qBB", "<I"
 
 #: A word of unaccented or Latin-1 letters, then punctuation: for these, letters and punctuation are separate pieces.
-PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: No apostrophe, which opens contractions, and no "<" or "|", of which special tokens are made.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*)")
+
+
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write the bytes that Latin-1 doesn't print: as the characters from 256 on, in order."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printed)}
 
 
 def masked_crc(data: bytes) -> int:
@@ -79,38 +87,37 @@ class WordEncoder:
 
     def __init__(self, path: str, memo_words: int = 250_000):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces, self.byte_letters = self.tokenizer.model.tokenize, byte_letters()
+        self.code = {2: "H", 4: "I"}[self.width]
         self.memo_words = memo_words
         self.words: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def core(self, word: str) -> bytes:
-        ids = self.cores.get(word)
-        if ids is None:
-            mapped = word if word.isascii() else self.byte_level.pre_tokenize_str(word)[0][0]
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], self.dtype).tobytes()
-            self.cores[word] = ids
-        return ids
-
     def word(self, word: str) -> bytes:
         plain = PLAIN_WORD.fullmatch(word)
         if not plain:
             return self.whole(word)
         letters, marks = plain.groups()
+        letters = letters.lower()
+        ids = self.cores.get(letters)
+        if ids is None:
+            mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.byte_letters)
+            ids = self.cores[letters] = array(self.code, [t.id for t in self.pieces(mapped)]).tobytes()
+        if not marks:
+            return ids
         if marks not in self.marks:
             if len(self.marks) > 10_000:
-                return self.whole(word)
+                self.marks = {}
             self.marks[marks] = self.whole(marks)
-        return self.core(letters.lower()) + self.marks[marks]
+        return ids + self.marks[marks]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         cut = [text.replace("\n", " ").split(" ") for text in texts]
@@ -131,7 +138,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def chunks(texts: list[str], n_chars: int = 4_000_000) -> Iterator[slice]:
+def chunks(texts: list[str], n_chars: int = 2_000_000) -> Iterator[slice]:
     """Slices of about ``n_chars`` characters."""
     begin = total = 0
     for i, text in enumerate(texts):
