@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicmill.llm.common import table
+from civicmill.llm.common import shared_dir, table
+from civicmill.llm.mixing import mixed
 from civicmill.llm.simhash import near_duplicates
+from civicmill.llm.token_counts import token_counts
 from civicmill.llm.token_records import token_records
 
 
@@ -18,6 +20,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache each time, so its cost doesn't hang on earlier runs; the cache is kept."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), shared_dir(spark, "token-cache"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -29,6 +41,8 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op6_token_counts": op6_token_counts,
     "op8_simhash": op8_simhash,
     "op10_token_records": op10_token_records,
 }
