@@ -12,6 +12,7 @@ from civicmill.llm.mixing import mixed
 from civicmill.llm.simhash import near_duplicates
 from civicmill.llm.token_counts import token_counts
 from civicmill.llm.token_records import token_records
+from civicmill.llm.topk import top_k
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache each time, so its cost doesn't hang on earlier runs; the cache is kept."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), shared_dir(spark, "token-cache"))
@@ -42,9 +47,24 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op8_simhash": op8_simhash,
     "op10_token_records": op10_token_records,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_topk": """
+        WITH q AS (
+            SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v)]) AS BIGINT) AS score
+            FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
