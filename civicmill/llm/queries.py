@@ -13,6 +13,7 @@ from civicmill.llm.simhash import near_duplicates
 from civicmill.llm.token_counts import token_counts
 from civicmill.llm.token_records import token_records
 from civicmill.llm.topk import top_k
+from civicmill.llm.warc import archived
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,6 +36,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), shared_dir(spark, "token-cache"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archived(table(spark, sf_dir, "pages"), min_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op10_token_records": op10_token_records,
 }
@@ -67,4 +74,20 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+        ), bits AS (
+            SELECT *, array_to_string([['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100',
+                '1101', '1110', '1111'][strpos('0123456789abcdef', hex[i])] FOR i IN range(1, 41)], '') AS bits FROM p
+        ), digests AS (
+            SELECT page_id, html, array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT)
+                + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT)] FOR i IN range(0, 32)], '') AS digest FROM bits
+        ), firsts AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest) AS first FROM digests
+        )
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM firsts
+    """,
 }
