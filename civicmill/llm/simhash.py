@@ -75,16 +75,15 @@ class Node:
 
 
 def _split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64, int, np.ndarray, np.ndarray] | None:
-    """The vantage point, of a few, that copies the fewest points over its boundary; None if none thins them out."""
-    best, found = 0.8, None
+    """The vantage point, of a few, and the boundary that leave the smallest larger half; None if none thins them out."""
+    best, found = 0.8 * len(points), None
     for k in range(tries):
-        vantage = points[(k * len(points)) // tries]
-        distance = np.bitwise_count(points ^ vantage).astype(np.int64)
-        bound = int(np.median(distance))
-        left, right = distance <= bound, distance > bound - radius
-        larger = max(left.sum(), right.sum()) / len(points)
-        if larger < best:
-            best, found = larger, (vantage, bound, left, right)
+        distance = np.bitwise_count(points ^ points[(k * len(points)) // tries])
+        within = np.cumsum(np.bincount(distance, minlength=65))
+        beyond = len(points) - np.concatenate([np.zeros(radius, np.int64), within[:-radius]]) if radius else len(points) - within
+        bound = int(np.argmin(np.maximum(within, beyond)))
+        if max(within[bound], beyond[bound]) < best:
+            best, found = max(within[bound], beyond[bound]), (points[(k * len(points)) // tries], bound, distance <= bound, distance.astype(np.int64) > bound - radius)
     return found
 
 
@@ -118,18 +117,30 @@ def route(node: Node, points: np.ndarray, at: np.ndarray, radius: int) -> Iterat
     yield from route(node.right, points, at[distance > node.bound - radius], radius)
 
 
+def _joined(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Fingerprints of many Arrow batches at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch["fp"].to_numpy(np.int64))
+        n += len(batch)
+        if n >= rows:
+            yield np.concatenate(held).view(np.uint64)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held).view(np.uint64)
+
+
 def _routed(tree: Node, radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            points = batch["fp"].to_numpy(np.int64).view(np.uint64)
+        for points in _joined(batches):
+            shards, parts, members = [], [], []
             for node, at in route(tree, points, np.arange(len(points)), radius):
-                if node.blocks == 1:
-                    yield pd.DataFrame({"shard": node.shard, "part": 0, "fp": points[at].view(np.int64)})
-                    continue
                 block = (points[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % node.blocks
                 for other in range(node.blocks):  # a pair of blocks meets where either one's row has the other
-                    low, high = np.minimum(block, other), np.maximum(block, other)
-                    yield pd.DataFrame({"shard": node.shard, "part": low * node.blocks + high, "fp": points[at].view(np.int64)})
+                    shards.append(np.full(len(at), node.shard, np.int32))
+                    parts.append((np.minimum(block, other) * node.blocks + np.maximum(block, other)).astype(np.int32))
+                    members.append(points[at].view(np.int64))
+            yield pd.DataFrame({"shard": np.concatenate(shards), "part": np.concatenate(parts), "fp": np.concatenate(members)})
 
     return run
 
@@ -180,7 +191,7 @@ def _linked(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_links(points: DataFrame, radius: int = 3, sample: int = 16384, shard_rows: int = 2048, most_shards: int = 1024) -> DataFrame:
+def near_links(points: DataFrame, radius: int = 3, sample: int = 16384, shard_rows: int = 4096, most_shards: int = 1024) -> DataFrame:
     """Links (a, b) that span the components of distinct fingerprints ``points`` (fp) under ``radius`` bits.
 
     ``sample``: fingerprints, chosen by hash, on which the driver grows the tree that deals out the shards;
