@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicmill.llm.common import shared_dir, table
+from civicmill.llm.licenses import license_scan
 from civicmill.llm.mixing import mixed
 from civicmill.llm.simhash import near_duplicates
 from civicmill.llm.token_counts import token_counts
@@ -46,6 +47,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
+    "op9_licenses": op9_licenses,
     "op10_token_records": op10_token_records,
 }
 
