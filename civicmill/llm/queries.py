@@ -14,6 +14,7 @@ from civicmill.llm.simhash import near_duplicates
 from civicmill.llm.token_counts import token_counts
 from civicmill.llm.token_records import token_records
 from civicmill.llm.topk import top_k
+from civicmill.llm.toxicity import toxicity_scores
 from civicmill.llm.warc import archived
 
 
@@ -28,6 +29,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -58,6 +63,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_toxicity": op3_toxicity,
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
