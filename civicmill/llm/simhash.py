@@ -191,11 +191,12 @@ def _linked(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_links(points: DataFrame, radius: int = 3, sample: int = 16384, shard_rows: int = 4096, most_shards: int = 1024) -> DataFrame:
+def near_links(points: DataFrame, radius: int = 3, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
     """Links (a, b) that span the components of distinct fingerprints ``points`` (fp) under ``radius`` bits.
 
-    ``sample``: fingerprints, chosen by hash, on which the driver grows the tree that deals out the shards;
-    ``most_shards`` bounds that tree, and larger shards are split further inside their tasks.
+    ``sample``: fingerprints, chosen by hash, on which the driver grows the tree that deals out the shards. What is
+    copied over boundaries grows with the number of shards, so a shard is as large as a task holds with ease and is
+    split further inside its task; ``most_shards`` bounds the tree.
     """
     n = points.count()
     picked = points if n <= sample else points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
