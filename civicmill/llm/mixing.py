@@ -110,7 +110,8 @@ def mixed(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]]
     placed = placed.withColumn("positions", F.array_compact(every))
     placed = placed.withColumn("position", F.try_element_at("positions", F.lit(1)))
     out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions")
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    place = (F.col("position").asc_nulls_last(), F.xxhash64("doc_id").asc())  # what is not taken has no position: spread by hash
+    return out.repartitionByRange(*place).sortWithinPartitions(*place)
 
 
 def mixed_documents(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]] = default_schedules, most_epochs: int = 3) -> DataFrame:
