@@ -87,8 +87,8 @@ def _split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64,
     return found
 
 
-def grow(sample: np.ndarray, radius: int, share: int) -> tuple[Node, int]:
-    """A tree whose shards hold about ``share`` points of the sample each, and its number of shards."""
+def grow(sample: np.ndarray, radius: int, share: int) -> Node:
+    """A tree whose shards hold about ``share`` points of the sample each."""
     shards = 0
 
     def build(points: np.ndarray) -> Node:
@@ -102,7 +102,7 @@ def grow(sample: np.ndarray, radius: int, share: int) -> tuple[Node, int]:
         node.left, node.right = build(points[cut[2]]), build(points[cut[3]])
         return node
 
-    return build(sample), shards
+    return build(sample)
 
 
 def route(node: Node, points: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[Node, np.ndarray]]:
@@ -117,30 +117,34 @@ def route(node: Node, points: np.ndarray, at: np.ndarray, radius: int) -> Iterat
     yield from route(node.right, points, at[distance > node.bound - radius], radius)
 
 
-def _joined(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[np.ndarray]:
-    """Fingerprints of many Arrow batches at a time."""
+def _joined(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    """Many Arrow batches at a time."""
     held, n = [], 0
     for batch in batches:
-        held.append(batch["fp"].to_numpy(np.int64))
+        held.append(batch)
         n += len(batch)
         if n >= rows:
-            yield np.concatenate(held).view(np.uint64)
+            yield pd.concat(held)
             held, n = [], 0
     if n:
-        yield np.concatenate(held).view(np.uint64)
+        yield pd.concat(held)
 
 
-def _routed(tree: Node, radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _routed(trees: list[Node], radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for points in _joined(batches):
-            shards, parts, members = [], [], []
-            for node, at in route(tree, points, np.arange(len(points)), radius):
-                block = (points[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % node.blocks
-                for other in range(node.blocks):  # a pair of blocks meets where either one's row has the other
-                    shards.append(np.full(len(at), node.shard, np.int32))
-                    parts.append((np.minimum(block, other) * node.blocks + np.maximum(block, other)).astype(np.int32))
-                    members.append(points[at].view(np.int64))
-            yield pd.DataFrame({"shard": np.concatenate(shards), "part": np.concatenate(parts), "fp": np.concatenate(members)})
+        for rows in _joined(batches):
+            points, nodes, tab = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy(np.int64), rows["tab"].to_numpy()
+            tabs, shards, parts, members = [], [], [], []
+            for t, tree in enumerate(trees):
+                for node, at in route(tree, points, np.nonzero(tab == t)[0], radius):
+                    block = (points[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % node.blocks
+                    for other in range(node.blocks):  # a pair of blocks meets where either one's row has the other
+                        tabs.append(np.full(len(at), t, np.int32))
+                        shards.append(np.full(len(at), node.shard, np.int32))
+                        parts.append((np.minimum(block, other) * node.blocks + np.maximum(block, other)).astype(np.int32))
+                        members.append(at)
+            at = np.concatenate(members)
+            yield pd.DataFrame({"tab": np.concatenate(tabs), "shard": np.concatenate(shards), "part": np.concatenate(parts), "fp": points[at].view(np.int64), "node": nodes[at]})
 
     return run
 
@@ -181,38 +185,147 @@ def forest_within(points: np.ndarray, radius: int, leaf: int = 512) -> list[tupl
     return forest.links
 
 
-def _linked(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def pairs_within(points: np.ndarray, radius: int, most: int, leaf: int = 512) -> list[tuple[int, int]] | None:
+    """All pairs of ``points`` within ``radius`` bits, or None if they are more than ``most``."""
+    found, todo = set(), [np.arange(len(points))]
+    while todo:
+        at = todo.pop()
+        cut = _split(points[at], radius) if len(at) > leaf else None
+        if cut is not None:
+            todo += [at[cut[2]], at[cut[3]]]
+            continue
+        for i in range(0, len(at), 1024):
+            near = np.bitwise_count(points[at[i : i + 1024]][:, None] ^ points[at[i:]][None, :]) <= radius
+            p, q = np.nonzero(np.triu(near, 1))
+            if len(p) > most:
+                return None
+            found.update(zip(np.minimum(at[i + p], at[i + q]).tolist(), np.maximum(at[i + p], at[i + q]).tolist(), strict=True))
+        if len(found) > most:
+            return None
+    return sorted(found)
+
+
+def _linked(radius: int, every: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        fp = np.unique(group["fp"].to_numpy(np.int64))
-        links = forest_within(fp.view(np.uint64), radius)
-        a, b = ([fp[x[k]] for x in links] for k in (0, 1))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        group = group.drop_duplicates("node")
+        nodes, points = group["node"].to_numpy(np.int64), group["fp"].to_numpy(np.int64).view(np.uint64)
+        links = pairs_within(points, radius, 4 * len(points)) if every else None
+        if links is None:  # nearest first, so that what a check may reject is the least likely to matter
+            links = [link for bits in (range(radius + 1) if every else (radius,)) for link in forest_within(points, bits)]
+        a, b = (nodes[[x[k] for x in links]] if links else np.empty(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def near_links(points: DataFrame, radius: int = 3, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
-    """Links (a, b) that span the components of distinct fingerprints ``points`` (fp) under ``radius`` bits.
+def near_links(points: DataFrame, radius: int = 3, tables: int = 1, every: bool = False, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
+    """Links (a, b) that span the components of ``points`` (node, tab, fp) under ``radius`` bits, table by table.
 
-    ``sample``: fingerprints, chosen by hash, on which the driver grows the tree that deals out the shards. What is
-    copied over boundaries grows with the number of shards, so a shard is as large as a task holds with ease and is
-    split further inside its task; ``most_shards`` bounds the tree.
+    ``every``: all links of a shard as long as they are few for its size, else the forests for each number of bits.
+    ``sample``: fingerprints per table, chosen by hash, on which the driver grows the trees that deal out the shards.
+    What is copied over boundaries grows with the number of shards, so a shard is as large as a task holds with ease
+    and is split further inside its task; ``most_shards`` bounds each tree.
     """
-    n = points.count()
-    picked = points if n <= sample else points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    drawn = np.sort(np.array([r[0] for r in picked.limit(2 * sample).collect()], np.int64)).view(np.uint64)
-    share = max(1, -(-len(drawn) * shard_rows // max(n, 1)), len(drawn) // most_shards)
-    tree, _ = grow(np.random.default_rng(0).permutation(drawn), radius, share)
-    routed = points.select("fp").mapInPandas(_routed(tree, radius), "shard int, part int, fp long")
-    return routed.groupBy("shard", "part").applyInPandas(_linked(radius), "a long, b long")
+    n = -(-points.count() // tables)
+    picked = points if n <= sample else points.where(F.pmod(F.xxhash64("node", "fp"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    drawn = picked.select("tab", "fp").limit(2 * tables * sample).toPandas().sort_values(["tab", "fp"])
+    trees = []
+    for t in range(tables):
+        mine = drawn["fp"][drawn["tab"] == t].to_numpy(np.int64).view(np.uint64)
+        share = max(1, -(-len(mine) * shard_rows // max(n, 1)), len(mine) // most_shards)
+        trees.append(grow(np.random.default_rng(0).permutation(mine), radius, share))
+    routed = points.select("node", "tab", "fp").mapInPandas(_routed(trees, radius), "tab int, shard int, part int, fp long, node long")
+    return routed.groupBy("tab", "shard", "part").applyInPandas(_linked(radius, every), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row: the component's id is the smallest ``doc_id`` reachable over links."""
     prints = fingerprints(docs, shingle)
     points = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(near_links(points, radius)).withColumnsRenamed({"node": "fp"})
+    roots = components(near_links(points.select(F.col("fp").alias("node"), F.lit(0).alias("tab"), "fp"), radius)).withColumnsRenamed({"node": "fp"})
     joined = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = saved(joined.join(ids, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _word_set_prints(texts: list[str | None], tables: int, memo: dict[bytes, bytes]) -> Iterator[np.ndarray]:
+    """Of each text, ``tables`` fingerprints of its set of words, 64 bits each."""
+    import xxhash
+
+    for text in texts:
+        words = set(words_of(text))
+        if len(memo) > 200_000:
+            memo.clear()
+        for w in words - memo.keys():
+            memo[w] = b"".join(xxhash.xxh3_128_digest(w, k) for k in range((tables + 1) // 2))
+        bits = np.unpackbits(np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint8).reshape(len(words), 16 * ((tables + 1) // 2)), axis=1)
+        yield np.packbits(2 * bits.sum(0, dtype=np.int32) > len(words)).view(np.int64)[:tables]
+
+
+def _texts_printed(tables: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        memo: dict[bytes, bytes] = {}
+        for batch in batches:
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in batch["text"]), np.int64).reshape(-1, 2)
+            prints = np.array(list(_word_set_prints(batch["text"], tables, memo)), np.int64).reshape(-1, tables)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "h1": digests[:, 0], "h2": digests[:, 1]} | {f"f{k}": prints[:, k] for k in range(tables)})
+
+    return run
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle."""
+    import xxhash
+
+    words = words_of(text)
+    found = [xxhash.xxh3_64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))] if words else []
+    return np.unique(np.array(found, np.uint64))
+
+
+def _shingled(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingle_hashes(t, size).tobytes() for t in batch["text"]]})
+
+    return run
+
+
+def _similar(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= least * (len(a) + len(b) - both))
+            yield batch.loc[keep, ["a", "b"]]
+
+    return run
+
+
+def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 3) -> DataFrame:
+    """(doc_id, group) of documents whose word shingles have a Jaccard similarity of at least ``least``, over links.
+
+    A single fingerprint of shingles differs in many bits at such a similarity, and no vantage-point tree prunes at that
+    radius. So candidates are pairs that come within ``radius`` bits under any of ``tables`` fingerprints of the set of
+    words, which a few changed words hardly move, and the similarity of their shingles is then computed exactly. Equal
+    texts, up to case of A-Z and white space, are one node from the start. ``group`` is the smallest ``doc_id`` of a
+    group; rows without a ``doc_id`` take no part.
+    """
+    small_batches(docs.sparkSession)
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = [f"f{k}" for k in range(tables)]
+    prints = saved(known.mapInPandas(_texts_printed(tables), "doc_id long, h1 long, h2 long, " + ", ".join(f"{f} long" for f in names)), "prints")
+    nodes = saved(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.min(f).alias(f) for f in names]), "nodes")
+    points = nodes.select("node", F.posexplode(F.array(*names)).alias("tab", "fp"))
+    pairs = near_links(points, radius, tables, every=True)
+    pairs = saved(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    shingles = saved(known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_shingled(shingle), "node long, shingles binary"), "shingles")
+    sides = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    roots = components(sides.select("a", "b", "x", "y").mapInPandas(_similar(least), "a long, b long"))
+    grouped = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("group"))
+    return prints.join(grouped, ["h1", "h2"]).select("doc_id", "group")
