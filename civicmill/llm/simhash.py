@@ -3,11 +3,13 @@
 A document's fingerprint has a bit for each hash bit that is set in over half of its shingles' XXH64 values. Equal
 fingerprints are one node. Nodes within ``radius`` differing bits are linked, exactly:
 
-1. A vantage-point tree is grown on a bounded hash sample of the distinct fingerprints. Each inner node holds a vantage
+1. Vantage-point trees are grown on a bounded hash sample of the distinct fingerprints. Each inner node holds a vantage
    fingerprint and a distance; nearer fingerprints go left, others right. By the triangle inequality two linked
-   fingerprints can part only if the nearer one lies within ``radius`` of the boundary, so those go right as well.
-   Each linked pair thus meets in at least one shard, whatever the sample was.
-2. Every fingerprint walks the tree in Arrow batches and is shuffled to its shards. A shard that the tree could not
+   fingerprints can part only if the nearer one lies within the tree's radius of the boundary, so those go right as
+   well. A tree measures Hamming distance over one band of the bits: of ``bands`` bands, one at least holds no more than
+   ``radius // bands`` of a pair's differing bits, so each tree prunes at that smaller radius and few fingerprints lie
+   near a boundary. Each linked pair thus meets in at least one shard of one tree, whatever the sample was.
+2. Every fingerprint walks the trees in Arrow batches and is shuffled to its shards. A shard that the tree could not
    thin out (a dense knot of near copies) is dealt as pairs of blocks, so no task holds more than its share.
 3. A shard grows the same kind of tree over its own members, compares what is left by pop-count, and returns a spanning
    forest of the links, never all pairs.
@@ -67,6 +69,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return saved(out.select(F.when(F.col("known"), F.col("key")).alias("doc_id"), "fp"), "fingerprints")
 
 
+#: All 64 bits.
+WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def band_masks(bands: int) -> list[np.uint64]:
+    """The bits of each band; bands part the 64 bits."""
+    edges = [64 * k // bands for k in range(bands + 1)]
+    return [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class Node:
     """A shard (``left`` is None) with its number of blocks, or a vantage fingerprint with a boundary distance."""
 
@@ -74,11 +86,11 @@ class Node:
         self.shard, self.blocks, self.vantage, self.bound, self.left, self.right = shard, blocks, np.uint64(0), 0, None, None
 
 
-def _split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64, int, np.ndarray, np.ndarray] | None:
+def _split(points: np.ndarray, radius: int, mask: np.uint64 = WHOLE, tries: int = 4) -> tuple[np.uint64, int, np.ndarray, np.ndarray] | None:
     """The vantage point, of a few, and the boundary that leave the smallest larger half; None if none thins them out."""
     best, found = 0.8 * len(points), None
     for k in range(tries):
-        distance = np.bitwise_count(points ^ points[(k * len(points)) // tries])
+        distance = np.bitwise_count((points ^ points[(k * len(points)) // tries]) & mask)
         within = np.cumsum(np.bincount(distance, minlength=65))
         beyond = len(points) - np.concatenate([np.zeros(radius, np.int64), within[:-radius]]) if radius else len(points) - within
         bound = int(np.argmin(np.maximum(within, beyond)))
@@ -87,13 +99,13 @@ def _split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64,
     return found
 
 
-def grow(sample: np.ndarray, radius: int, share: int) -> Node:
+def grow(sample: np.ndarray, radius: int, share: int, mask: np.uint64 = WHOLE) -> Node:
     """A tree whose shards hold about ``share`` points of the sample each."""
     shards = 0
 
     def build(points: np.ndarray) -> Node:
         nonlocal shards
-        cut = _split(points, radius) if len(points) > share else None
+        cut = _split(points, radius, mask) if len(points) > share else None
         if cut is None:
             shards += 1
             return Node(shards - 1, max(1, round(len(points) / share)))
@@ -105,16 +117,16 @@ def grow(sample: np.ndarray, radius: int, share: int) -> Node:
     return build(sample)
 
 
-def route(node: Node, points: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[Node, np.ndarray]]:
+def route(node: Node, points: np.ndarray, at: np.ndarray, radius: int, mask: np.uint64 = WHOLE) -> Iterator[tuple[Node, np.ndarray]]:
     """(shard, positions of the points that belong to it)."""
     if not len(at):
         return
     if node.left is None:
         yield node, at
         return
-    distance = np.bitwise_count(points[at] ^ node.vantage).astype(np.int64)
-    yield from route(node.left, points, at[distance <= node.bound], radius)
-    yield from route(node.right, points, at[distance > node.bound - radius], radius)
+    distance = np.bitwise_count((points[at] ^ node.vantage) & mask).astype(np.int64)
+    yield from route(node.left, points, at[distance <= node.bound], radius, mask)
+    yield from route(node.right, points, at[distance > node.bound - radius], radius, mask)
 
 
 def _joined(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd.DataFrame]:
@@ -130,13 +142,13 @@ def _joined(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd
         yield pd.concat(held)
 
 
-def _routed(trees: list[Node], radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _routed(trees: list[tuple[int, np.uint64, Node]], radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _joined(batches):
             points, nodes, tab = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy(np.int64), rows["tab"].to_numpy()
             tabs, shards, parts, members = [], [], [], []
-            for t, tree in enumerate(trees):
-                for node, at in route(tree, points, np.nonzero(tab == t)[0], radius):
+            for t, (own, mask, tree) in enumerate(trees):
+                for node, at in route(tree, points, np.nonzero(tab == own)[0], radius, mask):
                     block = (points[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % node.blocks
                     for other in range(node.blocks):  # a pair of blocks meets where either one's row has the other
                         tabs.append(np.full(len(at), t, np.int32))
@@ -218,12 +230,12 @@ def _linked(radius: int, every: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_links(points: DataFrame, radius: int = 3, tables: int = 1, every: bool = False, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
+def near_links(points: DataFrame, radius: int = 3, tables: int = 1, bands: int = 2, every: bool = False, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
     """Links (a, b) that span the components of ``points`` (node, tab, fp) under ``radius`` bits, table by table.
 
     ``every``: all links of a shard as long as they are few for its size, else the forests for each number of bits.
     ``sample``: fingerprints per table, chosen by hash, on which the driver grows the trees that deal out the shards.
-    What is copied over boundaries grows with the number of shards, so a shard is as large as a task holds with ease
+    What is copied over boundaries grows with the depth of the trees, so a shard is as large as a task holds with ease
     and is split further inside its task; ``most_shards`` bounds each tree.
     """
     n = -(-points.count() // tables)
@@ -233,8 +245,9 @@ def near_links(points: DataFrame, radius: int = 3, tables: int = 1, every: bool
     for t in range(tables):
         mine = drawn["fp"][drawn["tab"] == t].to_numpy(np.int64).view(np.uint64)
         share = max(1, -(-len(mine) * shard_rows // max(n, 1)), len(mine) // most_shards)
-        trees.append(grow(np.random.default_rng(0).permutation(mine), radius, share))
-    routed = points.select("node", "tab", "fp").mapInPandas(_routed(trees, radius), "tab int, shard int, part int, fp long, node long")
+        mine = np.random.default_rng(0).permutation(mine)
+        trees += [(t, mask, grow(mine, radius // bands, share, mask)) for mask in band_masks(bands)]
+    routed = points.select("node", "tab", "fp").mapInPandas(_routed(trees, radius // bands), "tab int, shard int, part int, fp long, node long")
     return routed.groupBy("tab", "shard", "part").applyInPandas(_linked(radius, every), "a long, b long")
 
 
