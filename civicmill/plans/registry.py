@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from civicmill.plans import aggregates, civic_views, graphs, mutations, quality, relational, scalars, streams, texts, windows  # noqa: F401  they register
+from civicmill.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "J09_conflicts"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
