@@ -270,7 +270,7 @@ def _word_set_prints(texts: list[str | None], tables: int, memo: dict[bytes, byt
         words = set(words_of(text))
         if len(memo) > 200_000:
             memo.clear()
-        for w in words - memo.keys():
+        for w in (w for w in words if w not in memo):
             memo[w] = b"".join(xxhash.xxh3_128_digest(w, k) for k in range((tables + 1) // 2))
         bits = np.unpackbits(np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint8).reshape(len(words), 16 * ((tables + 1) // 2)), axis=1)
         yield np.packbits(2 * bits.sum(0, dtype=np.int32) > len(words)).view(np.int64)[:tables]
