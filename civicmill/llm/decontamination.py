@@ -100,7 +100,7 @@ class Memo:
 
         if len(self.known) > self.most:
             self.known = {}
-        for w in set(words) - self.known.keys():
+        for w in (w for w in words if w not in self.known):
             self.known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
@@ -128,7 +128,8 @@ def _looked_up(seeds: np.ndarray, owners: list[list[int]], vocabulary: frozenset
                 if len(place):
                     keep.append(row)
                     items.append(sorted({i for p in np.unique(place) for i in owners[p]}))
-            yield batch.iloc[keep].assign(items=items)
+            if keep:
+                yield batch.iloc[keep].assign(items=items)
 
     return run
 
