@@ -122,8 +122,9 @@ class WordEncoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         here: set[str] = set().union(*cut)
-        for word in here - self.words.keys():
-            self.words[word] = self.word(word)
+        for word in here:
+            if word not in self.words:
+                self.words[word] = self.word(word)
         out = [b"".join(map(self.words.__getitem__, words)) for words in cut]
         if len(self.words) > self.memo_words:
             self.words = {word: self.words[word] for word in here} | {"": b""}
