@@ -3,10 +3,17 @@
 Each round is a grouped minimum and a join, written to the shared folder, so lineage stays one round long. A hub's
 links are spread by the join's skew handling and its minimum is combined before the shuffle; no group of links is ever
 collected. The rounds needed grow with the logarithm of the longest chain.
+
+Before the first round, blocks of links are thinned to spanning forests, which join the same nodes: a dense group sends
+about as many links through the joins as it has nodes, not as it has pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +35,30 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b); the root is the smallest node of its component."""
-    now = saved(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        keep = np.zeros(len(batch), bool)
+        for i, (a, b) in enumerate(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True)):
+            if (x := root(a)) != (y := root(b)):
+                parent[x], keep[i] = y, True
+        yield batch[keep]
+
+
+def components(links: DataFrame, most_rounds: int = 60, block: int = 250_000) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b); the root is the smallest node of its component.
+
+    ``block``: about how many links a task thins at a time.
+    """
+    once = saved(links.where("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "links")
+    blocks = max(8, -(-once.count() // block))
+    now = saved(once.repartition(blocks).mapInPandas(_thinned, "a long, b long"), "forests")
     mark = None
     for _ in range(most_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
