@@ -276,32 +276,125 @@ def _word_set_prints(texts: list[str | None], tables: int, memo: dict[bytes, byt
         yield np.packbits(2 * bits.sum(0, dtype=np.int32) > len(words)).view(np.int64)[:tables]
 
 
-def _texts_printed(tables: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def shingle_hashes(text: str | None, size: int, memo: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle. ``memo``: hashes of words, bounded."""
+    import xxhash
+
+    words, memo = words_of(text), {} if memo is None else memo
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(memo) > 300_000:
+        memo.clear()
+    for w in (w for w in words if w not in memo):
+        memo[w] = xxhash.xxh3_64_intdigest(w)
+    hashes, size = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), min(size, len(words))
+    out = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    return np.unique(out)
+
+
+def _texts_printed(tables: int, shingle: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         memo: dict[bytes, bytes] = {}
+        hashed: dict[bytes, int] = {}
         for batch in batches:
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in batch["text"]), np.int64).reshape(-1, 2)
+            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(words_of(t))) for t in batch["text"]], np.uint64).view(np.int64)
             prints = np.array(list(_word_set_prints(batch["text"], tables, memo)), np.int64).reshape(-1, tables)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h1": digests[:, 0], "h2": digests[:, 1]} | {f"f{k}": prints[:, k] for k in range(tables)})
+            sets = [shingle_hashes(t, shingle, hashed).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes, "shingles": sets} | {f"f{k}": prints[:, k] for k in range(tables)})
 
     return run
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle."""
-    import xxhash
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found, n = np.unique(np.frombuffer(b"".join(batch["shingles"]), np.uint64), return_counts=True)
+        yield pd.DataFrame({"token": found.view(np.int64), "n": n})
 
-    words = words_of(text)
-    found = [xxhash.xxh3_64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))] if words else []
-    return np.unique(np.array(found, np.uint64))
 
+def common_shingles(sets: DataFrame, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are common in a hash sample of the texts, and how often each occurs there.
 
-def _shingled(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    They only settle the order in which prefixes are filled; any order finds every pair, this one with few candidates.
+    """
+    n = sets.count()
+    drawn = sets if n <= sample else sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    counts = drawn.select("shingles").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most).toPandas()
+    tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def prefix_of(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, rarest first: sets of similarity ``least`` or more share one of these at least."""
+    counts = np.zeros(len(shingles), np.int64)
+    if len(common[0]):
+        place = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        counts = np.where(common[0][place] == shingles, common[1][place], 0)
+    kept = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, counts))[:kept]]
+
+
+def _prefixed(least: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingle_hashes(t, size).tobytes() for t in batch["text"]]})
+            sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"]]
+            found = [prefix_of(s, least, common) if len(s) else s for s in sets]
+            n = [len(f) for f in found]
+            at = np.concatenate([np.arange(k) for k in n]) if n else np.empty(0)
+            yield pd.DataFrame({"token": np.concatenate(found).view(np.int64), "node": np.repeat(batch["node"].to_numpy(np.int64), n), "size": np.repeat([len(s) for s in sets], n).astype(np.int32), "at": at.astype(np.int32)})
+
+    return run
+
+
+def crossing_pairs(rows: pd.DataFrame, least: float, every: bool, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Pairs of nodes in the same list (``token``) whose roots differ, ``block`` at a time: all that sizes and places allow, or neighbours only.
+
+    Neighbours, by size and by hash, are at most two links a row. ``every`` leaves out the pairs inside a list's largest
+    component, which need no link any more.
+    """
+    token, node, root, size, at = (rows[c].to_numpy(np.int64) for c in ("token", "node", "root", "size", "at"))
+    if not every:
+        for key in (size, node):
+            order = np.lexsort((node, key, token))
+            a, b = order[:-1], order[1:]
+            near = (token[a] == token[b]) & (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
+            yield np.unique(np.sort(np.stack([node[a[near]], node[b[near]]], axis=1), axis=1), axis=0)
+        return
+    order = np.lexsort((root, token))
+    token, node, root, size, at = (x[order] for x in (token, node, root, size, at))
+    begins = np.concatenate([[0], np.nonzero(np.diff(token))[0] + 1]) if len(token) else np.empty(0, np.int64)
+    ends = np.append(begins[1:], len(token))
+    held, n = [], 0
+    for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
+        if root[s] == root[e - 1]:
+            continue
+        names, counts = np.unique(root[s:e], return_counts=True)
+        others = s + np.nonzero(root[s:e] != names[np.argmax(counts)])[0]
+        step = max(1, block // (e - s))
+        for i in range(0, len(others), step):
+            a = others[i : i + step]
+            x, y = size[a][:, None], size[s:e][None, :]
+            left = 1 + np.minimum(x - at[a][:, None] - 1, y - at[s:e][None, :] - 1)
+            p, q = np.nonzero((root[a][:, None] != root[s:e][None, :]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9) & (left * (1 + least) >= least * (x + y) - 1e-9))
+            held.append(np.sort(np.stack([node[a[p]], node[s + q]], axis=1), axis=1))
+            n += len(p)
+            if n >= block:
+                yield np.unique(np.concatenate(held), axis=0)
+                held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def _crossing(least: float, every: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        for found in crossing_pairs(pd.concat(held), least, every) if held else ():
+            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
@@ -313,32 +406,56 @@ def _similar(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
             for x, y in zip(batch["x"], batch["y"], strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= least * (len(a) + len(b) - both))
+                keep.append(both >= least * (len(a) + len(b) - both) - 1e-9)
             yield batch.loc[keep, ["a", "b"]]
 
     return run
 
 
-def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 3) -> DataFrame:
-    """(doc_id, group) of documents whose word shingles have a Jaccard similarity of at least ``least``, over links.
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar."""
+    pairs = saved(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    shingles = saved(sets.join(wanted, "node", "left_semi").select("node", "shingles"), "shingles")
+    sides = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return saved(sides.select("a", "b", "x", "y").mapInPandas(_similar(least), "a long, b long"), "verified")
+
+
+def similar_texts(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 3, per_part: int = 1_000_000) -> DataFrame:
+    """(doc_id, digest, root) of every row with a ``doc_id``: texts of one ``root`` are linked by similarity; ``digest`` is the text's SHA-256.
 
-    A single fingerprint of shingles differs in many bits at such a similarity, and no vantage-point tree prunes at that
-    radius. So candidates are pairs that come within ``radius`` bits under any of ``tables`` fingerprints of the set of
-    words, which a few changed words hardly move, and the similarity of their shingles is then computed exactly. Equal
-    texts, up to case of A-Z and white space, are one node from the start. ``group`` is the smallest ``doc_id`` of a
-    group; rows without a ``doc_id`` take no part.
+    1. Equal texts, up to case of A-Z and white space, are one node from the start.
+    2. Links within ``radius`` bits under any of ``tables`` fingerprints of the set of words are verified. They are a head
+       start, which joins most of a large group at once, and find no more than a part of the similar pairs.
+    3. What they miss is found exactly: two sets of similarity ``least`` share a shingle among the rarest
+       ``1 - least`` of each. In the lists of such shingles, neighbours that are not joined yet are verified first, then
+       all pairs that are still apart, whatever the list's length. ``per_part``: list entries that a task holds.
     """
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("digest"), "text")
     names = [f"f{k}" for k in range(tables)]
-    prints = saved(known.mapInPandas(_texts_printed(tables), "doc_id long, h1 long, h2 long, " + ", ".join(f"{f} long" for f in names)), "prints")
-    nodes = saved(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.min(f).alias(f) for f in names]), "nodes")
-    points = nodes.select("node", F.posexplode(F.array(*names)).alias("tab", "fp"))
-    pairs = near_links(points, radius, tables, every=True)
-    pairs = saved(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    shingles = saved(known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_shingled(shingle), "node long, shingles binary"), "shingles")
-    sides = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = components(sides.select("a", "b", "x", "y").mapInPandas(_similar(least), "a long, b long"))
-    grouped = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("group"))
-    return prints.join(grouped, ["h1", "h2"]).select("doc_id", "group")
+    prints = saved(known.mapInPandas(_texts_printed(tables, shingle), "doc_id long, digest string, node long, shingles binary, " + ", ".join(f"{f} long" for f in names)), "prints")
+    sets = saved(prints.dropDuplicates(["node"]).select("node", "shingles", *names), "sets")
+    links = verified(near_links(sets.select("node", F.posexplode(F.array(*names)).alias("tab", "fp")), radius, tables), sets, least)
+
+    prefixes = saved(sets.select("node", "shingles").mapInPandas(_prefixed(least, common_shingles(sets)), "token long, node long, size int, at int"), "prefixes")
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    lists = saved(prefixes.join(shared, "token"), "lists")
+    parts = max(8, -(-lists.count() // per_part))
+    for every in (False, True):
+        roots = saved(components(links), "roots")
+        placed = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "size", "at")
+        apart = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
+        found = placed.join(apart, "token", "left_semi").repartition(parts, "token").mapInPandas(_crossing(least, every), "a long, b long")
+        links = links.union(verified(found, sets, least))
+    roots = components(links)
+    return prints.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+
+
+def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 3) -> DataFrame:
+    """(doc_id, group) of documents whose word shingles have a Jaccard similarity of at least ``least``, over links.
+
+    ``group`` is the smallest ``doc_id`` of a group; rows without a ``doc_id`` take no part.
+    """
+    found = saved(similar_texts(docs, least, shingle, tables, radius), "texts")
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("group")), "root").select("doc_id", "group")

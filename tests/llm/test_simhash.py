@@ -98,3 +98,25 @@ def test_empty_and_null_ids(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     got = near_duplicates(frame(spark, [(None, "alone here now"), (5, "alone here now"), (None, "another text entirely, quite")])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 5), (5, 5)]
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def grouped_by_brute_force(rows):
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in rows}
+    return roots(set(sets), [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and jaccard(x, y) >= 0.8])
+
+
+def test_groups_are_exact_at_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for k, n in enumerate([*range(10, 31), *range(60, 400, 20)]):
+        base = [word() for _ in range(n)]
+        for c, share in enumerate((0, 0.05, 0.1, 0.15, 0.2, 0.25)):
+            rows.append((100 * k + c, " ".join([*base, *(word() for _ in range(int(share * n)))])))
+        rows += [(100 * k + 10 + c, " ".join(base[: int((1 - share) * n)])) for c, share in enumerate((0.1, 0.15, 0.2, 0.3))]
+    got = {r["doc_id"]: r["group"] for r in similar_groups(frame(spark, rows)).collect()}
+    assert got == grouped_by_brute_force(rows)
