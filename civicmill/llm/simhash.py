@@ -197,43 +197,20 @@ def forest_within(points: np.ndarray, radius: int, leaf: int = 512) -> list[tupl
     return forest.links
 
 
-def pairs_within(points: np.ndarray, radius: int, most: int, leaf: int = 512) -> list[tuple[int, int]] | None:
-    """All pairs of ``points`` within ``radius`` bits, or None if they are more than ``most``."""
-    found, todo = set(), [np.arange(len(points))]
-    while todo:
-        at = todo.pop()
-        cut = _split(points[at], radius) if len(at) > leaf else None
-        if cut is not None:
-            todo += [at[cut[2]], at[cut[3]]]
-            continue
-        for i in range(0, len(at), 1024):
-            near = np.bitwise_count(points[at[i : i + 1024]][:, None] ^ points[at[i:]][None, :]) <= radius
-            p, q = np.nonzero(np.triu(near, 1))
-            if len(p) > most:
-                return None
-            found.update(zip(np.minimum(at[i + p], at[i + q]).tolist(), np.maximum(at[i + p], at[i + q]).tolist(), strict=True))
-        if len(found) > most:
-            return None
-    return sorted(found)
-
-
-def _linked(radius: int, every: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _linked(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node")
         nodes, points = group["node"].to_numpy(np.int64), group["fp"].to_numpy(np.int64).view(np.uint64)
-        links = pairs_within(points, radius, 4 * len(points)) if every else None
-        if links is None:  # nearest first, so that what a check may reject is the least likely to matter
-            links = [link for bits in (range(radius + 1) if every else (radius,)) for link in forest_within(points, bits)]
+        links = forest_within(points, radius)
         a, b = (nodes[[x[k] for x in links]] if links else np.empty(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def near_links(points: DataFrame, radius: int = 3, tables: int = 1, bands: int = 2, every: bool = False, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
+def near_links(points: DataFrame, radius: int = 3, tables: int = 1, bands: int = 2, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
     """Links (a, b) that span the components of ``points`` (node, tab, fp) under ``radius`` bits, table by table.
 
-    ``every``: all links of a shard as long as they are few for its size, else the forests for each number of bits.
     ``sample``: fingerprints per table, chosen by hash, on which the driver grows the trees that deal out the shards.
     What is copied over boundaries grows with the depth of the trees, so a shard is as large as a task holds with ease
     and is split further inside its task; ``most_shards`` bounds each tree.
@@ -248,7 +225,7 @@ def near_links(points: DataFrame, radius: int = 3, tables: int = 1, bands: int =
         mine = np.random.default_rng(0).permutation(mine)
         trees += [(t, mask, grow(mine, radius // bands, share, mask)) for mask in band_masks(bands)]
     routed = points.select("node", "tab", "fp").mapInPandas(_routed(trees, radius // bands), "tab int, shard int, part int, fp long, node long")
-    return routed.groupBy("tab", "shard", "part").applyInPandas(_linked(radius, every), "a long, b long")
+    return routed.groupBy("tab", "shard", "part").applyInPandas(_linked(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:

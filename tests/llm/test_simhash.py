@@ -120,3 +120,16 @@ def test_groups_are_exact_at_the_threshold(spark):
         rows += [(100 * k + 10 + c, " ".join(base[: int((1 - share) * n)])) for c, share in enumerate((0.1, 0.15, 0.2, 0.3))]
     got = {r["doc_id"]: r["group"] for r in similar_groups(frame(spark, rows)).collect()}
     assert got == grouped_by_brute_force(rows)
+
+
+def test_a_large_group_near_the_threshold_stays_whole(spark):
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(500):  # the words' set hardly moves, so all copies are within a few bits; many links are below 0.8
+        copy = list(base)
+        for _ in range(int(rng.integers(1, 5))):
+            a = int(rng.integers(110))
+            copy[a], copy[a + 7] = copy[a + 7], copy[a]
+        rows.append((i, " ".join(copy)))
+    got = {r["doc_id"]: r["group"] for r in similar_groups(frame(spark, rows)).collect()}
+    assert got == grouped_by_brute_force(rows)
