@@ -80,15 +80,17 @@ def source_targets(totals: DataFrame, schedules: Callable[[Column], tuple[Column
     return ranked.select("source", "rank", "source_size", "weight", "schedule", target.alias("target"))
 
 
-def mixed(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]] = default_schedules, most_epochs: int = 3) -> DataFrame:
+def mixed(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]] = default_schedules, most_epochs: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, position, positions), range-sorted by first position.
 
+    ``keys``: columns that tell rows apart and are carried along; they also settle ties of the order.
+
     ``taken`` are the words that the mix takes of a document, repeats counted: a source's sum is its rounded target.
     ``positions`` has the training position of each of its readings; the last reading of a source may stop within a
     document.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = saved(docs.select("doc_id", "source", *keys, word_count(F.col("text")).alias("size")), "sizes")
     totals = saved(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = saved(source_targets(totals, schedules, most_epochs), "targets").withColumnRenamed("source", "named")
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("order", order)
@@ -96,7 +98,7 @@ def mixed(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]]
     sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("rank", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "bucket").orderBy("order", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(offsets, ["rank", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     words = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
@@ -109,7 +111,7 @@ def mixed(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]]
     every = F.array(*[F.when(readings > k, position_at(at(F.lit(k)), F.col("schedule"))) for k in range(most_epochs)])
     placed = placed.withColumn("positions", F.array_compact(every))
     placed = placed.withColumn("position", F.try_element_at("positions", F.lit(1)))
-    out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions")
+    out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions", *keys)
     place = (F.col("position").asc_nulls_last(), F.xxhash64("doc_id").asc())  # what is not taken has no position: spread by hash
     return out.repartitionByRange(*place).sortWithinPartitions(*place)
 
@@ -117,10 +119,12 @@ def mixed(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]]
 def mixed_documents(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]] = default_schedules, most_epochs: int = 3) -> DataFrame:
     """The documents in training order: a row for each reading that takes over half of the document's words.
 
-    ``doc_id`` must be unique; documents that the mix does not take go.
+    Documents that the mix does not take go. Each row gets a key, made once and saved, by which it meets its own
+    readings, so rows without a ``doc_id`` are read as well, and rows that share one are read as often as the mix says.
     """
-    plan = saved(mixed(docs, schedules, most_epochs).select("doc_id", "size", "taken", "positions"), "plan")
+    rows = saved(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    plan = saved(mixed(rows, schedules, most_epochs, ("row_key",)).select("row_key", "size", "taken", "positions"), "plan")
     readings = F.slice("positions", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
-    readings = plan.where("taken > 0").select(F.col("doc_id").alias("taken_id"), F.explode(readings).alias("position"))
-    rows = docs.join(readings, docs["doc_id"] == F.col("taken_id")).drop("taken_id")
-    return rows.repartitionByRange("position").sortWithinPartitions("position", "doc_id").drop("position")
+    readings = plan.where("taken > 0").select("row_key", F.explode(readings).alias("position"))
+    read = rows.join(readings, "row_key")
+    return read.repartitionByRange("position").sortWithinPartitions("position", "doc_id", "row_key").drop("position", "row_key")

@@ -15,7 +15,7 @@ from civicmill.llm.common import saved, table
 from civicmill.llm.decontamination import contaminated_documents
 from civicmill.llm.mixing import mixed_documents
 from civicmill.llm.queries import tokenizer_file
-from civicmill.llm.simhash import similar_groups
+from civicmill.llm.simhash import similar_texts
 from civicmill.llm.token_records import token_records
 from civicmill.llm.toxicity import toxicity_scores
 
@@ -28,9 +28,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies the document with the smallest ``doc_id`` stays: five-word shingles, similarity 0.8."""
-    gone = similar_groups(docs).where(F.col("doc_id") != F.col("group")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of copies the document with the smallest ``doc_id`` stays: five-word shingles, similarity 0.8.
+
+    Of several texts of that ``doc_id`` in a group the one with the smallest digest stays, of repeated rows of one
+    ``doc_id`` and text the smallest row. Rows without a ``doc_id`` all stay.
+    """
+    found = saved(similar_texts(docs), "texts")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept"))
+    gone = found.join(kept, "root").where(F.struct("doc_id", "digest") != F.col("kept")).select("doc_id", "digest").distinct()
+    repeated = found.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
+    keyed = docs.withColumn("digest", F.sha2("text", 256))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & keyed["digest"].eqNullSafe(other["digest"])
+    single = keyed.join(gone, same(gone), "left_anti").join(repeated, same(repeated), "left_anti").drop("digest")
+    again = keyed.join(repeated, same(repeated), "left_semi").join(gone, same(gone), "left_anti")
+    once = again.groupBy("doc_id", "digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.union(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

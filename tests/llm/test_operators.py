@@ -14,7 +14,7 @@ import corpus_pipeline
 from civicmill.llm import queries
 from civicmill.llm.decontamination import contaminated_documents, tiles
 from civicmill.llm.licenses import license_scan
-from civicmill.llm.mixing import mixed
+from civicmill.llm.mixing import mixed, mixed_documents
 from civicmill.llm.substrings import deduplicated, repeated_units, units
 from civicmill.llm.token_counts import token_counts
 from civicmill.llm.token_records import frame, frames, token_records
@@ -203,3 +203,15 @@ def test_pipeline(spark):
         before = spark.createDataFrame(kept.collect(), docs.schema)
     out = corpus_pipeline.STAGES[-1][1](spark, before, SF).collect()
     assert len(out) == before.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_stages_on_null_and_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, words(0), "en", "a", 1), (None, words(0), "en", "a", 1), (1, words(1), "en", "a", 1), (1, words(1), "en", "a", 1), (1, words(1), "en", "a", 1)]
+    rows += [(1, words(2), "en", "a", 1), (2, words(1), "en", "a", 1), (3, words(3), "en", "a", 1), (4, None, "en", "a", 1), (4, None, "en", "a", 1)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), SF)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert got == [(0, words(0)), (0, words(0)), (1, words(1)), (1, words(2)), (3, words(3)), (4, "")]
+    read = mixed_documents(spark.createDataFrame(rows, schema)).collect()  # one source: each row is read once
+    assert sorted(map(str, read)) == sorted(str(r) for r in spark.createDataFrame([r for r in rows if r[1]], schema).collect())
