@@ -1,7 +1,7 @@
 """License scans with a positional rare-token index, in DataFrame functions throughout.
 
 The index holds, for each template, the positions of its highest-IDF words, its anchors; document frequencies are
-counted over all documents. A file's own highest-IDF licence words are looked up in it. Every hit votes for a relative
+counted over all documents. All of a file's words that the index has are looked up in it. Every hit votes for a relative
 position (place in the file minus place in the template); the votes' IDF weight, over the weight of all the template's
 anchors, is how much of the template stands there in order. A template counts if that share reaches ``least`` and its
 mandatory key phrase stands in the file. Beside it, base phrases are counted wherever their words stand in a row.
@@ -101,17 +101,17 @@ def starts(words: Column, phrase: str) -> Column:
     return F.array_compact(F.transform(words, here))
 
 
-def license_scan(docs: DataFrame, least: float = 0.75, anchors: int = 6, file_words: int = 12) -> DataFrame:
+def license_scan(docs: DataFrame, least: float = 0.75, anchors: int = 6) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    ``anchors``: index words per template; ``file_words``: how many of a file's licence words, rarest first, are
-    looked up. ``score`` is the largest share of a verified template that stands in order, 0 without one.
+    ``anchors``: index words per template. ``score`` is the largest share of a verified template that stands in order,
+    0 without one.
     """
     spark = docs.sparkSession
     n, frequencies = document_frequencies(docs)
     idf = weights(n, frequencies)
     index = F.broadcast(spark.createDataFrame(postings(idf, anchors), "word string, label string, place int, weight double, whole double"))  # of fixed size
-    indexed = rarest({p[0] for p in postings(idf, anchors)}, idf, len(VOCABULARY))
+    indexed = sorted({p[0] for p in postings(idf, anchors)})
 
     text = F.coalesce("text", F.lit(""))
     lowered = docs.select("doc_id", text.alias("text"), ascii_lower(text).alias("lowered"))
@@ -123,7 +123,7 @@ def license_scan(docs: DataFrame, least: float = 0.75, anchors: int = 6, file_wo
         rows = rows.withColumn(label, F.when(F.col("words").isNotNull(), starts(F.col("words"), phrase)))
 
     files = lowered.where(keyed).select(F.sha2("text", 256).alias("digest"), words_in(F.col("lowered")).alias("words"))
-    rare = F.slice(F.array_intersect(F.array(*map(F.lit, indexed)), "words"), 1, file_words)
+    rare = F.array_intersect(F.array(*map(F.lit, indexed)), "words")
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     verified = F.array_compact(F.array(*[F.when(joined.contains(f" {phrase} "), F.lit(label)) for label, (_, phrase) in TEMPLATES.items()]))
     files = files.withColumns({"rare": rare, "verified": verified}).where((F.size("rare") > 0) & (F.size("verified") > 0)).dropDuplicates(["digest"])

@@ -13,7 +13,7 @@ import pytest
 import corpus_pipeline
 from civicmill.llm import queries
 from civicmill.llm.decontamination import contaminated_documents, tiles
-from civicmill.llm.licenses import license_scan
+from civicmill.llm.licenses import TEMPLATES, license_scan
 from civicmill.llm.mixing import mixed, mixed_documents
 from civicmill.llm.substrings import deduplicated, repeated_units, units
 from civicmill.llm.token_counts import token_counts
@@ -215,3 +215,12 @@ def test_pipeline_stages_on_null_and_repeated_ids(spark):
     assert got == [(0, words(0)), (0, words(0)), (1, words(1)), (1, words(2)), (3, words(3)), (4, "")]
     read = mixed_documents(spark.createDataFrame(rows, schema)).collect()  # one source: each row is read once
     assert sorted(map(str, read)) == sorted(str(r) for r in spark.createDataFrame([r for r in rows if r[1]], schema).collect())
+
+
+def test_files_with_several_notices_keep_all_labels(spark):
+    notices = ["apache-2.0", "mit-text", "bsd", "gpl-3.0", "mpl-2.0"]
+    common = "any copy code files free source software terms work version public person form use "
+    rows = [(1, ". ".join(TEMPLATES[n][0] for n in notices), "a"), (2, ". ".join(TEMPLATES[n][0] for n in notices[1:3]), "a"), (3, common * 50 + TEMPLATES["bsd"][0], "a")]
+    rows += [(10 + k, f"ordinary text number {k} about the weather", "a") for k in range(60)] + [(100 + k, common, "b") for k in range(9)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan(docs_of(spark, rows)).collect()}
+    assert got[1] >= set(notices) and got[2] >= set(notices[1:3]) and got[3] >= {"bsd"}
