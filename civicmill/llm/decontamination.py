@@ -3,7 +3,8 @@
 Documents and benchmark items become word sequences. A pair is a candidate if it shares a seed, ``seed_words`` words in
 a row, found by joining Karp-Rabin hashes. For each candidate pair the longest matches that do not overlap are marked
 again and again, none shorter than ``tile_words``; the share of the item's words under tiles is its coverage, so a
-passage counts however its parts are ordered. A pair from ``least`` on is contamination.
+passage counts however its parts are ordered. A pair from ``least`` on is contamination, and so is a pair with one tile
+of ``long_tile`` words or more, which a long item may hold besides much else.
 
 The benchmark's seeds are looked up from a broadcast while there are at most ``most_seeds`` of them, which is counted
 first; larger benchmarks meet the documents' windows in a shuffled join. Texts travel only for candidate documents.
@@ -167,7 +168,7 @@ def candidates(docs: DataFrame, items: DataFrame, seed_words: int, most_seeds: i
 def _tiled(tile_words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            coverage, counts = [], []
+            coverage, counts, longest = [], [], []
             last, words = None, []
             for text, item_text in zip(batch["text"], batch["item_text"], strict=True):
                 if text is not last:
@@ -176,18 +177,19 @@ def _tiled(tile_words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
                 found = tiles(item, words, tile_words)
                 coverage.append(sum(n for _, _, n in found) / len(item))
                 counts.append(len(found))
-            yield batch[["key", "known", "item"]].assign(coverage=coverage, n_tiles=counts)
+                longest.append(max((n for _, _, n in found), default=0))
+            yield batch[["key", "known", "item"]].assign(coverage=coverage, n_tiles=counts, longest=longest)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, tile_words: int = 4, least: float = 0.5, most_seeds: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles) of every pair whose coverage reaches ``least``."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, tile_words: int = 4, least: float = 0.5, long_tile: int = 30, most_seeds: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles) of every pair whose coverage reaches ``least`` or that has a tile of ``long_tile`` words."""
     small_batches(docs.sparkSession)
     items = saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"]), "items")
     pairs = candidates(docs, items.select("item", "text"), seed_words, most_seeds).select("key", "known", "text", F.explode("items").alias("item"))
     texts = pairs.join(items.select("item", F.col("text").alias("item_text")), "item").select("key", "known", "item", "text", "item_text")
-    tiled = texts.mapInPandas(_tiled(tile_words), "key long, known boolean, item long, coverage double, n_tiles int").where(F.col("coverage") >= least)
+    tiled = texts.mapInPandas(_tiled(tile_words), "key long, known boolean, item long, coverage double, n_tiles int, longest int").where((F.col("coverage") >= least) | (F.col("longest") >= long_tile))
     return tiled.join(items.select("item", "item_id"), "item").select(F.when(F.col("known"), F.col("key")).alias("doc_id"), "item_id", "coverage", "n_tiles")
 
 

@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold half of a benchmark item, in any order, go."""
+    """Documents that hold half of a benchmark item, in any order, or 30 words of one in a row go."""
     found = contaminated_documents(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 

@@ -224,3 +224,13 @@ def test_files_with_several_notices_keep_all_labels(spark):
     rows += [(10 + k, f"ordinary text number {k} about the weather", "a") for k in range(60)] + [(100 + k, common, "b") for k in range(9)]
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan(docs_of(spark, rows)).collect()}
     assert got[1] >= set(notices) and got[2] >= set(notices[1:3]) and got[3] >= {"bsd"}
+
+
+def test_long_passages_and_short_seeds_of_items_are_found(spark):
+    words = [f"w{k}" for k in range(200)]
+    pieces = [f"v{k}" for k in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(words), 0), (2, " ".join(pieces), 0)], "item_id long, text string, doc_id int")
+    turned = " ".join(" ".join(pieces[i : i + 4]) for i in range(36, -1, -4))
+    rows = [(10, "before " + " ".join(words[50:140]) + " after", "a"), (11, turned, "a"), (12, " ".join(words[:25]), "a")]
+    for settings in ({}, {"most_seeds": 0}):
+        assert {r["doc_id"]: r["items"] for r in contaminated_documents(docs_of(spark, rows), benchmark, **settings).collect()} == {10: "1", 11: "2"}
