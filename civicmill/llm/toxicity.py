@@ -90,7 +90,9 @@ def features(text: str | None, lexicon: dict[str, float], known: dict[str, float
     size = int(octets.sum())
     letters = int(octets[65:91].sum() + octets[97:123].sum()) or 1
     disguised = DISGUISED.findall(text)
-    plain = [re.sub(r"[^a-z]", "", d.lower().translate(LEET)) for d in disguised[:1000]]
+    plain = Counter()
+    for d, k in Counter(disguised).items():
+        plain[re.sub(r"[^a-z]", "", d.lower().translate(LEET))] += k
     return [
         math.log1p(len(words)),
         insults,
@@ -111,7 +113,7 @@ def features(text: str | None, lexicon: dict[str, float], known: dict[str, float
         int(octets[48:58].sum()) / size,
         len(SHOUT.findall(text)) / n,
         len(disguised) / n,
-        sum(w in INSULTS or weight_of(w, lexicon) > 0 for w in plain),
+        sum(k for w, k in plain.items() if w in INSULTS or weight_of(w, lexicon) > 0),
     ]
 
 

@@ -234,3 +234,11 @@ def test_long_passages_and_short_seeds_of_items_are_found(spark):
     rows = [(10, "before " + " ".join(words[50:140]) + " after", "a"), (11, turned, "a"), (12, " ".join(words[:25]), "a")]
     for settings in ({}, {"most_seeds": 0}):
         assert {r["doc_id"]: r["items"] for r in contaminated_documents(docs_of(spark, rows), benchmark, **settings).collect()} == {10: "1", 11: "2"}
+
+
+def test_disguised_words_are_read_to_the_end():
+    from civicmill.llm.toxicity import DISGUISED, INSULTS, features
+
+    word = next(d for w in sorted(INSULTS) for d in (w.replace("i", "1", 1), w.replace("o", "0", 1)) if d != w and DISGUISED.findall(f"a {d} b"))
+    codes = " ".join(f"q{k}z{k}q" for k in range(3000))
+    assert features(f"{codes} {word} {word}", {}, {})[-1] == features(codes, {}, {})[-1] + 2
