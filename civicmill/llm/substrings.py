@@ -1,14 +1,16 @@
 """Substring dedup by hashing units of text.
 
 A text is cut into lines and those into sentences; a passage that was pasted into the middle of a paragraph still
-shares its inner sentences. Units are normalised (lower case, punctuation at word edges and white space dropped), and
-those of at least ``min_words`` words are digested to 128 bits with their offsets in the original text. Digests are
-grouped over all documents: the occurrence with the smallest (doc_id, offset) is kept, all others are removed.
+shares its inner sentences. Units are normalised (lower case, punctuation at word edges and white space dropped). They
+are every line, of any length; every sentence of at least ``min_words`` words; and every shorter sentence together with
+as many of those after it, and with as many of those before it, in its line as make up ``min_words``, so that any
+repeated run of sentences of that length is covered. Units are digested to 128 bits with their offsets in the original
+text; of equal ones that overlap in a text the first counts. Digests are grouped over all documents: the occurrence with the smallest (doc_id, offset) is kept, all others are removed.
 
 The group's keeper is a grouped minimum, combined before the shuffle, and meets the units in a join that splits hot
 keys, so a line that a third of the rows share needs no group in one task.
 
-Edge cases: null and empty texts have no units; null ids rank last; rows that share a ``doc_id`` count as one document
+Edge cases: null and empty texts, and lines without a letter or digit beside punctuation, have no units; null ids rank last; rows that share a ``doc_id`` count as one document
 and lose nothing to each other; repeats inside a document go after its first one; an empty table gives an empty result;
 other columns are not looked at.
 """
@@ -25,20 +27,48 @@ from pyspark.sql import functions as F
 
 from civicmill.llm.common import saved, small_batches
 
+LINE = re.compile(r"[^\n]+")
 UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 EDGES = ".,;:!?\"'()[]«»“”*#%&$-"
 LAST = (1 << 63) - 1
 
 
-def units(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised unit), offsets in code points of the original text, blanks at its ends left out."""
-    for m in UNIT.finditer(text):
+def _spans(line: str, offset: int, min_words: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised unit) of a line and of its sentences, not sorted."""
+    pieces = []
+    for m in UNIT.finditer(line):
         raw = m.group()
-        words = raw.split()
-        if len(words) >= min_words and len(words := [w for w in (x.strip(EDGES) for x in words) if w]) >= min_words:
+        if words := [w for w in (x.strip(EDGES) for x in raw.split()) if w]:
             body = raw.strip()
-            start = m.start() + raw.index(body[0])
-            yield start, start + len(body), " ".join(words).lower()
+            start = offset + m.start() + raw.index(body[0])
+            pieces.append((start, start + len(body), " ".join(words).lower(), len(words)))
+    body = line.strip()
+    if not (whole := " ".join(w for w in (x.strip(EDGES) for x in body.split()) if w).lower()):
+        return
+    start = offset + line.index(body[0])
+    yield start, start + len(body), whole
+    for i, (start, end, unit, n) in enumerate(pieces):
+        if n >= min_words:
+            yield start, end, unit
+            continue
+        for step in (1, -1):
+            k, total = i, n
+            while total < min_words and 0 <= k + step < len(pieces):
+                k += step
+                total += pieces[k][3]
+            if total >= min_words:
+                run = pieces[min(i, k) : max(i, k) + 1]
+                yield run[0][0], run[-1][1], " ".join(p[2] for p in run)
+
+
+def units(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised unit), offsets in code points of the original text, blanks at its ends left out."""
+    ends: dict[str, int] = {}
+    for m in LINE.finditer(text):
+        for start, end, unit in sorted(_spans(m.group(), m.start(), min_words), key=lambda u: (u[0], -u[1])):
+            if start >= ends.get(unit, 0):
+                ends[unit] = end
+                yield start, end, unit
 
 
 def _digested(min_words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -242,3 +242,12 @@ def test_disguised_words_are_read_to_the_end():
     word = next(d for w in sorted(INSULTS) for d in (w.replace("i", "1", 1), w.replace("o", "0", 1)) if d != w and DISGUISED.findall(f"a {d} b"))
     codes = " ".join(f"q{k}z{k}q" for k in range(3000))
     assert features(f"{codes} {word} {word}", {}, {})[-1] == features(codes, {}, {})[-1] + 2
+
+
+def test_short_lines_and_short_sentences_go_too(spark):
+    shouted = " ".join(f"W{k}!!" for k in range(60))
+    passage = "First of all this is a long enough sentence. Yes. No. Then comes another sentence that is long enough."
+    rows = [(1, f"All rights reserved.\nOwn one.\n{shouted}\n{passage}", "a"), (2, f"Own two.\nAll rights reserved.\n{shouted}", "a"), (3, f"Other words. {passage} Other end.\nOwn three.", "a"), (4, "Go! " * 13, "a")]
+    kept = {r["doc_id"]: r["text"] for r in deduplicated(docs_of(spark, rows)).collect()}
+    assert kept[1] == rows[0][1] and kept[2].split() == ["Own", "two."]
+    assert kept[3].split() == "Other words. Other end. Own three.".split() and kept[4].split() == ["Go!"] * 7  # the first six, and a rest shorter than a unit
