@@ -271,39 +271,54 @@ def shingle_hashes(text: str | None, size: int, memo: dict[bytes, int] | None =
     return np.unique(out)
 
 
-def _texts_printed(tables: int, shingle: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def node_ids(texts: list[str | None]) -> np.ndarray:
+    """A number for each text, the same for texts that are equal up to case of A-Z and white space."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(b" ".join(words_of(t))) for t in texts], np.uint64).view(np.int64)
+
+
+def _shingled(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+        memo: dict[bytes, int] = {}
+        for batch in batches:
+            yield pd.DataFrame({"node": node_ids(batch["text"]), "shingles": [shingle_hashes(t, size, memo).tobytes() for t in batch["text"]]})
 
+    return run
+
+
+def _texts_printed(tables: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, bytes] = {}
-        hashed: dict[bytes, int] = {}
         for batch in batches:
-            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(words_of(t))) for t in batch["text"]], np.uint64).view(np.int64)
+            nodes = node_ids(batch["text"])
             prints = np.array(list(_word_set_prints(batch["text"], tables, memo)), np.int64).reshape(-1, tables)
-            sets = [shingle_hashes(t, shingle, hashed).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes, "shingles": sets} | {f"f{k}": prints[:, k] for k in range(tables)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes} | {f"f{k}": prints[:, k] for k in range(tables)})
 
     return run
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found, n = np.unique(np.frombuffer(b"".join(batch["shingles"]), np.uint64), return_counts=True)
-        yield pd.DataFrame({"token": found.view(np.int64), "n": n})
+def _counted(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[bytes, int] = {}
+        for batch in batches:
+            found, n = np.unique(np.concatenate([shingle_hashes(t, size, memo) for t in batch["text"]]), return_counts=True)
+            yield pd.DataFrame({"token": found.view(np.int64), "n": n})
+
+    return run
 
 
-def common_shingles(sets: DataFrame, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are common in a hash sample of the texts, and how often each occurs there.
+def common_shingles(known: DataFrame, size: int, n: int, sample: int = 8_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are common in a hash sample of the ``n`` texts, and how often each occurs there.
 
     They only settle the order in which prefixes are filled; any order finds every pair, this one with few candidates.
     """
-    n = sets.count()
-    drawn = sets if n <= sample else sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    counts = drawn.select("shingles").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    drawn = known if n <= sample else known.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    counts = drawn.select("text").mapInPandas(_counted(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most).toPandas()
-    tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    tokens, n_found = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
-    return tokens[order], n[order]
+    return tokens[order], n_found[order]
 
 
 def prefix_of(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -316,10 +331,12 @@ def prefix_of(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.n
     return shingles[np.lexsort((shingles, counts))[:kept]]
 
 
-def _prefixed(least: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _prefixed(size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[bytes, int] = {}
         for batch in batches:
-            sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"]]
+            batch = batch.assign(node=node_ids(batch["text"])).drop_duplicates("node")
+            sets = [shingle_hashes(t, size, memo) for t in batch["text"]]
             found = [prefix_of(s, least, common) if len(s) else s for s in sets]
             n = [len(f) for f in found]
             at = np.concatenate([np.arange(k) for k in n]) if n else np.empty(0)
@@ -328,6 +345,22 @@ def _prefixed(least: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[
     return run
 
 
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition whose ``token`` more than one node has, each once."""
+    if not (held := list(batches)):
+        return
+    rows = pd.concat(held)
+    token, node = rows["token"].to_numpy(), rows["node"].to_numpy()
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    first = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+    order, token = order[first], token[first]
+    same = token[1:] == token[:-1]
+    keep = order[np.append(same, False) | np.append(False, same)]
+    for i in range(0, len(keep), 1 << 16):
+        yield rows.iloc[keep[i : i + (1 << 16)]]
+
+
 def crossing_pairs(rows: pd.DataFrame, least: float, every: bool, block: int = 1 << 20) -> Iterator[np.ndarray]:
     """Pairs of nodes in the same list (``token``) whose roots differ, ``block`` at a time: all that sizes and places allow, or neighbours only.
 
@@ -389,11 +422,13 @@ def _similar(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar."""
+def verified(pairs: DataFrame, known: DataFrame, nodes: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar. ``nodes``: (node, doc_id) of a text of each."""
     pairs = saved(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shingles = saved(sets.join(wanted, "node", "left_semi").select("node", "shingles"), "shingles")
+    owners = nodes.join(wanted, "node", "left_semi").select("doc_id").distinct()
+    texts = known.join(owners, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"]).select("text")
+    shingles = saved(texts.mapInPandas(_shingled(shingle), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
     sides = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return saved(sides.select("a", "b", "x", "y").mapInPandas(_similar(least), "a long, b long"), "verified")
 
@@ -411,20 +446,20 @@ def similar_texts(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables:
     small_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("digest"), "text")
     names = [f"f{k}" for k in range(tables)]
-    prints = saved(known.mapInPandas(_texts_printed(tables, shingle), "doc_id long, digest string, node long, shingles binary, " + ", ".join(f"{f} long" for f in names)), "prints")
-    sets = saved(prints.dropDuplicates(["node"]).select("node", "shingles", *names), "sets")
-    links = verified(near_links(sets.select("node", F.posexplode(F.array(*names)).alias("tab", "fp")), radius, tables), sets, least)
-
-    prefixes = saved(sets.select("node", "shingles").mapInPandas(_prefixed(least, common_shingles(sets)), "token long, node long, size int, at int"), "prefixes")
-    shared = prefixes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    lists = saved(prefixes.join(shared, "token"), "lists")
-    parts = max(8, -(-lists.count() // per_part))
+    prints = saved(known.mapInPandas(_texts_printed(tables), "doc_id long, digest string, node long, " + ", ".join(f"{f} long" for f in names)), "prints")
+    nodes = saved(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(f).alias(f) for f in names]), "nodes")
+    links = verified(near_links(nodes.select("node", F.posexplode(F.array(*names)).alias("tab", "fp")), radius, tables), known, nodes, least, shingle)
+
+    size = known.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).first()
+    prefixes = known.select("text").mapInPandas(_prefixed(shingle, least, common_shingles(known, shingle, size["n"])), "token long, node long, size int, at int")
+    parts = max(8, -(-int((1 - least) * (size["size"] or 0) / 6) // per_part))  # a word and its blank are six characters or so
+    lists = saved(prefixes.repartition(parts, "token").mapInPandas(_shared, "token long, node long, size int, at int"), "lists")
     for every in (False, True):
         roots = saved(components(links), "roots")
         placed = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "size", "at")
         apart = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
         found = placed.join(apart, "token", "left_semi").repartition(parts, "token").mapInPandas(_crossing(least, every), "a long, b long")
-        links = links.union(verified(found, sets, least))
+        links = links.union(verified(found, known, nodes, least, shingle))
     roots = components(links)
     return prints.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
