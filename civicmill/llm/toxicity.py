@@ -2,14 +2,16 @@
 
 Features of a whole text: how densely it uses an insult list and a lexicon mined from labelled training rows, how near
 those words stand to a second person, capitals, punctuation, and obfuscated spellings. The lexicon holds words and word
-beginnings whose log-odds between toxic and other labelled documents stand out; a training document's own features use
-the lexicon of the other folds, so the trees never see a lexicon that its label helped to choose.
+beginnings whose log-odds between toxic and other labelled documents stand out. While the trees are fitted, a training
+document's features use the lexicon of the other folds, so the trees never see a lexicon that its label helped to
+choose; every row is then scored with the whole lexicon, so equal texts have equal scores, labelled or not.
 
 The model is fitted on at most ``sample`` labelled rows, chosen by hash; everything else covers every row. Trees and
-calibration are Spark ML's; the mined lexicon has at most ``lexicon`` entries.
+calibration are Spark ML's; the mined lexicon has at most ``lexicon`` entries. Features take time in proportion to the
+text, whatever it holds: the patterns never try a run of letters twice.
 
 Edge cases: null and empty texts have all features 0 and are scored like any other; null labels and null ids teach
-nothing; of several labels of a document the largest counts; without both labels among the training rows every score is
+nothing; of several labels of a document the largest counts, of several texts the smallest teaches; without both labels among the training rows every score is
 the share of label 1; repeated rows each get a row; an empty table gives an empty result; other columns are not looked
 at.
 """
@@ -45,7 +47,7 @@ SECOND_PERSONS = frozenset("you your yours yourself u ur tu toi te ton ta vous v
 LEET = str.maketrans("013457@$!", "oieastasi")
 
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[A-Za-z]+(?:[*@$!#%&0-9][A-Za-z]*)+[A-Za-z]")
+DISGUISED = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:[*@$!#%&0-9]++[A-Za-z]++)++")
 SHOUT = re.compile(r"[!?]{2,}")
 FEATURES = ("log_words", "insults", "insult_rate", "mined", "mined_rate", "mined_weight", "mined_most", "mined_kinds", "near_you", "near_you_rate", "you_rate", "capitals", "shouted_words", "exclaims", "questions", "signs", "digits", "runs", "disguised", "disguised_hits")
 PREFIXES = (4, 5)
@@ -127,7 +129,7 @@ def training_sample(labels: DataFrame, sample: int, folds: int) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
-    share = F.pmod(F.xxhash64("labelled_id", F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)
+    share = F.pmod(F.xxhash64("labelled_id", F.lit("sample")), F.lit(1 << 53)) < int(min(1.0, sample / max(n, 1)) * (1 << 53))
     return saved(known.where(share).withColumn("fold", F.pmod(F.xxhash64("labelled_id", F.lit("fold")), F.lit(folds)).cast("int")), "labelled")
 
 
@@ -160,7 +162,7 @@ def mined_lexicons(texts: DataFrame, n: dict[int, tuple[int, int]], lexicon: int
     return out
 
 
-def _featured(lexicons: dict[int, dict[str, float]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _featured(lexicons: dict[int, dict[str, float]], keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, dict[str, float]] = {k: {} for k in lexicons}
         for batch in batches:
@@ -169,37 +171,36 @@ def _featured(lexicons: dict[int, dict[str, float]]) -> Callable[[Iterator[pd.Da
                 if len(known[fold]) > 200_000:
                     known[fold].clear()
                 rows.append(features(text, lexicons[fold], known[fold]))
-            yield pd.DataFrame({"key": batch["key"], "known": batch["known"], "toxic": batch["toxic"], "fold": batch["fold"], "features": rows})
+            yield batch[keys].assign(features=rows)
 
     return run
 
 
-def untaught(docs: DataFrame, share: float) -> DataFrame:
+def untaught(docs: DataFrame, share: float, keys: tuple[str, ...]) -> DataFrame:
     """The same score for every row, where the labels can't teach a difference."""
     score = F.lit(float(share))
-    return docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
+    return docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), *keys)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = 12_000, lexicon: int = 4000, folds: int = 4, trees: int = 24) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = 12_000, lexicon: int = 4000, folds: int = 4, trees: int = 24, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row. ``keys``: columns of ``docs`` that are carried along."""
     spark = docs.sparkSession
     small_batches(spark)
     chosen = training_sample(labels, sample, folds)
     n = {r["fold"]: (int(r["p"]), int(r["n"] - r["p"])) for r in chosen.groupBy("fold").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()}
     toxic, clean = sum(p for p, _ in n.values()), sum(q for _, q in n.values())
     if not (toxic and clean):
-        return untaught(docs, toxic / (toxic + clean) if n else 0.0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"), "left")  # at most ``sample`` rows
-    lexicons = mined_lexicons(rows.where("fold IS NOT NULL").select("text", "toxic", "fold"), n, lexicon)
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), F.coalesce("fold", F.lit(-1)).alias("fold"), "text")
-    table = saved(rows.mapInPandas(_featured(lexicons), "key long, known boolean, toxic int, fold int, features array<double>"), "features")
-
-    table = table.withColumn("vector", array_to_vector("features"))
-    taught = table.where("fold >= 0").withColumn("calibrates", F.pmod(F.xxhash64("key", F.lit("calibrate")), F.lit(4)) == 0)
-    taught = saved(taught.select("vector", F.col("toxic").cast("double").alias("toxic"), "calibrates").coalesce(4), "taught")
-    kinds = {r["toxic"] for r in taught.select("toxic").distinct().collect()}
+        return untaught(docs, toxic / (toxic + clean) if n else 0.0, keys)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("labelled_id"), "text").join(F.broadcast(chosen), "labelled_id")  # at most ``sample`` rows
+    labelled = saved(labelled.groupBy("labelled_id", "toxic", "fold").agg(F.min("text").alias("text")), "training")
+    kinds = {r["toxic"] for r in labelled.select("toxic").distinct().collect()}
     if len(kinds) < 2:  # of the labelled rows none, or of one label only, are among the documents
-        return untaught(docs, max(kinds, default=0.0))
+        return untaught(docs, max(kinds, default=0.0), keys)
+    lexicons = mined_lexicons(labelled.select("text", "toxic", "fold"), n, lexicon)
+
+    rows = labelled.mapInPandas(_featured(lexicons, ["labelled_id", "toxic"]), "labelled_id long, toxic int, features array<double>")
+    taught = rows.select(array_to_vector("features").alias("vector"), F.col("toxic").cast("double").alias("toxic"), (F.pmod(F.xxhash64("labelled_id", F.lit("calibrate")), F.lit(4)) == 0).alias("calibrates"))
+    taught = saved(taught.coalesce(4), "taught")
     fit = taught.where(~F.col("calibrates"))
     if fit.select("toxic").distinct().count() < 2:
         fit = taught
@@ -210,7 +211,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = 12_000, le
         judged = raw(taught).select("raw", "toxic")
     assemble = VectorAssembler(inputCols=["raw"], outputCol="raw_vector")
     calibration = IsotonicRegression(featuresCol="raw_vector", labelCol="toxic", predictionCol="calibrated").fit(assemble.transform(judged))
-    scored = calibration.transform(assemble.transform(raw(table)))
+
+    carried = [f"carried{k}" for k in range(len(keys))]
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.col("doc_id").isNotNull().alias("known"), F.lit(-1).alias("fold"), "text", *[F.col(k).alias(c) for k, c in zip(keys, carried, strict=True)])
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("key", "known", *carried)) + ", features array<double>"
+    table = saved(rows.mapInPandas(_featured({-1: lexicons[-1]}, ["key", "known", *carried]), schema), "features")
+    scored = calibration.transform(assemble.transform(raw(table.withColumn("vector", array_to_vector("features")))))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("calibrated") + 0.01 * F.col("raw")))  # the raw share orders equal steps
     doc_id = F.when(F.col("known"), F.col("key"))
-    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
+    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), *[F.col(c).alias(k) for k, c in zip(keys, carried, strict=True)])
