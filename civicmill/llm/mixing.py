@@ -10,8 +10,8 @@ Running sums are two-level: sums of 4,096 digest buckets per source, then a wind
 any share of the rows is spread over as many tasks as there are.
 
 Edge cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, sorted last;
-null ids share one place in the order; repeated rows are separate documents; sources of size 0 get target 0; an empty
-table gives an empty result; other columns are not looked at.
+rows without an id are ordered by the digest of their text; repeated rows are separate documents, one after another;
+sources of size 0 get target 0; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -89,11 +89,11 @@ def mixed(docs: DataFrame, schedules: Callable[[Column], tuple[Column, Column]]
     ``positions`` has the training position of each of its readings; the last reading of a source may stop within a
     document.
     """
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = saved(docs.select("doc_id", "source", *keys, word_count(F.col("text")).alias("size")), "sizes")
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    sized = saved(docs.select("doc_id", "source", *keys, order.alias("order"), word_count(F.col("text")).alias("size")), "sizes")
     totals = saved(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = saved(source_targets(totals, schedules, most_epochs), "targets").withColumnRenamed("source", "named")
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("order", order)
+    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("named")
     rows = rows.withColumn("bucket", F.substring("order", 1, 3))
     sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,9 +122,10 @@ def mixed_documents(docs: DataFrame, schedules: Callable[[Column], tuple[Column,
     Documents that the mix does not take go. Each row gets a key, made once and saved, by which it meets its own
     readings, so rows without a ``doc_id`` are read as well, and rows that share one are read as often as the mix says.
     """
-    rows = saved(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    plan = saved(mixed(rows, schedules, most_epochs, ("row_key",)).select("row_key", "size", "taken", "positions"), "plan")
+    key, at = "_mixing_row", "_mixing_position"  # beside columns of any other name
+    rows = saved(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    plan = saved(mixed(rows.select("doc_id", "source", "text", key), schedules, most_epochs, (key,)).select(key, "size", "taken", "positions"), "plan")
     readings = F.slice("positions", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
-    readings = plan.where("taken > 0").select("row_key", F.explode(readings).alias("position"))
-    read = rows.join(readings, "row_key")
-    return read.repartitionByRange("position").sortWithinPartitions("position", "doc_id", "row_key").drop("position", "row_key")
+    readings = plan.where("taken > 0").select(key, F.explode(readings).alias(at))
+    read = rows.join(readings, key)
+    return read.repartitionByRange(at).sortWithinPartitions(at, "doc_id", key).drop(at, key)

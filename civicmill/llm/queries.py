@@ -28,7 +28,7 @@ def tokenizer_file(name: str) -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
