@@ -11,7 +11,8 @@ as sums per query and bin, combined before the shuffle.
 Edge cases: vectors that are null, empty of an id, or that hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; rows with the query's own id are not its candidates; of rows that repeat a query's
 id the smallest vector asks; other repeated rows are candidates each; with fewer than k candidates all are returned;
-an empty table gives an empty result. Scores are exact below 2**63 (floating point below 2**53, 64-bit integers above).
+an empty table gives an empty result. Scores are exact (floating point below 2**53, 64-bit integers above); vectors so
+large that an inner product could pass 2**61 are refused with an ArithmeticError before anything is scored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, v array<long>) of the vectors that take part."""
     x = F.col("embedding")
     fit = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
+    most = float(1 << 62)  # beyond it ``top_k`` refuses anyway
+    whole = lambda c: F.floor(F.greatest(F.lit(-most), F.least(F.lit(most), c.cast("double") * scale)))
+    return vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -128,6 +131,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
     candidates = saved(quantised(vectors, scale), "candidates")
     size = candidates.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     reach = int(size[1] or 0) * int(size[2] or 0) ** 2 + 1
+    if reach > 1 << 61:
+        raise ArithmeticError(f"vectors of up to {size[1]} components as large as {size[2]}: their inner products do not fit 64-bit integers")
     width = -(-2 * reach // BINS)
     start = candidates.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = saved(start.select("vec_id", "v", F.lit(-reach).cast("long").alias("low"), F.lit(reach).cast("long").alias("high"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need")), "queries")
