@@ -69,8 +69,8 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
 
 
 def weights(n: int, frequencies: dict[str, int]) -> dict[str, float]:
-    """IDF of each word of the templates."""
-    return {w: math.log((1 + n) / (1 + frequencies.get(w, 0))) for w in VOCABULARY}
+    """Smoothed IDF of each word of the templates, above zero also for words that every document holds."""
+    return {w: 1 + math.log((1 + n) / (1 + frequencies.get(w, 0))) for w in VOCABULARY}
 
 
 def rarest(words: set[str], idf: dict[str, float], n: int) -> list[str]:
@@ -84,7 +84,7 @@ def postings(idf: dict[str, float], anchors: int) -> list[tuple[str, str, int, f
         words = text.split()
         chosen = set(rarest(set(words), idf, anchors))
         whole = sum(idf[w] for w in words if w in chosen)
-        out += [(w, label, i, idf[w], whole) for i, w in enumerate(words) if w in chosen and whole > 0]
+        out += [(w, label, i, idf[w], whole) for i, w in enumerate(words) if w in chosen]
     return out
 
 
