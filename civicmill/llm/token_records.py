@@ -21,6 +21,7 @@ Edge cases: a null text is an empty document (the end id alone); a null ``doc_id
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -76,19 +77,34 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
         at = begin + length + struct.calcsize(TAIL) + 1
 
 
+#: How a tokenizer file that drops white space and lower-cases describes its first two steps.
+WORD_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class WordEncoder:
-    """Encodes whole texts word by word, for tokenizers that drop white space and never merge across it.
+    """Encodes whole texts, word by word where the tokenizer drops white space and never merges across it.
 
     Every id comes from the tokenizer; a bounded memo saves encoding a word again. Words of plain letters skip the
     tokenizer's normaliser, which leaves them as they are but for case, and go to its merge model; all others pass
     through the whole tokenizer. Only spaces and line feeds part words here: rarer white space stays inside a word,
-    where the tokenizer deals with it.
+    where the tokenizer deals with it. A tokenizer whose file describes other first steps encodes whole texts.
     """
 
     def __init__(self, path: str, memo_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = (spec["normalizer"], spec["pre_tokenizer"]) == WORD_STEPS and spec["model"]["type"] == "BPE"
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.pieces, self.byte_letters = self.tokenizer.model.tokenize, byte_letters()
@@ -106,6 +122,8 @@ class WordEncoder:
         if not plain:
             return self.whole(word)
         letters, marks = plain.groups()
+        if len(letters) > 64:
+            return self.whole(word)
         letters = letters.lower()
         ids = self.cores.get(letters)
         if ids is None:
@@ -120,14 +138,19 @@ class WordEncoder:
         return ids + self.marks[marks]
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.whole(text) for text in texts]
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         here: set[str] = set().union(*cut)
         for word in here:
             if word not in self.words:
                 self.words[word] = self.word(word)
         out = [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        for word in here:
+            if len(word) > 64:  # so the memo is bounded in bytes as well
+                del self.words[word]
         if len(self.words) > self.memo_words:
-            self.words = {word: self.words[word] for word in here} | {"": b""}
+            self.words = {word: self.words[word] for word in here if len(word) <= 64} | {"": b""}
         if len(self.cores) > self.memo_words:
             self.cores = {}
         return out
@@ -175,7 +198,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     small_batches(spark)
     n_bytes = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-int(n_bytes) // (text_mb_per_file << 20)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id, or have none, are parted by how their text begins; what the driver samples stays short.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNotNull().alias("known"), "text")
     records = rows.mapInPandas(_framed(tokenizer_path, end_id), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
@@ -202,9 +226,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Adds ``start``: ids in all frames before. Only one row per file passes through the running sum over files."""
+    """Adds ``start``: ids in all frames before. Only one row per file passes through the running sum over files.
+
+    Files follow each other by the number in their name, which has five digits or more.
+    """
     totals = index.groupBy("path").agg(F.sum("n_tokens").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
+    before = F.coalesce(F.sum("total").over(Window.orderBy(number, "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select("path", before.cast("long").alias("file_start"))
     return index.join(starts, "path").withColumn("start", F.col("file_start") + F.col("before"))
 
