@@ -7,9 +7,10 @@ record by its declared length and synthesises the WARC equivalents: record id (a
 stood, so a task run twice agrees with itself), date, type and digests. Of records with equal payloads the one with the
 largest page id stays a response; the others become revisits of it.
 
-Files are written by Spark's text writer (gzip, no partial files after a lost task) and read with ``binaryFile``, one
-file at a time; an archive is as long as one input split, so read long tables in splits of some megabytes. Payloads are
-not shuffled: digests are, and each file meets the decisions about its own records.
+Files are written by Spark's text writer (gzip over the whole file, no partial files after a lost task) and read with
+``binaryFile``. A new archive begins after a number of records that keeps it at about ``archive_bytes``, and at eight
+times that however the long pages fall, so what a task holds of a file and of the decisions on its records is bounded.
+Payloads are not shuffled: digests are, and each file meets the decisions about its own records.
 
 Edge cases: null html is an empty payload; empty payloads count as equal to each other; null urls become
 ``urn:page:<id>``; white space in a url is percent-encoded; a null ``page_id`` stays null, below every other; of rows
@@ -58,34 +59,47 @@ def version_block(version: int, name: str, date: str) -> bytes:
     return arc_line(version, f"filedesc://{name}", "0.0.0.0", date, "text/plain", body, name) + b"\n" + body
 
 
-def _arc_rows(versions: tuple[int, ...], date: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _arc_rows(versions: tuple[int, ...], date: str, per_file: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Records; a version block opens each run of ``per_file``, where the writer begins a new file."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        version, name, head = versions[part % len(versions)], f"pages-{part:05d}.arc", True
+        part, n = TaskContext.get().partitionId(), 0
+        version, name = versions[part % len(versions)], ""
         for batch in batches:
-            out = [version_block(version, name, date)] if head and len(batch) else []
-            head = head and not len(batch)
+            out: list[bytes] = []
             for page, url, html in zip(batch["page"], batch["url"], batch["html"], strict=True):
+                if n % per_file == 0:
+                    name = f"pages-{part:05d}-{n // per_file:05d}.arc"
+                    out.append(version_block(version, name, date))
+                    n += 1
                 body = (html or "").encode()
                 known = "" if page is None else f"X-Page-Id: {page}\r\n"
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{known}Content-Length: {len(body)}\r\n\r\n".encode() + body
                 target = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{page}"
                 out.append(arc_line(version, target, "0.0.0.0", date, "text/html", block, name) + b"\n" + block)
+                n += 1
             yield pd.DataFrame({"record": out})
 
     return run
 
 
-def write_archive(records: DataFrame, path: str, separator: str) -> None:
-    """One file per partition: the bytes of each row of ``records`` (record binary), each followed by ``separator``."""
-    options = {"lineSep": separator, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+def write_archive(records: DataFrame, path: str, separator: str, per_file: int = 0) -> None:
+    """The bytes of each row of ``records`` (record binary), each followed by ``separator``; ``per_file``: rows in a file, 0 for a partition's all."""
+    options = {"lineSep": separator, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": per_file}
     records.select(F.col("record").cast("string").alias("value")).write.options(**options).text(path)
 
 
-def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), date: str = "20240101000000") -> None:
-    """Pages (page_id, url, html) as ARC files; files take the ``versions`` in turn."""
-    rows = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html")
-    write_archive(rows.mapInPandas(_arc_rows(versions, date), "record binary"), path, "\n")
+def records_per_file(pages: DataFrame, archive_bytes: int) -> int:
+    """How many records keep a file at ``archive_bytes`` on average, and at eight times that if all are the longest."""
+    n_bytes = F.octet_length("html") + 512
+    mean, most = pages.agg(F.avg(n_bytes), F.max(n_bytes)).first()
+    return max(2, min(int(archive_bytes / (mean or 512)), 8 * archive_bytes // (most or 512)))
+
+
+def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), date: str = "20240101000000", archive_bytes: int = 32 << 20) -> None:
+    """Pages (page_id, url, html) as ARC files; the tasks' files take the ``versions`` in turn."""
+    rows, per_file = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html"), records_per_file(pages, archive_bytes)
+    write_archive(rows.mapInPandas(_arc_rows(versions, date, per_file), "record binary"), path, "\n", per_file)
 
 
 def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -224,11 +238,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string")
 
 
-def archived(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
+def archived(pages: DataFrame, min_bytes: int = 0, path: str | None = None, archive_bytes: int = 32 << 20) -> DataFrame:
     """Pages to ARC to WARC, and the WARC files read back."""
     spark = pages.sparkSession
     small_batches(spark)
     path = path or shared_dir(spark, "archives")
-    write_arc(pages, f"{path}/arc")
+    write_arc(pages, f"{path}/arc", archive_bytes=archive_bytes)
     convert(spark, f"{path}/arc", f"{path}/warc", min_bytes)
     return read_warc(spark, f"{path}/warc")
