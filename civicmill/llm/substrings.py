@@ -31,6 +31,8 @@ LINE = re.compile(r"[^\n]+")
 UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 EDGES = ".,;:!?\"'()[]«»“”*#%&$-"
 LAST = (1 << 63) - 1
+#: Name of a column that stands beside a table's own for a while.
+SPANS = "_substring_spans"
 
 
 def _spans(line: str, offset: int, min_words: int) -> Iterator[tuple[int, int, str]]:
@@ -118,11 +120,11 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        spans = [[] if s is None else [(x["start"], x["end"]) for x in s] for s in batch["spans"]]
-        yield batch.drop(columns="spans").assign(text=[without_spans(t, s) for t, s in zip(batch["text"], spans, strict=True)])
+        spans = [[] if s is None else [(x["start"], x["end"]) for x in s] for s in batch[SPANS]]
+        yield batch.drop(columns=SPANS).assign(text=[without_spans(t, s) for t, s in zip(batch["text"], spans, strict=True)])
 
 
 def deduplicated(docs: DataFrame, min_words: int = 6) -> DataFrame:
     """The documents without the units that go; all columns stay."""
-    spans = repeated_units(docs, min_words).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "spans").mapInPandas(_cut, docs.schema)
+    spans = repeated_units(docs, min_words).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(SPANS))
+    return docs.join(spans, "doc_id", "left").select(*docs.columns, SPANS).mapInPandas(_cut, docs.schema)
