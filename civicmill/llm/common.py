@@ -17,9 +17,11 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests), below a folder made for the session."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset on one machine, below a folder made for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="civicmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/civicmill/{purpose}-{uuid.uuid4().hex}"

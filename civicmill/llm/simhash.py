@@ -99,16 +99,16 @@ def _split(points: np.ndarray, radius: int, mask: np.uint64 = WHOLE, tries: int
     return found
 
 
-def grow(sample: np.ndarray, radius: int, share: int, mask: np.uint64 = WHOLE) -> Node:
-    """A tree whose shards hold about ``share`` points of the sample each."""
+def grow(sample: np.ndarray, radius: int, share: float, mask: np.uint64 = WHOLE, fewest: int = 16) -> Node:
+    """A tree whose shards hold about ``share`` points of the sample each, or ``fewest``, which tell how to split."""
     shards = 0
 
     def build(points: np.ndarray) -> Node:
         nonlocal shards
-        cut = _split(points, radius, mask) if len(points) > share else None
+        cut = _split(points, radius, mask) if len(points) > max(share, fewest) else None
         if cut is None:
             shards += 1
-            return Node(shards - 1, max(1, round(len(points) / share)))
+            return Node(shards - 1, max(1, int(np.ceil(len(points) / max(share, 1e-9) - 0.5))))
         node = Node()
         node.vantage, node.bound = cut[0], cut[1]
         node.left, node.right = build(points[cut[2]]), build(points[cut[3]])
@@ -208,20 +208,22 @@ def _linked(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_links(points: DataFrame, radius: int = 3, tables: int = 1, bands: int = 2, sample: int = 16384, shard_rows: int = 24576, most_shards: int = 1024) -> DataFrame:
+def near_links(points: DataFrame, radius: int = 3, tables: int = 1, bands: int = 2, sample: int = 16384, most_sample: int = 1 << 18, shard_rows: int = 24576) -> DataFrame:
     """Links (a, b) that span the components of ``points`` (node, tab, fp) under ``radius`` bits, table by table.
 
-    ``sample``: fingerprints per table, chosen by hash, on which the driver grows the trees that deal out the shards.
-    What is copied over boundaries grows with the depth of the trees, so a shard is as large as a task holds with ease
-    and is split further inside its task; ``most_shards`` bounds each tree.
+    ``sample``: fingerprints per table, chosen by hash, on which the driver grows the trees that deal out the shards; it
+    grows with the table to ``most_sample``, two megabytes. What is copied over boundaries grows with the depth of the
+    trees, so a shard is as large as a task holds with ease and is split further inside its task. A shard in which more
+    than ``shard_rows`` are expected is dealt as pairs of blocks, so groups stay bounded however long the table is.
     """
     n = -(-points.count() // tables)
+    sample = min(most_sample, max(sample, n // 512))
     picked = points if n <= sample else points.where(F.pmod(F.xxhash64("node", "fp"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     drawn = picked.select("tab", "fp").limit(2 * tables * sample).toPandas().sort_values(["tab", "fp"])
     trees = []
     for t in range(tables):
         mine = drawn["fp"][drawn["tab"] == t].to_numpy(np.int64).view(np.uint64)
-        share = max(1, -(-len(mine) * shard_rows // max(n, 1)), len(mine) // most_shards)
+        share = len(mine) * shard_rows / max(n, 1)  # as many of the sample stand for ``shard_rows``
         mine = np.random.default_rng(0).permutation(mine)
         trees += [(t, mask, grow(mine, radius // bands, share, mask)) for mask in band_masks(bands)]
     routed = points.select("node", "tab", "fp").mapInPandas(_routed(trees, radius // bands), "tab int, shard int, part int, fp long, node long")
@@ -237,237 +239,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = saved(joined.join(ids, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def _word_set_prints(texts: list[str | None], tables: int, memo: dict[bytes, bytes]) -> Iterator[np.ndarray]:
-    """Of each text, ``tables`` fingerprints of its set of words, 64 bits each."""
-    import xxhash
-
-    for text in texts:
-        words = set(words_of(text))
-        if len(memo) > 200_000:
-            memo.clear()
-        for w in (w for w in words if w not in memo):
-            memo[w] = b"".join(xxhash.xxh3_128_digest(w, k) for k in range((tables + 1) // 2))
-        bits = np.unpackbits(np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint8).reshape(len(words), 16 * ((tables + 1) // 2)), axis=1)
-        yield np.packbits(2 * bits.sum(0, dtype=np.int32) > len(words)).view(np.int64)[:tables]
-
-
-def shingle_hashes(text: str | None, size: int, memo: dict[bytes, int] | None = None) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle. ``memo``: hashes of words, bounded."""
-    import xxhash
-
-    words, memo = words_of(text), {} if memo is None else memo
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(memo) > 300_000:
-        memo.clear()
-    for w in (w for w in words if w not in memo):
-        memo[w] = xxhash.xxh3_64_intdigest(w)
-    hashes, size = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), min(size, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
-    return np.unique(out)
-
-
-def node_ids(texts: list[str | None]) -> np.ndarray:
-    """A number for each text, the same for texts that are equal up to case of A-Z and white space."""
-    import xxhash
-
-    return np.array([xxhash.xxh3_64_intdigest(b" ".join(words_of(t))) for t in texts], np.uint64).view(np.int64)
-
-
-def _shingled(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
-        for batch in batches:
-            yield pd.DataFrame({"node": node_ids(batch["text"]), "shingles": [shingle_hashes(t, size, memo).tobytes() for t in batch["text"]]})
-
-    return run
-
-
-def _texts_printed(tables: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, bytes] = {}
-        for batch in batches:
-            nodes = node_ids(batch["text"])
-            prints = np.array(list(_word_set_prints(batch["text"], tables, memo)), np.int64).reshape(-1, tables)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes} | {f"f{k}": prints[:, k] for k in range(tables)})
-
-    return run
-
-
-def _counted(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
-        for batch in batches:
-            found, n = np.unique(np.concatenate([shingle_hashes(t, size, memo) for t in batch["text"]]), return_counts=True)
-            yield pd.DataFrame({"token": found.view(np.int64), "n": n})
-
-    return run
-
-
-def common_shingles(known: DataFrame, size: int, n: int, sample: int = 8_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are common in a hash sample of the ``n`` texts, and how often each occurs there.
-
-    They only settle the order in which prefixes are filled; any order finds every pair, this one with few candidates.
-    """
-    drawn = known if n <= sample else known.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    counts = drawn.select("text").mapInPandas(_counted(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most).toPandas()
-    tokens, n_found = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], n_found[order]
-
-
-def prefix_of(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest shingles of a set, rarest first: sets of similarity ``least`` or more share one of these at least."""
-    counts = np.zeros(len(shingles), np.int64)
-    if len(common[0]):
-        place = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
-        counts = np.where(common[0][place] == shingles, common[1][place], 0)
-    kept = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
-    return shingles[np.lexsort((shingles, counts))[:kept]]
-
-
-def _prefixed(size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
-        for batch in batches:
-            batch = batch.assign(node=node_ids(batch["text"])).drop_duplicates("node")
-            sets = [shingle_hashes(t, size, memo) for t in batch["text"]]
-            found = [prefix_of(s, least, common) if len(s) else s for s in sets]
-            n = [len(f) for f in found]
-            at = np.concatenate([np.arange(k) for k in n]) if n else np.empty(0)
-            yield pd.DataFrame({"token": np.concatenate(found).view(np.int64), "node": np.repeat(batch["node"].to_numpy(np.int64), n), "size": np.repeat([len(s) for s in sets], n).astype(np.int32), "at": at.astype(np.int32)})
-
-    return run
-
-
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of a partition whose ``token`` more than one node has, each once."""
-    if not (held := list(batches)):
-        return
-    rows = pd.concat(held)
-    token, node = rows["token"].to_numpy(), rows["node"].to_numpy()
-    order = np.lexsort((node, token))
-    token, node = token[order], node[order]
-    first = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-    order, token = order[first], token[first]
-    same = token[1:] == token[:-1]
-    keep = order[np.append(same, False) | np.append(False, same)]
-    for i in range(0, len(keep), 1 << 16):
-        yield rows.iloc[keep[i : i + (1 << 16)]]
-
-
-def crossing_pairs(rows: pd.DataFrame, least: float, every: bool, block: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Pairs of nodes in the same list (``token``) whose roots differ, ``block`` at a time: all that sizes and places allow, or neighbours only.
-
-    Neighbours, by size and by hash, are at most two links a row. ``every`` leaves out the pairs inside a list's largest
-    component, which need no link any more.
-    """
-    token, node, root, size, at = (rows[c].to_numpy(np.int64) for c in ("token", "node", "root", "size", "at"))
-    if not every:
-        for key in (size, node):
-            order = np.lexsort((node, key, token))
-            a, b = order[:-1], order[1:]
-            near = (token[a] == token[b]) & (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
-            yield np.unique(np.sort(np.stack([node[a[near]], node[b[near]]], axis=1), axis=1), axis=0)
-        return
-    order = np.lexsort((root, token))
-    token, node, root, size, at = (x[order] for x in (token, node, root, size, at))
-    begins = np.concatenate([[0], np.nonzero(np.diff(token))[0] + 1]) if len(token) else np.empty(0, np.int64)
-    ends = np.append(begins[1:], len(token))
-    held, n = [], 0
-    for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
-        if root[s] == root[e - 1]:
-            continue
-        names, counts = np.unique(root[s:e], return_counts=True)
-        others = s + np.nonzero(root[s:e] != names[np.argmax(counts)])[0]
-        step = max(1, block // (e - s))
-        for i in range(0, len(others), step):
-            a = others[i : i + step]
-            x, y = size[a][:, None], size[s:e][None, :]
-            left = 1 + np.minimum(x - at[a][:, None] - 1, y - at[s:e][None, :] - 1)
-            p, q = np.nonzero((root[a][:, None] != root[s:e][None, :]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9) & (left * (1 + least) >= least * (x + y) - 1e-9))
-            held.append(np.sort(np.stack([node[a[p]], node[s + q]], axis=1), axis=1))
-            n += len(p)
-            if n >= block:
-                yield np.unique(np.concatenate(held), axis=0)
-                held, n = [], 0
-    if n:
-        yield np.unique(np.concatenate(held), axis=0)
-
-
-def _crossing(least: float, every: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        for found in crossing_pairs(pd.concat(held), least, every) if held else ():
-            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return run
-
-
-def _similar(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= least * (len(a) + len(b) - both) - 1e-9)
-            yield batch.loc[keep, ["a", "b"]]
-
-    return run
-
-
-def verified(pairs: DataFrame, known: DataFrame, nodes: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar. ``nodes``: (node, doc_id) of a text of each."""
-    pairs = saved(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners = nodes.join(wanted, "node", "left_semi").select("doc_id").distinct()
-    texts = known.join(owners, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"]).select("text")
-    shingles = saved(texts.mapInPandas(_shingled(shingle), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
-    sides = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return saved(sides.select("a", "b", "x", "y").mapInPandas(_similar(least), "a long, b long"), "verified")
-
-
-def similar_texts(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 3, per_part: int = 1_000_000) -> DataFrame:
-    """(doc_id, digest, root) of every row with a ``doc_id``: texts of one ``root`` are linked by similarity; ``digest`` is the text's SHA-256.
-
-    1. Equal texts, up to case of A-Z and white space, are one node from the start.
-    2. Links within ``radius`` bits under any of ``tables`` fingerprints of the set of words are verified. They are a head
-       start, which joins most of a large group at once, and find no more than a part of the similar pairs.
-    3. What they miss is found exactly: two sets of similarity ``least`` share a shingle among the rarest
-       ``1 - least`` of each. In the lists of such shingles, neighbours that are not joined yet are verified first, then
-       all pairs that are still apart, whatever the list's length. ``per_part``: list entries that a task holds.
-    """
-    small_batches(docs.sparkSession)
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("digest"), "text")
-    names = [f"f{k}" for k in range(tables)]
-    prints = saved(known.mapInPandas(_texts_printed(tables), "doc_id long, digest string, node long, " + ", ".join(f"{f} long" for f in names)), "prints")
-    nodes = saved(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(f).alias(f) for f in names]), "nodes")
-    links = verified(near_links(nodes.select("node", F.posexplode(F.array(*names)).alias("tab", "fp")), radius, tables), known, nodes, least, shingle)
-
-    size = known.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).first()
-    prefixes = known.select("text").mapInPandas(_prefixed(shingle, least, common_shingles(known, shingle, size["n"])), "token long, node long, size int, at int")
-    parts = max(8, -(-int((1 - least) * (size["size"] or 0) / 6) // per_part))  # a word and its blank are six characters or so
-    lists = saved(prefixes.repartition(parts, "token").mapInPandas(_shared, "token long, node long, size int, at int"), "lists")
-    for every in (False, True):
-        roots = saved(components(links), "roots")
-        placed = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "size", "at")
-        apart = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-        found = placed.join(apart, "token", "left_semi").repartition(parts, "token").mapInPandas(_crossing(least, every), "a long, b long")
-        links = links.union(verified(found, known, nodes, least, shingle))
-    roots = components(links)
-    return prints.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
-
-
-def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 3) -> DataFrame:
-    """(doc_id, group) of documents whose word shingles have a Jaccard similarity of at least ``least``, over links.
-
-    ``group`` is the smallest ``doc_id`` of a group; rows without a ``doc_id`` take no part.
-    """
-    found = saved(similar_texts(docs, least, shingle, tables, radius), "texts")
-    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("group")), "root").select("doc_id", "group")
