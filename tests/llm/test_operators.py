@@ -212,7 +212,7 @@ def test_pipeline_stages_on_null_and_repeated_ids(spark):
     rows += [(1, words(2), "en", "a", 1), (2, words(1), "en", "a", 1), (3, words(3), "en", "a", 1), (4, None, "en", "a", 1), (4, None, "en", "a", 1)]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), SF)
     got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
-    assert got == [(0, words(0)), (0, words(0)), (1, words(1)), (1, words(2)), (3, words(3)), (4, "")]
+    assert got == [(0, words(0)), (1, words(1)), (1, words(2)), (3, words(3)), (4, "")]
     read = mixed_documents(spark.createDataFrame(rows, schema)).collect()  # one source: each row is read once
     assert sorted(map(str, read)) == sorted(str(r) for r in spark.createDataFrame([r for r in rows if r[1]], schema).collect())
 
@@ -251,3 +251,152 @@ def test_short_lines_and_short_sentences_go_too(spark):
     kept = {r["doc_id"]: r["text"] for r in deduplicated(docs_of(spark, rows)).collect()}
     assert kept[1] == rows[0][1] and kept[2].split() == ["Own", "two."]
     assert kept[3].split() == "Other words. Other end. Own three.".split() and kept[4].split() == ["Go!"] * 7  # the first six, and a rest shorter than a unit
+
+
+def integral(knots, time):
+    """Of a piecewise-linear schedule from 0 to ``time``, by small steps."""
+    at = np.linspace(0, time, 20_001)
+    weight = np.interp(at, *zip(*knots, strict=True))
+    return float(np.sum((weight[1:] + weight[:-1]) / 2 * np.diff(at)))
+
+
+def test_positions_invert_the_schedules(spark):
+    """Each reading stands where the integral of its source's schedule is the share of the source that came before."""
+    from civicmill.llm.mixing import RAMPS
+
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 5}") for i in range(300)]
+    got = mixed(docs_of(spark, rows)).toPandas()
+    for n, (_, mine) in enumerate(sorted(got.groupby("source"), key=lambda g: g[0])):
+        target, size = round(mine["target"].iloc[0]), mine["source_size"].iloc[0]
+        readings = sorted((p, k, r.size) for r in mine[["positions", "size"]].itertuples(index=False) for k, p in enumerate(r.positions))
+        before: dict = {}
+        for p, k, words in readings:
+            share = (k * size + before.get(k, 0)) / target
+            before[k] = before.get(k, 0) + words
+            assert integral(RAMPS[n % 3], p) == pytest.approx(share, abs=1e-6)
+        assert all(len(r) == 0 or r[0] == p for r, p in zip(mine["positions"], mine["position"], strict=True))
+
+
+def test_mixing_with_clashing_columns(spark):
+    rows = docs_of(spark, [(i, f"some words of text {i}", "a") for i in range(20)])
+    clashing = rows.selectExpr("*", "1 AS position", "2 AS taken", "3 AS row_key", "4 AS size")
+    assert mixed_documents(clashing).columns == clashing.columns and mixed_documents(clashing).count() == 20
+    assert deduplicated(rows.selectExpr("*", "1 AS spans", "2 AS start")).count() == 20
+
+
+def test_equal_texts_have_equal_scores(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    copies = docs.join(labels.select("doc_id"), "doc_id", "left_semi").selectExpr("doc_id + 100000000 AS doc_id", "text")
+    got = toxicity_scores(docs.union(copies), labels).toPandas().set_index("doc_id")["score"]
+    copied = got[got.index >= 100_000_000]
+    assert len(copied) > 100 and (copied.values == got[copied.index - 100_000_000].values).all()
+
+
+def test_features_take_time_in_proportion():
+    import time
+
+    from civicmill.llm.toxicity import DISGUISED, features
+
+    assert DISGUISED.findall("an id1ot, st*p*d w0rds a1 2b x!!y") == ["id1ot", "st*p*d", "w0rds", "x!!y"]
+    began = time.time()
+    for text in ("a" * 1_000_000, "a1" * 500_000, "A" * 1_000_000 + "b", "a" + "!" * 1_000_000):
+        features(text, {}, {})
+    assert time.time() - began < 20
+
+
+def greedy(item, text, shortest):
+    """Tiles by looking at every pair of places again for each tile."""
+    mine, theirs, out = [False] * len(item), [False] * len(text), []
+    while True:
+        best = (shortest - 1, 0, 0)
+        for t in range(len(text)):
+            for i in range(len(item)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and not mine[i + n] and not theirs[t + n] and item[i + n] == text[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, t, i)
+        n, t, i = best
+        if n < shortest:
+            return sorted(out)
+        mine[i : i + n] = theirs[t : t + n] = [True] * n
+        out.append((i, t, n))
+
+
+def test_tiles_are_the_greedy_ones():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        letters = list("abcdefgh")[: int(rng.integers(1, 9))]
+        item, text = ([str(x) for x in rng.choice(letters, int(rng.integers(0, n)))] for n in (30, 40))
+        text[3:3] = item[2:9]
+        assert sorted(tiles(item, text, 3)) == greedy(item, text, 3)
+    assert tiles(["a"] * 20_000, ["a"] * 20_000, 4) == [(0, 0, 20_000)]
+
+
+def test_contaminated_pairs_are_those_of_brute_force(spark):
+    """Both ways, on whole tables: every pair is tiled here, whatever seeds it shares."""
+    docs, benchmark = sources(spark).select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = {r["item_id"]: words(r["text"]) for r in benchmark.collect()}
+    want: dict = {}
+    for r in docs.collect():
+        text = words(r["text"])
+        near = {tuple(text[k : k + 4]) for k in range(len(text) - 3)}
+        for i, item in items.items():
+            if any(tuple(item[k : k + 4]) in near for k in range(len(item) - 3)):
+                found = greedy(item, text, 4) if len(text) < 400 else tiles(item, text, 4)
+                if sum(n for *_, n in found) >= 0.5 * len(item) or any(n >= 30 for *_, n in found):
+                    want.setdefault(r["doc_id"], []).append(i)
+    for settings in ({}, {"most_bytes": 0}):
+        got = {r["doc_id"]: r["items"] for r in contaminated_documents(docs, benchmark, **settings).collect()}
+        assert got == {d: ",".join(map(str, sorted(i))) for d, i in want.items()} and got
+
+
+def test_too_large_vectors_are_refused(spark):
+    table = spark.createDataFrame([(20, [1e18, 1.0]), (21, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ArithmeticError):
+        top_k(table, __import__("pyspark.sql.functions", fromlist=["col"]).col("vec_id") % 20 == 0)
+
+
+def test_archives_stay_short(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "http://a", f"page {k % 40} " * 50) for k in range(500)], "page_id long, url string, html string").coalesce(2)
+    got = archived(pages, path=f"file://{tmp_path}", archive_bytes=1 << 14).collect()
+    assert len(list(tmp_path.glob("arc/*.gz"))) > 20 and len(got) == 500
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == {(k, "response" if k >= 460 else "revisit", None if k >= 460 else 460 + (k - 20) % 40) for k in range(500)}
+
+
+def test_one_document_has_its_licence(spark):
+    got = license_scan(docs_of(spark, [(1, TEMPLATES["mit-text"][0], "a")])).first()
+    assert got["labels"] == "mit-text" and got["score"] == 1.0
+    same = license_scan(docs_of(spark, [(k, "Released under the MIT License.", "a") for k in range(3)])).collect()
+    assert all(r["labels"] == "mit,mit-notice" and r["score"] == 1.0 for r in same)
+
+
+def test_cached_counts_answer(spark, tmp_path):
+    """A hit is not encoded again: its stored number comes back, whatever it is."""
+    from civicmill.llm.token_counts import CACHE_SCHEMA, content_digest, version_digest
+
+    model, docs = public_tokenizers.path("piece_bpe_32k.model"), docs_of(spark, [(1, "known text", "a"), (2, "other text", "a")])
+    stored = docs.where("doc_id = 1").select(content_digest(docs["text"]).alias("digest"))
+    cache = f"file://{tmp_path}/cache"
+    spark.createDataFrame([(r["digest"], version_digest(model), 777) for r in stored.collect()], CACHE_SCHEMA).write.parquet(cache)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, model, cache).collect()}
+    assert got[1] == 777 and 0 < got[2] < 777 and spark.read.parquet(cache).count() == 2
+
+
+def test_files_follow_by_number(spark):
+    from civicmill.llm.token_records import with_starts
+
+    index = spark.createDataFrame([(f"file:/x/part-{n}-u.txt", 0, 1, n, 0, 2, 0) for n in ("00001", "99999", "100000", "100001")], "path string, position long, length long, doc_id string, before long, n_tokens long, ids_crc32 long")
+    assert {r["doc_id"]: r["start"] for r in with_starts(index).collect()} == {"00001": 0, "99999": 2, "100000": 4, "100001": 6}
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    from civicmill.llm.token_records import WordEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, text = WordEncoder(path), "Two  Words\nand <|x|> more, don't"
+    assert np.frombuffer(encoder.batch([text])[0], encoder.dtype).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids

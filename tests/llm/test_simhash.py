@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from civicmill.llm.simhash import band_masks, fingerprint, grow, near_duplicates, route, shingle_hashes, similar_groups
+from civicmill.llm.similar import shingle_hashes, similar_groups
+from civicmill.llm.simhash import band_masks, fingerprint, grow, near_duplicates, route
 
 SCHEMA = "doc_id long, text string, lang string, fp string, node int, root string"
 
