@@ -12,43 +12,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicmill.llm.common import saved, table
-from civicmill.llm.decontamination import contaminated_documents
+from civicmill.llm.decontamination import contaminated
 from civicmill.llm.mixing import mixed_documents
 from civicmill.llm.queries import tokenizer_file
-from civicmill.llm.simhash import similar_texts
+from civicmill.llm.similar import similar_texts, text_digest
 from civicmill.llm.token_records import token_records
 from civicmill.llm.toxicity import toxicity_scores
 
+#: Name of a column that stages add for a while: the digest of the text.
+DIGEST = "_pipeline_digest"
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; rows without a ``doc_id``, which no score can be joined to, stay."""
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose text the classifier rejects go.
+
+    A score depends on the text alone, so rows meet it by the text's digest: rows without a ``doc_id`` and rows that
+    repeat one are judged like any other. Null and empty texts are equal to each other.
+    """
+    keyed = docs.withColumn(DIGEST, text_digest(F.col("text")))
+    rejected = toxicity_scores(keyed, table(spark, sf_dir, "labels"), keys=(DIGEST,)).where("predicted = 1").select(DIGEST).distinct()
+    return keyed.join(rejected, DIGEST, "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies the document with the smallest ``doc_id`` stays: five-word shingles, similarity 0.8.
+    """Of each group of similar texts one row stays: five-word shingles, similarity 0.8, over links.
 
-    Of several texts of that ``doc_id`` in a group the one with the smallest digest stays, of repeated rows of one
-    ``doc_id`` and text the smallest row. Rows without a ``doc_id`` all stay.
+    It is the one with the smallest ``doc_id``, none coming last; of several texts of that ``doc_id`` that with the
+    smallest digest, and of repeated rows the smallest by its columns. Null and blank texts are one group.
     """
     found = saved(similar_texts(docs), "texts")
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept"))
-    gone = found.join(kept, "root").where(F.struct("doc_id", "digest") != F.col("kept")).select("doc_id", "digest").distinct()
-    repeated = found.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
-    keyed = docs.withColumn("digest", F.sha2("text", 256))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & keyed["digest"].eqNullSafe(other["digest"])
-    single = keyed.join(gone, same(gone), "left_anti").join(repeated, same(repeated), "left_anti").drop("digest")
-    again = keyed.join(repeated, same(repeated), "left_semi").join(gone, same(gone), "left_anti")
-    once = again.groupBy("doc_id", "digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("first")
+    kept = found.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    grouped = found.join(kept, "root")
+    gone = grouped.where(~stays).select("doc_id", "digest").distinct()
+    repeated = grouped.where(stays).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
+    keyed = docs.withColumn(DIGEST, text_digest(F.col("text")))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[DIGEST] == other["digest"])
+    left = keyed.join(gone, same(gone), "left_anti")
+    single = left.join(repeated, same(repeated), "left_anti").select(*docs.columns)
+    again = left.join(repeated, same(repeated), "left_semi")
+    once = again.groupBy("doc_id", DIGEST).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return single.union(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold half of a benchmark item, in any order, or 30 words of one in a row go."""
-    found = contaminated_documents(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold half of a benchmark item, in any order, or 30 words of one in a row go.
+
+    Rows meet the verdict on their text by its digest, so those without a ``doc_id`` or with a repeated one are judged
+    like any other.
+    """
+    keyed = docs.withColumn(DIGEST, text_digest(F.col("text")))
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), keys=(DIGEST,)).select(DIGEST).distinct()
+    return keyed.join(found, DIGEST, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
