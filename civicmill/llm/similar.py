@@ -9,10 +9,12 @@ reach. Texts that are equal up to case of A-Z and white space are one node from
    shingles, its prefix. Nodes that have such a shingle in common form a list. In each list neighbours by size and by
    hash that are still apart are verified first, then all pairs that are still apart, whatever the list's length. A
    pair is left out where sizes, places in the prefix, or the parity bits of both sets already bound its similarity
-   below ``least``: the sets differ in at least as many shingles as their parity bits differ, so no link is lost.
+   below ``least``: the sets differ in at least as many shingles as their parity bits differ, so no link is lost. List
+   rows carry a few such bits; before whole sets travel, a pair meets the bits of both, as many as its sets are large.
 3. Components are contracted after each pass (``components``). Links are verified before anything is thinned.
 
-Lists longer than ``list_rows`` are dealt as pairs of blocks; a task holds two blocks at a time.
+Lists longer than ``list_rows`` are dealt as pairs of blocks; a task holds two blocks at a time. Shingles that are
+common in a sample need not be counted to know that they are shared, so no count groups a common one.
 
 Edge cases: null and blank texts are equal to each other; a text of fewer words than a shingle is one shingle; rows
 without a ``doc_id`` take part; repeated rows each get a row; an empty table gives an empty result; other columns are
@@ -25,15 +27,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicmill.llm.common import saved, small_batches, words_of
 from civicmill.llm.components import components
 from civicmill.llm.simhash import near_links
 
-#: Parity bits of a set.
-BITS = 512
+#: Parity bits that list rows carry.
+BITS = 256
 
 
 def word_set_prints(words: set[bytes], tables: int, memo: dict[bytes, bytes]) -> np.ndarray:
@@ -78,13 +80,24 @@ def node_of(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words))
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """Which of ``BITS`` classes of shingles hold an odd number; mixed, as shingles need not be uniform."""
+def parity_bits(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Which of ``bits`` classes of shingles (a power of two) hold an odd number; mixed, as shingles need not be uniform."""
     mixed = (shingles ^ shingles >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    odd = np.bincount((mixed >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((mixed >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8))
 
 
+def sketch_bits(n: int) -> int:
+    """Parity bits for a set of ``n`` shingles: unrelated sets then differ in more of them than similar ones may."""
+    return max(2 * BITS, 1 << max(2 * n - 1, 1).bit_length())
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits in fewer classes: each takes in those that the next bits of the mixed shingle tell apart."""
+    bits = np.unpackbits(sketch)
+    return np.bitwise_xor.reduce(bits.reshape(size, -1), axis=1)
+
+
 def _counted(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, int] = {}
@@ -108,16 +121,20 @@ def common_shingles(texts: DataFrame, size: int, n: int, sample: int = 8_000, mo
     return tokens[order], n_found[order]
 
 
-def prefix_of(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest shingles of a set, rarest first: sets of similarity ``least`` or more share one of these at least."""
+def prefix_of(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, rarest first, and how many of them are not among the common ones.
+
+    Sets of similarity ``least`` or more share one of these at least.
+    """
     if not len(shingles):
-        return shingles
+        return shingles, 0
     counts = np.zeros(len(shingles), np.int64)
     if len(common[0]):
         place = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
         counts = np.where(common[0][place] == shingles, common[1][place], 0)
     kept = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
-    return shingles[np.lexsort((shingles, counts))[:kept]]
+    order = np.lexsort((shingles, counts))[:kept]
+    return shingles[order], int(np.count_nonzero(counts[order] == 0))
 
 
 def _described(size: int, least: float, tables: int, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -129,9 +146,11 @@ def _described(size: int, least: float, tables: int, common: tuple[np.ndarray, n
             for text in batch["text"]:
                 words = words_of(text)
                 shingles = hashes_of(words, size, hashes)
-                out.append((node_of(words), word_set_prints(set(words), tables, digests), len(shingles), parity_bits(shingles).tobytes(), prefix_of(shingles, least, common).view(np.int64)))
-            node, prints, sizes, bits, prefix = zip(*out, strict=True) if out else ([],) * 5
-            yield pd.DataFrame({"key": batch["key"], "known": batch["known"], "digest": batch["digest"], "node": np.array(node, np.uint64).view(np.int64), "prints": list(prints), "size": np.array(sizes, np.int32), "bits": bits, "prefix": list(prefix)})
+                prefix, rare = prefix_of(shingles, least, common)
+                out.append((node_of(words), word_set_prints(set(words), tables, digests), len(shingles), parity_bits(shingles, sketch_bits(len(shingles))).tobytes(), parity_bits(shingles).tobytes(), prefix.view(np.int64), rare))
+            node, prints, sizes, sketch, bits, prefix, rare = zip(*out, strict=True) if out else ([],) * 7
+            found = {"node": np.array(node, np.uint64).view(np.int64), "prints": list(prints), "size": np.array(sizes, np.int32), "sketch": sketch, "bits": bits, "prefix": list(prefix), "rare": np.array(rare, np.int32)}
+            yield pd.DataFrame({"key": batch["key"], "known": batch["known"], "digest": batch["digest"]} | found)
 
     return run
 
@@ -262,58 +281,84 @@ def _crossing(least: float, every: bool, most: int = 1 << 18) -> Callable[[Itera
     return run
 
 
-def candidates(lists: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, every: bool, list_rows: int, part_rows: int = 400_000) -> DataFrame:
-    """Pairs (a, b) of the lists (token, node, at) that are still apart and can be similar."""
-    placed = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "at")
-    apart = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token", "n")
-    placed = saved(placed.join(apart, "token").join(nodes.select("node", "size", "bits"), "node"), "placed")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / list_rows)).cast("int")
-    dealt = placed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    # A pair of blocks meets where either one's row has the other; a list of one block is part 0.
+def _possible(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            differing = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = 8 * min(len(x), len(y))
+                differing.append(int(np.count_nonzero(folded(x, size) != folded(y, size))))
+            yield batch.loc[could_reach(batch["m"].to_numpy(np.int64), batch["n"].to_numpy(np.int64), np.array(differing, np.int64), least), ["a", "b"]]
+
+    return run
+
+
+def list_rows_of(nodes: DataFrame) -> DataFrame:
+    """(token, node, size, at, bits) of the prefix shingles that more than one node has, or that a sample says are common."""
+    places = nodes.select("node", F.posexplode("prefix").alias("at", "token"), "rare")
+    common = places.where("at >= rare").select("token", "node", "at")
+    rare = places.where("at < rare").withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", "node", "at")
+    return rare.union(common).join(nodes.select("node", "size", "bits"), "node").select("token", "node", "size", "at", "bits")
+
+
+def candidates(lists: DataFrame, roots: DataFrame, least: float, every: bool, list_rows: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of the lists (token, node, size, at, bits) that are still apart and can be similar."""
+    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition(parts, "token")
+    of_token = Window.partitionBy("token")
+    placed = placed.withColumns({"n": F.count("*").over(of_token), "x": F.min("root").over(of_token), "y": F.max("root").over(of_token)}).where("x != y")
+    rows = ("token", "part", "side", "node", "root", "size", "at", "bits")
+    short = placed.where(F.col("n") <= list_rows).withColumns({"part": F.lit(0), "side": F.lit(0)}).select(*rows)
+    # A pair of blocks of a long list meets where either one's row has the other.
+    blocks = F.ceil(F.col("n") / list_rows).cast("int")
+    dealt = placed.where(F.col("n") > list_rows).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
-    dealt = dealt.select("token", part.alias("part"), side.alias("side"), "node", "root", "size", "at", "bits")
-    parts = max(8, -(-placed.count() // part_rows))
-    return dealt.repartition(parts, "token", "part").sortWithinPartitions("token", "part").mapInPandas(_crossing(least, every), "a long, b long")
+    long = dealt.withColumns({"part": part, "side": F.when(F.col("block") > F.col("other"), 1).otherwise(0)}).select(*rows).repartition(parts, "token", "part")
+    found = [x.sortWithinPartitions("token", "part").mapInPandas(_crossing(least, every), "a long, b long") for x in (short, long)]
+    return found[0].union(found[1])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar. ``texts``: (digest, text); ``nodes``: (node, digest)."""
+    """The pairs (a, b) of nodes whose shingle sets are similar. ``texts``: (digest, text); ``nodes``: (node, digest, size, sketch).
+
+    What a join looks up is a written table, so Spark knows its size and broadcasts it only below its own threshold.
+    """
     pairs = saved(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = nodes.select("node", "digest").join(wanted, "node", "left_semi").select("digest").distinct()
-    found = texts.join(owners, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")).select("text")
-    sets = saved(found.mapInPandas(_shingled(shingle), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
-    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    side = lambda node, size, bits: nodes.select(F.col("node").alias(node), F.col("size").alias(size), F.col("sketch").alias(bits))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    pairs = saved(both.mapInPandas(_possible(least), "a long, b long"), "possible")
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    owners = saved(nodes.select("node", "digest").join(wanted, "node", "left_semi").select("digest"), "owners")
+    once = texts.join(owners, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")).select("text")
+    sets = once.mapInPandas(_shingled(shingle), "node long, shingles binary")
+    sides = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(pairs, "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return saved(sides.select("a", "b", "x", "y").mapInPandas(_similar(least), "a long, b long"), "verified")
 
 
 def text_digest(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def similar_texts(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 2, radius: int = 3, list_rows: int = 50_000) -> DataFrame:
+def similar_texts(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 2, radius: int = 3, list_rows: int = 50_000, part_rows: int = 400_000) -> DataFrame:
     """(doc_id, digest, root) of every row: texts of one ``root`` are linked by similarity; ``digest`` is the text's SHA-256."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     common = common_shingles(rows, shingle, rows.count())
     keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNotNull().alias("known"), "digest", "text")
-    schema = "key long, known boolean, digest string, node long, prints array<long>, size int, bits binary, prefix array<long>"
+    schema = "key long, known boolean, digest binary, node long, prints array<long>, size int, sketch binary, bits binary, prefix array<long>, rare int"
     described = saved(keyed.mapInPandas(_described(shingle, least, tables, common), schema), "described")
-    same = ("prints", "size", "bits", "prefix")  # functions of the node
+    same = ("prints", "size", "sketch", "bits", "prefix", "rare")  # functions of the node
     nodes = saved(described.groupBy("node").agg(F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in same]), "nodes")
 
     texts = rows.select("digest", "text")
     points = nodes.select("node", F.posexplode("prints").alias("tab", "fp"))
     links = verified(near_links(points, radius, tables), texts, nodes, least, shingle)
-    places = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
-    shared = places.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    lists = saved(places.join(shared, "token").select("token", "node", "at"), "lists")
     roots = saved(components(links), "roots")
+    lists = saved(list_rows_of(nodes), "lists")
+    parts = max(8, -(-lists.count() // part_rows))
     for every in (False, True):
-        more = verified(candidates(lists, nodes, roots, least, every, list_rows), texts, nodes, least, shingle)
-        links = links.union(more)
+        links = links.union(verified(candidates(lists, roots, least, every, list_rows, parts), texts, nodes, least, shingle))
         roots = saved(components(links), "roots")
     doc_id = F.when(F.col("known"), F.col("key")).alias("doc_id")
     return described.select(doc_id, "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
