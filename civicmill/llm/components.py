@@ -4,8 +4,8 @@ Each round is a grouped minimum and a join, written to the shared folder, so lin
 links are spread by the join's skew handling and its minimum is combined before the shuffle; no group of links is ever
 collected. The rounds needed grow with the logarithm of the longest chain.
 
-Before the first round, blocks of links are thinned to spanning forests, which join the same nodes: a dense group sends
-about as many links through the joins as it has nodes, not as it has pairs.
+Before the first round, blocks of links are thinned to stars, which join the same nodes: a dense group sends about as
+many links through the joins as it has nodes, not as it has pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of each node of a block to the smallest node that the block's links reach."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -44,11 +45,12 @@ def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        for i, (a, b) in enumerate(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True)):
-            if (x := root(a)) != (y := root(b)):
-                parent[x], keep[i] = y, True
-        yield batch[keep]
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    out = pd.DataFrame({"a": np.array(nodes, np.int64), "b": np.array([root(x) for x in nodes], np.int64)})
+    yield out[out["a"] != out["b"]]
 
 
 def components(links: DataFrame, most_rounds: int = 60, block: int = 250_000) -> DataFrame:
@@ -58,7 +60,7 @@ def components(links: DataFrame, most_rounds: int = 60, block: int = 250_000) ->
     """
     once = saved(links.where("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "links")
     blocks = max(8, -(-once.count() // block))
-    now = saved(once.repartition(blocks).mapInPandas(_thinned, "a long, b long"), "forests")
+    now = saved(once.repartition(blocks).mapInPandas(_thinned, "a long, b long"), "stars")
     mark = None
     for _ in range(most_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
