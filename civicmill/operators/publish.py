@@ -11,6 +11,9 @@ from civicmill.operators.edges import doubled
 
 #: Confidence levels that may be published.
 PUBLIC_CONFIDENCE = ("verified", "confirmed")
+#: Kinds of entities that are institutions, and roles that are a seat on the council that communes share.
+INSTITUTIONS = ("service",)
+COUNCIL_SEATS = ("élu_cc",)
 
 
 def public_confidence(confidence: Column) -> Column:
@@ -18,17 +21,46 @@ def public_confidence(confidence: Column) -> Column:
     return F.coalesce(confidence.isin(*PUBLIC_CONFIDENCE), F.lit(False))
 
 
-def scope_reason(scope: Column, kind: Column) -> Column:
-    """Why a scope forbids publication, else null. A scope that was never classified is never public."""
-    return F.when(scope.isNull(), "scope_unknown").when(~scope.isin("C1", "C2", "C3", "lien"), "outside").when((scope == "C3") & (kind == "person"), "supra_person")
+def scope_allows(scope: Column, kind: Column, sits: Column) -> Column:
+    """Whether a scope lets an entity have a page of its own; one that was never classified, or is not known, does not.
+
+    The commune itself and what is linked to it may; of its neighbours only institutions and those who sit on the
+    council that the communes share.
+    """
+    near = scope.isin("C1", "lien") | (scope.isin("C2", "C3") & (kind.isin(*INSTITUTIONS) | sits))
+    return F.coalesce(near, F.lit(False))
+
+
+def scope_reason(scope: Column, kind: Column, sits: Column) -> Column:
+    """Why a scope forbids publication, else null."""
+    refused = F.when(scope.isNull(), "scope_unknown").when(scope.isin("C2", "C3"), "neighbour").otherwise("outside")
+    return F.when(~scope_allows(scope, kind, sits), refused)
+
+
+def seated(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``entities`` with (mandate, sits): whether one holds an elective role, and whether one sits on the shared council."""
+    elective = relations.where(F.col("relation_type").isin(*ELECTIVE_OR_MAYOR)).select("id", "from_id", "to_id", F.col("relation_type").isin(*COUNCIL_SEATS).alias("seat"))
+    roles = doubled(elective).groupBy(F.col("node").alias("id")).agg(F.max("seat").alias("sits"))
+    return entities.join(roles, "id", "left").withColumns({"mandate": F.col("sits").isNotNull(), "sits": F.coalesce("sits", F.lit(False))})
 
 
 def decide_entities(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """``entities`` with (reason, ok): confidence, then scope, then a mandate for persons."""
-    holders = doubled(relations.where(F.col("relation_type").isin(*ELECTIVE_OR_MAYOR)).select("id", "from_id", "to_id")).select(F.col("node").alias("id")).distinct().withColumn("mandate", F.lit(True))
-    reason = F.when(~public_confidence(F.col("confidence")), "confidence").otherwise(scope_reason(F.col("perimetre"), F.col("type")))
-    reason = F.coalesce(reason, F.when((F.col("type") == "person") & F.col("mandate").isNull(), "person_without_mandate"), F.lit("public"))
-    return entities.join(holders, "id", "left").withColumn("reason", reason).withColumn("ok", F.col("reason") == "public").drop("mandate")
+    reason = F.when(~public_confidence(F.col("confidence")), "confidence").otherwise(scope_reason(F.col("perimetre"), F.col("type"), F.col("sits")))
+    reason = F.coalesce(reason, F.when((F.col("type") == "person") & ~F.col("mandate"), "person_without_mandate"), F.lit("public"))
+    return seated(entities, relations).withColumn("reason", reason).withColumn("ok", F.col("reason") == "public").drop("mandate", "sits")
+
+
+def breaches(decided: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, breach) of published entities that must not be: checked from the facts, not from the reasons."""
+    shown = seated(decided.where("ok"), relations)
+    breach = (
+        F.when(F.col("confidence").isNull() | ~F.col("confidence").isin(*PUBLIC_CONFIDENCE), "confidence")
+        .when(F.col("perimetre").isNull() | (F.col("perimetre") == "hors"), "scope")
+        .when(F.col("perimetre").isin("C2", "C3") & ~F.col("type").isin(*INSTITUTIONS) & ~F.col("sits"), "neighbour")
+        .when((F.col("type") == "person") & ~F.col("mandate"), "person")
+    )
+    return shown.select("id", breach.alias("breach")).where("breach IS NOT NULL")
 
 
 def _with_ends(rows: DataFrame, decided: DataFrame) -> DataFrame:

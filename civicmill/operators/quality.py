@@ -64,3 +64,15 @@ def run_checks(checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     for make in checks.values():
         out = make() if out is None else out.unionByName(make())
     return out
+
+
+def outside_list(rows: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
+    """(column, n) of the values that an allow-list lacks; unknown values are outside too."""
+    outside = rows.where(~F.coalesce(F.col(column).isin(*allowed), F.lit(False)))
+    return outside.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def classified(rows: DataFrame, column: str) -> DataFrame:
+    """(n_entities, n_classified, refused): a build is refused where no row was ever classified."""
+    n = F.count(column)
+    return rows.agg(F.count("*").alias("n_entities"), n.alias("n_classified"), (n == 0).alias("refused"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from civicmill.operators import civic_views as views
 from civicmill.operators.edges import doubled
-from civicmill.operators.publish import decide_entities, decide_flows, decide_relations
+from civicmill.operators.publish import breaches, decide_entities, decide_flows, decide_relations, scope_allows, seated
+from civicmill.operators.quality import classified, outside_list
 from civicmill.plans.base import query
 from civicmill.sources.civic import CIVIC_SQL, civic
 
@@ -101,10 +102,39 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy(F.col("node").alias("entity_id")).agg(F.count("*").alias("n_citations"))
 
 
-ENTITY_DECISION = """decided AS (SELECT id, type, CASE WHEN coalesce(confidence, '') NOT IN ('verified', 'confirmed') THEN 'confidence' WHEN perimetre IS NULL THEN 'scope_unknown'
-    WHEN perimetre = 'hors' THEN 'outside' WHEN perimetre = 'C3' AND type = 'person' THEN 'supra_person'
-    WHEN type = 'person' AND id NOT IN (SELECT e.node FROM ends e JOIN relations r ON r.id = e.id WHERE r.relation_type IN ('élu_cm', 'élu_cc', 'candidat', 'adjoint', 'maire')) THEN 'person_without_mandate'
-    ELSE 'public' END AS reason FROM entities)"""
+ENTITY_DECISION = """roles AS (SELECT e.node AS id, max(CASE WHEN r.relation_type = 'élu_cc' THEN 1 ELSE 0 END) AS seat FROM ends e JOIN relations r ON r.id = e.id
+    WHERE r.relation_type IN ('élu_cm', 'élu_cc', 'candidat', 'adjoint', 'maire') GROUP BY e.node),
+decided AS (SELECT e.id, type, perimetre, CASE WHEN coalesce(confidence, '') NOT IN ('verified', 'confirmed') THEN 'confidence' WHEN perimetre IS NULL THEN 'scope_unknown'
+    WHEN perimetre IN ('C2', 'C3') AND type <> 'service' AND coalesce(seat, 0) = 0 THEN 'neighbour' WHEN perimetre NOT IN ('C1', 'C2', 'C3', 'lien') THEN 'outside'
+    WHEN type = 'person' AND seat IS NULL THEN 'person_without_mandate' ELSE 'public' END AS reason FROM entities e LEFT JOIN roles ON roles.id = e.id)"""
+
+
+@query("C07_scope_rule", CIVIC_SQL + ", " + ENTITY_DECISION + """ SELECT e.id AS entity_id, e.perimetre AS scope, e.type, coalesce(seat, 0) = 1 AS sits,
+    coalesce(e.perimetre = 'C1' OR e.perimetre = 'lien' OR ((e.perimetre = 'C2' OR e.perimetre = 'C3') AND (e.type = 'service' OR coalesce(seat, 0) = 1)), FALSE) AS allowed
+    FROM entities e LEFT JOIN roles ON roles.id = e.id""")
+def scope_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = civic(spark, sf_dir)
+    allowed = scope_allows(F.col("perimetre"), F.col("type"), F.col("sits"))
+    return seated(c.entities, c.relations).select(F.col("id").alias("entity_id"), F.col("perimetre").alias("scope"), "type", "sits", allowed.alias("allowed"))
+
+
+@query("I01_published_breaches", CIVIC_SQL + ", " + ENTITY_DECISION + """ SELECT d.id AS entity_id, 'breach' AS breach FROM decided d JOIN entities e ON e.id = d.id LEFT JOIN roles ON roles.id = e.id
+    WHERE d.reason = 'public' AND (e.confidence NOT IN ('verified', 'confirmed') OR e.perimetre IS NULL OR e.perimetre = 'hors' OR (e.perimetre IN ('C2', 'C3') AND e.type <> 'service' AND coalesce(seat, 0) = 0)
+    OR (e.type = 'person' AND seat IS NULL))""")
+def published_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No row, as long as the decisions keep to the rules."""
+    c = civic(spark, sf_dir)
+    return breaches(decide_entities(c.entities, c.relations), c.relations).select(F.col("id").alias("entity_id"), "breach")
+
+
+@query("I03_sources_outside_list", CIVIC_SQL + " SELECT source, count(*) AS n FROM relations WHERE source IS NULL OR source NOT IN ('ofgl', 'decp') GROUP BY source")
+def sources_outside_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outside_list(civic(spark, sf_dir).relations, "source", ("ofgl", "decp"))
+
+
+@query("I06_scope_classified", CIVIC_SQL + " SELECT count(*) AS n_entities, count(perimetre) AS n_classified, count(perimetre) = 0 AS refused FROM entities")
+def scope_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(civic(spark, sf_dir).entities, "perimetre")
 
 
 @query("C12_entity_decisions", CIVIC_SQL + ", " + ENTITY_DECISION + " SELECT id AS entity_id, type, reason, reason = 'public' AS ok FROM decided")

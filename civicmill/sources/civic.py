@@ -1,6 +1,6 @@
 """A civic data set, as actors, relations, money flows and acts, over the driver's star schema.
 
-Customers stand for persons, suppliers for businesses, parts for associations; each order is a relation between its
+Customers stand for persons, suppliers for businesses, parts for associations and public services; each order is a relation between its
 customer and the part of its largest line, and a money flow from that line's supplier to that part; shipped orders are
 dated acts. The operators take frames of this shape wherever they come from.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from civicmill.sources.tables import table
 
-#: Relation and flow types by order priority.
+#: Relation and flow types by order priority; a third of the deputies sit on the shared council instead.
 RELATION_TYPES = {"1-URGENT": "élu_cm", "2-HIGH": "adjoint", "3-MEDIUM": "dirigeant", "4-NOT SPECIFIED": "président", "5-LOW": "membre_commission"}
 FLOW_TYPES = {"1-URGENT": "subvention", "2-HIGH": "marche_public", "3-MEDIUM": "subvention_region", "4-NOT SPECIFIED": "bail", "5-LOW": "DETR_demande"}
 SOURCES = {"F": "ofgl", "O": "decp", "P": "cm"}
@@ -59,7 +59,7 @@ def civic(spark: SparkSession, sf_dir: str) -> Civic:
         F.concat(F.lit("Place "), place("s_nationkey")).alias("address"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("siren"), F.col("s_acctbal").alias("balance"),
     )
     association = read("part").select(
-        (F.col("p_partkey") * 3 + 2).alias("id"), F.lit("association").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("commune"),
+        (F.col("p_partkey") * 3 + 2).alias("id"), F.when(F.col("p_partkey") % 7 == 0, "service").otherwise("association").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("commune"),
         F.concat(F.lit("Rue "), F.col("p_size").cast("string"), F.lit(" "), "p_brand").alias("address"), F.lit(None).cast("string").alias("siren"), F.col("p_retailprice").alias("balance"),
     )
     confidence, scope = _graded(F.col("id"))
@@ -74,7 +74,7 @@ def civic(spark: SparkSession, sf_dir: str) -> Civic:
     swapped, source = F.col("id") % 2 == 1, _named(F.col("o_orderstatus"), SOURCES)
     relations = acts.select(
         "id", F.when(swapped, F.col("association")).otherwise(F.col("person")).alias("from_id"), F.when(swapped, F.col("person")).otherwise(F.col("association")).alias("to_id"),
-        _named(F.col("o_orderpriority"), RELATION_TYPES).alias("relation_type"), F.when(F.col("o_orderstatus") != "P", F.col("ordered")).alias("since"),
+        F.when((F.col("o_orderpriority") == "2-HIGH") & (F.col("id") % 3 == 0), "élu_cc").otherwise(_named(F.col("o_orderpriority"), RELATION_TYPES)).alias("relation_type"), F.when(F.col("o_orderstatus") != "P", F.col("ordered")).alias("since"),
         F.when(F.col("o_orderstatus") == "F", F.col("shipped")).alias("until"), source.alias("source"), confidence.alias("confidence"),
     )
     dated = F.col("o_orderstatus") == "F"
@@ -92,7 +92,7 @@ WITH graded AS (
     SELECT c_custkey * 3 AS id, 'person' AS type, c_name AS name, 'N' || c_nationkey AS commune, 'Rue ' || c_mktsegment || ' N' || c_nationkey AS address,
         CAST(NULL AS VARCHAR) AS siren, c_acctbal AS balance FROM customer
     UNION ALL SELECT s_suppkey * 3 + 1, 'business', s_name, 'N' || s_nationkey, 'Place N' || s_nationkey, lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), s_acctbal FROM supplier
-    UNION ALL SELECT p_partkey * 3 + 2, 'association', p_name, p_brand, 'Rue ' || p_size || ' ' || p_brand, NULL, p_retailprice FROM part
+    UNION ALL SELECT p_partkey * 3 + 2, CASE WHEN p_partkey % 7 = 0 THEN 'service' ELSE 'association' END, p_name, p_brand, 'Rue ' || p_size || ' ' || p_brand, NULL, p_retailprice FROM part
 ), entities AS (
     SELECT *, CASE id % 5 WHEN 0 THEN 'probable' WHEN 1 THEN 'hypothesis' WHEN 2 THEN 'confirmed' ELSE 'verified' END AS confidence,
         CASE id % 6 WHEN 1 THEN 'C1' WHEN 2 THEN 'C2' WHEN 3 THEN 'C3' WHEN 4 THEN 'lien' WHEN 5 THEN 'hors' END AS perimetre FROM graded
@@ -105,7 +105,7 @@ WITH graded AS (
     FROM orders JOIN main ON o_orderkey = l_orderkey
 ), relations AS (
     SELECT id, CASE WHEN id % 2 = 1 THEN association ELSE person END AS from_id, CASE WHEN id % 2 = 1 THEN person ELSE association END AS to_id,
-        CASE o_orderpriority WHEN '1-URGENT' THEN 'élu_cm' WHEN '2-HIGH' THEN 'adjoint' WHEN '3-MEDIUM' THEN 'dirigeant' WHEN '4-NOT SPECIFIED' THEN 'président' WHEN '5-LOW' THEN 'membre_commission' END AS relation_type,
+        CASE WHEN o_orderpriority = '2-HIGH' AND id % 3 = 0 THEN 'élu_cc' WHEN o_orderpriority = '1-URGENT' THEN 'élu_cm' WHEN o_orderpriority = '2-HIGH' THEN 'adjoint' WHEN o_orderpriority = '3-MEDIUM' THEN 'dirigeant' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'président' WHEN o_orderpriority = '5-LOW' THEN 'membre_commission' END AS relation_type,
         CASE WHEN o_orderstatus <> 'P' THEN ordered END AS since, CASE WHEN o_orderstatus = 'F' THEN shipped END AS until, source,
         CASE id % 5 WHEN 0 THEN 'probable' WHEN 1 THEN 'hypothesis' WHEN 2 THEN 'confirmed' ELSE 'verified' END AS confidence
     FROM acts
