@@ -53,20 +53,24 @@ def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out[out["a"] != out["b"]]
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether each node has one link at most, to a node that has none: links are stars then. They run from larger to smaller."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 60, block: int = 250_000) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the smallest node of its component.
 
-    ``block``: about how many links a task thins at a time.
+    ``block``: about how many links a task thins at a time. ``links`` are read twice, so a dear frame comes as a table.
     """
-    once = saved(links.where("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "links")
+    once = links.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     blocks = max(8, -(-once.count() // block))
     now = saved(once.repartition(blocks).mapInPandas(_thinned, "a long, b long"), "stars")
-    mark = None
     for _ in range(most_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
+        if _settled(now):
             break
-        mark = seen
         now = saved(_small_star(_large_star(now).distinct()).distinct(), "links")
     else:
         raise RuntimeError("components have not settled")

@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     """(doc_id, fp, component_id) per row: the component's id is the smallest ``doc_id`` reachable over links."""
     prints = fingerprints(docs, shingle)
     points = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(near_links(points.select(F.col("fp").alias("node"), F.lit(0).alias("tab"), "fp"), radius)).withColumnsRenamed({"node": "fp"})
+    links = saved(near_links(points.select(F.col("fp").alias("node"), F.lit(0).alias("tab"), "fp"), radius), "links")
+    roots = components(links).withColumnsRenamed({"node": "fp"})
     joined = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = saved(joined.join(ids, "root").select("fp", "component_id"), "classes")
