@@ -73,3 +73,62 @@ def denied(host: Column, domains: tuple[str, ...]) -> Column:
     for d in domains:
         out |= host.endswith(f".{d}")
     return out
+
+
+#: Structural words that tell no public buyer from another.
+STRUCTURAL = (
+    "cc", "ca", "cu", "communaute", "communautes", "commune", "communes", "mairie", "mairies", "ville", "villes",
+    "de", "du", "des", "d", "la", "le", "les", "l",
+)
+
+#: Titles that say nothing outside their document.
+EMPTY_TITLES = (
+    "questions diverses", "divers", "informations diverses", "informations et questions diverses", "point divers",
+    "questions et informations diverses", "(sans titre)",
+)
+
+
+def buyer_key(name: Column) -> Column:
+    """A buyer's name without accents, case, punctuation and structural words, for comparison by prefix."""
+    plain = F.lower(fold(F.coalesce(name, F.lit(""))))
+    return F.regexp_replace(F.regexp_replace(plain, rf"\b(?:{'|'.join(STRUCTURAL)})\b", " "), "[^a-z0-9]+", "")
+
+
+def buyer_of(name: Column, owners: list[tuple[str, str]]) -> Column:
+    """The id of the first of ``owners`` (key of the name, id) whose key opens the buyer's key, else null.
+
+    A suffix ("service eau") is the owner still; a foreign prefix ("syndicat de") is somebody else.
+    """
+    key = buyer_key(name)
+    return F.coalesce(*[F.when(key.startswith(k), F.lit(i)) for k, i in owners], F.lit(None).cast("string"))
+
+
+def event_title(title: Column) -> Column:
+    """A title without the archive's prefix of council and date, white space squeezed."""
+    rest = F.regexp_replace(F.coalesce(title, F.lit("")), r"^CM\s+du\s+\d{4}-\d{2}-\d{2}\s*[-—–]\s*", "")
+    return F.trim(F.regexp_replace(rest, r"\s+", " "))
+
+
+def says_nothing(title: Column) -> Column:
+    return F.lower(event_title(title)).isin("", *EMPTY_TITLES)
+
+
+def birth_name(name: Column) -> tuple[Column, Column]:
+    """(name in use, name at birth) of "Name (BIRTH NAME)"; nulls without brackets at the end."""
+    pattern = r"^(.*?)\s*\(([^)]+)\)\s*$"
+    there = name.rlike(pattern)
+    return F.when(there, F.trim(F.regexp_extract(name, pattern, 1))), F.when(there, F.trim(F.regexp_extract(name, pattern, 2)))
+
+
+def surnames(name: Column) -> Column:
+    """Words of over two letters written in capitals, brackets left out."""
+    words = F.split(F.trim(F.regexp_replace(name, r"\([^)]*\)", "")), r"\s+")
+    return F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 2))
+
+
+def rectified(text: Column, corrections: dict[str, str]) -> Column:
+    """Declared corrections, each as it is written and in capitals without accents."""
+    for wrong, right in corrections.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+        text = F.replace(text, F.upper(fold(F.lit(wrong))), F.upper(fold(F.lit(right))))
+    return text

@@ -95,3 +95,22 @@ def repeated_lines(docs: DataFrame, key: str, text: str, least: int = 4, longest
     lines = docs.select(key, F.explode(F.split(text, "\n")).alias("line")).select(key, F.trim("line").alias("line"))
     short = lines.where((F.col("line") != "") & (F.length("line") < longest))
     return short.groupBy(key, "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+#: Fixed value: how minutes word a subsidy; beneficiary and amount are its groups.
+SUBSIDY = (
+    r"(?i)attribuer\s+(?:à|au|aux)\s+(?:l['’]|la\s+|le\s+)?(.{2,55}?)\s+une\s+(?:subvention|avance[^.]{0,20}?subvention|aide)\s+"
+    r"(?:exceptionnelle\s+)?(?:par anticipation\s+)?de\s+([\d\s\x{00A0}\x{202F}]{2,12})\s*€"
+)
+
+
+def subsidies(acts: DataFrame, key: str, date: str, text: str, most: int = 200_000) -> DataFrame:
+    """(year, beneficiary, amount, key): subsidies that dated texts grant, the first act of each (year, beneficiary).
+
+    Of one act the first mention counts; amounts of nothing or over ``most`` are left out before.
+    """
+    names, sums = (F.regexp_extract_all(F.col(text), F.lit(SUBSIDY), F.lit(g)) for g in (1, 2))
+    dated = acts.where(F.col(date).isNotNull()).select(F.year(date).alias("year"), F.col(key), F.posexplode(F.arrays_zip(names.alias("name"), sums.alias("sum"))).alias("at", "hit"))
+    name = F.regexp_replace(F.regexp_replace(F.col("hit.name"), r"\s+", " "), "^[ ,.]+|[ ,.]+$", "")
+    found = dated.select("year", key, "at", name.alias("beneficiary"), F.regexp_replace("hit.sum", "[^0-9]", "").cast("long").alias("amount")).where(F.col("amount").between(1, most))
+    first = found.groupBy("year", F.lower("beneficiary").alias("who")).agg(F.min_by(F.struct("beneficiary", "amount", key), F.struct(key, "at")).alias("first"))
+    return first.select("year", "first.*")

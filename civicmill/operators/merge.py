@@ -75,3 +75,16 @@ def decided(local: DataFrame, decisions: DataFrame, key: str, value: str) -> Dat
     rows = decisions.select(key, F.col(value).alias("_theirs")).join(mine, key, "left")
     outcome = F.when(F.col("_known").isNull(), "unknown").when(F.col("_mine").isNull(), "applied").when(F.col("_mine") == F.col("_theirs"), "up_to_date").otherwise("disagreement")
     return rows.select(key, outcome.alias("outcome"))
+
+
+def reloaded(existing: DataFrame, incoming: DataFrame, partition: list[str]) -> DataFrame:
+    """Partitions that ``incoming`` has are replaced as a whole; the others stay."""
+    return existing.join(incoming.select(*partition).distinct(), partition, "left_anti").unionByName(incoming)
+
+
+def journalled(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after, added, status) of a load per collector; one that added nothing is empty, not ok."""
+    counts = before.groupBy(key).agg(F.count("*").alias("before")).join(after.groupBy(key).agg(F.count("*").alias("after")), key, "full")
+    filled = counts.select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
+    added = F.col("after") - F.col("before")
+    return filled.withColumns({"added": added, "status": F.when(added > 0, "ok").otherwise("empty")})

@@ -68,3 +68,15 @@ def reconciled(base: DataFrame, register: DataFrame, key: list[str], covered: Da
     rows = a.join(b, [*key, place], "full").join(covered.select(place).distinct(), place, "left_semi")
     finding = F.when(F.col("in_base") & F.col("in_register"), "accord").when(F.col("in_base"), "absent_du_registre").otherwise("absent_de_la_base")
     return rows.select(*key, place, finding.alias("finding"))
+
+
+def names_within(names: DataFrame, mentions: DataFrame, name: str, mention: str) -> DataFrame:
+    """(name, mention) of distinct texts where all words of a name stand in a mention.
+
+    They meet on the name's longest word, so no pair is formed that has none in common.
+    """
+    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
+    longest = lambda w: F.element_at(F.array_sort(F.transform(w, lambda x: F.struct(-F.length(x), x.alias("word")))), 1)["word"]
+    left = names.where(F.trim(name) != "").select(name).distinct().withColumn("wanted", words(F.col(name))).withColumn("word", longest(F.col("wanted")))
+    right = mentions.select(mention).distinct().withColumn("there", words(F.col(mention))).withColumn("word", F.explode("there"))
+    return left.join(right, "word").where(F.size(F.array_except("wanted", "there")) == 0).select(name, mention)

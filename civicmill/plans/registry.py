@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from civicmill.plans import aggregates, civic_views, graphs, mutations, quality, relational, scalars, streams, texts, windows  # noqa: F401  they register
+from civicmill.plans import aggregates, civic_views, graphs, labels, listings, mutations, quality, relational, scalars, streams, texts, windows  # noqa: F401  they register
 from civicmill.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "J09_conflicts"
