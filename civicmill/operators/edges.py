@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def doubled(edges: DataFrame, a: str = "from_id", b: str = "to_id") -> DataFrame:
     """Each edge once per end, as ``node`` and ``other`` beside its other columns; a loop counts once.
 
-    An OR in a join condition is planned as a nested loop over all pairs; this frame joins on ``node`` instead. The scan
-    is read twice at most, and narrow.
+    An OR in a join condition is planned as a nested loop over all pairs; this frame joins on ``node`` instead. Edges are
+    read once, both ends of a row at a time.
     """
     rest = [c for c in edges.columns if c not in (a, b)]
-    there = edges.select(*rest, F.col(a).alias("node"), F.col(b).alias("other"))
-    back = edges.where(F.col(a) != F.col(b)).select(*rest, F.col(b).alias("node"), F.col(a).alias("other"))
-    return there.unionByName(back)
+    end = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("other"))
+    ends = F.when(F.col(a) != F.col(b), F.array(end(a, b), end(b, a))).otherwise(F.array(end(a, b)))
+    return edges.select(*rest, F.inline(ends))
 
 
 def degrees(edges: DataFrame, a: str = "from_id", b: str = "to_id") -> DataFrame:

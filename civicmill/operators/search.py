@@ -30,14 +30,13 @@ def search(docs: DataFrame, key: str, text: str, wanted: str, k1: float = 1.2, b
     Statistics cover all documents; only words under a prefix are shuffled, as counts per document.
     """
     prefixes = query_tokens(wanted)
-    words = docs.select(key, F.filter(F.split(normalise(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: w != "").alias("words"))
-    sized = words.withColumn("length", F.size("words"))
-    whole = sized.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    starting = lambda p: F.filter("words", lambda w: w.startswith(p))
-    counts = [F.size(starting(p)).alias(f"tf{i}") for i, p in enumerate(prefixes)]
-    hits = sized.select(key, "length", *counts)
-    known = hits.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(prefixes))])
-    rows = hits.where(" AND ".join(f"tf{i} > 0" for i in range(len(prefixes))) or "false").join(F.broadcast(whole)).join(F.broadcast(known))  # one row each
+    # An exploded array of one keeps filters on counts from being pushed below, where each would normalise the text again.
+    plain = docs.select(key, F.explode(F.array(normalise(F.coalesce(F.col(text), F.lit(""))))).alias("plain"))
+    blanks = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit("")))
+    counts = [F.regexp_count(F.concat(F.lit(" "), "plain"), F.lit(f" {p}")).alias(f"tf{i}") for i, p in enumerate(prefixes)]
+    hits = plain.select(key, F.when(F.col("plain") == "", 0).otherwise(blanks + 1).alias("length"), *counts)
+    known = hits.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(prefixes))])
+    rows = hits.where(" AND ".join(f"tf{i} > 0" for i in range(len(prefixes))) or "false").join(F.broadcast(known))  # one row
     score: Column = F.lit(0.0)
     for i in range(len(prefixes)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")

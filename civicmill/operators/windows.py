@@ -41,12 +41,25 @@ def longest_run(df: DataFrame, keys: list[str], number: str) -> DataFrame:
 
 
 def without_near_repeats(df: DataFrame, keys: list[str], date: str, days: int, tie: str) -> DataFrame:
-    """Of rows with equal ``keys`` that follow each other within ``days``, the first of each chain stays.
+    """Of rows with equal ``keys``, in order of date, one stays if it comes over ``days`` after the last one that stayed.
 
-    A greedy scan depends on what it kept before; chains don't, so this is one window and no loop.
+    A row that comes so long after the row before it stays whatever was kept, so the scan runs within such chains only.
+    Rows without a date are near to all: one stays if its key has no dated row.
     """
-    over = Window.partitionBy(*keys).orderBy(date, tie)
-    return df.withColumn("_gap", F.datediff(date, F.lag(date).over(over))).where(F.col("_gap").isNull() | (F.col("_gap") > days)).drop("_gap")
+    over = Window.partitionBy(*keys).orderBy(F.col(date).asc_nulls_last(), tie)
+    opens = (F.datediff(date, F.lag(date).over(over)) > days).cast("int")
+    chained = df.withColumn("_opens", F.coalesce(opens, F.lit(0))).withColumn("_chain", F.sum("_opens").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    entry = F.struct(F.col(date).isNull().alias("undated"), F.to_date(date).alias("day"), F.col(date).alias("date"), F.col(tie).alias("tie"), F.struct(*df.columns).alias("row"))
+    chains = chained.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_chain").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+    def step(state: Column, one: Column) -> Column:
+        stays = state["first"] | (F.datediff(one["day"], state["last"]) > days)
+        kept = F.when(stays, F.concat(state["kept"], F.array(one["row"]))).otherwise(state["kept"])
+        return F.struct(F.lit(False).alias("first"), F.when(stays, one["day"]).otherwise(state["last"]).alias("last"), kept.alias("kept"))
+
+    none = F.slice(F.transform("entries", lambda e: e["row"]), 1, 0)
+    start = F.struct(F.lit(True).alias("first"), F.lit(None).cast("date").alias("last"), none.alias("kept"))
+    return chains.select(F.inline(F.aggregate("entries", start, step)["kept"]))
 
 
 def carried(column: str, keys: list[str], *order: Column) -> Column:

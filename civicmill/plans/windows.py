@@ -84,7 +84,9 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", w.carried("bought", ["user_id"], F.col("ts"), F.col("event_id")).alias("last_purchase"))
 
 
-@query("W12_near_repeats", """SELECT o_orderkey FROM (SELECT o_orderkey, datediff('day', CAST(lag(o_orderdate) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS DATE), CAST(o_orderdate AS DATE)) AS gap FROM orders) WHERE gap IS NULL OR gap > 200""")
+@query("W12_near_repeats", """WITH RECURSIVE r AS (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    g AS (SELECT o_orderkey, o_custkey, o_orderpriority, n, day AS last, true AS stays FROM r WHERE n = 1 UNION ALL SELECT r.o_orderkey, r.o_custkey, r.o_orderpriority, r.n, CASE WHEN r.day - g.last > 200 THEN r.day ELSE g.last END, r.day - g.last > 200
+    FROM r JOIN g ON r.o_custkey = g.o_custkey AND r.o_orderpriority = g.o_orderpriority AND r.n = g.n + 1) SELECT o_orderkey FROM g WHERE stays""")
 def near_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.without_near_repeats(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderdate", 200, "o_orderkey").select("o_orderkey")
 

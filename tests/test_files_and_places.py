@@ -103,3 +103,18 @@ def test_journal_of_an_empty_run(spark):
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "source string")
     got = {tuple(r) for r in merge.journalled(rows("a", "b"), rows("a", "b", "b", "c"), "source").collect()}
     assert got == {("a", 1, 1, 0, "empty"), ("b", 1, 2, 1, "ok"), ("c", 0, 1, 1, "ok")}
+
+
+def test_near_repeats_are_scanned_greedily(spark):
+    from civicmill.operators.windows import without_near_repeats
+
+    rows = [("a", "2020-01-01", 1), ("a", "2020-05-30", 2), ("a", "2020-10-27", 3), ("a", "2022-01-01", 4), ("b", None, 5), ("b", None, 6), ("c", None, 7), ("c", "2020-01-01", 8)]
+    df = spark.createDataFrame(rows, "k string, d string, id int").withColumn("d", F.to_date("d"))
+    assert sorted(r["id"] for r in without_near_repeats(df, ["k"], "d", 200, "id").collect()) == [1, 3, 4, 5, 8]
+
+
+def test_search_counts_words_from_their_start(spark):
+    from civicmill.operators.search import search
+
+    docs = spark.createDataFrame([(1, "Théâtre the other. Re-the"), (2, "bathe are"), (3, None), (4, "RE the")], "id int, text string")
+    assert sorted(r["id"] for r in search(docs, "id", "text", "the re").collect()) == [1, 4]
