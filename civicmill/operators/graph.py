@@ -13,18 +13,26 @@ def ego_network(edges: DataFrame, start: DataFrame, depth: int = 2, first_hop: i
     """(node, hop) around ``start`` (node): at most ``first_hop`` neighbours by degree at hop 1, ``most`` nodes in all.
 
     The caps are part of what a reader is shown. A hop is a join of the frontier with the doubled edges and an anti-join
-    with what was seen; the frontier is bounded by the caps, so its side is small by definition.
+    with what was seen. Its result, at most ``most`` rows by the caps, goes through the driver, so no hop plans the hops
+    before it again; degrees are counted for the hop's neighbours only.
     """
-    ends = doubled(edges.select("id", "from_id", "to_id")).select("node", "other").distinct()
-    rank = degrees(edges).withColumnRenamed("node", "other")
-    seen = start.select("node").distinct().withColumn("hop", F.lit(0))
-    frontier = seen.select("node")
-    for hop in range(1, depth + 1):
-        near = ends.join(F.broadcast(frontier), "node", "left_semi").select("other").distinct().join(F.broadcast(seen.select(F.col("node").alias("other"))), "other", "left_anti")  # at most ``most`` rows
-        ranked = near.join(rank, "other").orderBy(F.desc("degree"), "other").limit(first_hop if hop == 1 else most)
-        found = ranked.select(F.col("other").alias("node"), F.lit(hop).alias("hop"))
-        seen, frontier = seen.unionByName(found), found.select("node")
-    return seen.orderBy("hop", "node").limit(most)
+    spark = edges.sparkSession
+    ends = doubled(edges.select("id", "from_id", "to_id")).persist()  # read twice a hop; let go below
+    schema = f"node {ends.schema['node'].dataType.simpleString()}, hop int"
+    seen = [(r["node"], 0) for r in start.select("node").distinct().orderBy("node").limit(most).collect()]
+    frontier = seen
+    try:
+        for hop in range(1, depth + 1):
+            known = spark.createDataFrame(seen, schema).select(F.col("node").alias("other"))
+            last = spark.createDataFrame(frontier, schema).select("node")
+            near = ends.join(F.broadcast(last), "node", "left_semi").select("other").distinct().join(F.broadcast(known), "other", "left_anti")  # at most ``first_hop + most`` rows a hop
+            degree = ends.join(near.select(F.col("other").alias("node")), "node", "left_semi").groupBy("node").agg(F.count("id").alias("degree"))
+            ranked = degree.orderBy(F.desc("degree"), "node").limit(first_hop if hop == 1 else most)
+            frontier = [(r["node"], hop) for r in ranked.collect()]
+            seen = seen + frontier
+    finally:
+        ends.unpersist()
+    return spark.createDataFrame(seen, schema).orderBy("hop", "node").limit(most)
 
 
 def overview(edges: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
