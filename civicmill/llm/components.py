@@ -63,7 +63,8 @@ def _settled(links: DataFrame) -> bool:
 def components(links: DataFrame, most_rounds: int = 60, block: int = 250_000) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the smallest node of its component.
 
-    ``block``: about how many links a task thins at a time. ``links`` are read twice, so a dear frame comes as a table.
+    ``block``: about how many links a task thins at a time, and a file holds later on, since rounds never add links.
+    ``links`` are read twice, so a dear frame comes as a table.
     """
     once = links.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     blocks = max(8, -(-once.count() // block))
@@ -71,7 +72,7 @@ def components(links: DataFrame, most_rounds: int = 60, block: int = 250_000) ->
     for _ in range(most_rounds):
         if _settled(now):
             break
-        now = saved(_small_star(_large_star(now).distinct()).distinct(), "links")
+        now = saved(_small_star(_large_star(now).distinct()).distinct().coalesce(blocks), "links")
     else:
         raise RuntimeError("components have not settled")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

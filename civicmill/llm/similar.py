@@ -319,21 +319,24 @@ def candidates(lists: DataFrame, roots: DataFrame, least: float, every: bool, li
     return found[0].union(found[1])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float, shingle: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float, shingle: int, task_rows: int = 2_000) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are similar. ``texts``: (digest, text); ``nodes``: (node, digest, size, sketch).
 
     What a join looks up is a written table, so Spark knows its size and broadcasts it only below its own threshold.
+    Python works on tasks of ``task_rows`` texts or pairs, as far as the shuffles before it are no coarser.
     """
     pairs = saved(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     side = lambda node, size, bits: nodes.select(F.col("node").alias(node), F.col("size").alias(size), F.col("sketch").alias(bits))
     both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
     pairs = saved(both.mapInPandas(_possible(least), "a long, b long"), "possible")
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    tasks = max(8, -(-pairs.count() // task_rows))
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(tasks), "wanted")
     owners = saved(nodes.select("node", "digest").join(wanted, "node", "left_semi").select("digest"), "owners")
     once = texts.join(owners, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")).select("text")
+    once = once.coalesce(max(8, -(-wanted.count() // task_rows)))
     sets = once.mapInPandas(_shingled(shingle), "node long, shingles binary")
     sides = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(pairs, "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return saved(sides.select("a", "b", "x", "y").mapInPandas(_similar(least), "a long, b long"), "verified")
+    return saved(sides.select("a", "b", "x", "y").coalesce(tasks).mapInPandas(_similar(least), "a long, b long"), "verified")
 
 
 def text_digest(text: Column) -> Column:
