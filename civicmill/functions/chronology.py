@@ -30,6 +30,24 @@ def severity(outcome: Column) -> Column:
     return rank
 
 
-def case_status(flows: Column, recused: Column, worst: Column, all_closed: Column) -> Column:
-    """Status of a (person, entity) case: no flow, recused, mandate over, inside the mandate, or to be checked."""
-    return F.when(flows == 0, "sans_flux").when(recused, "deport").when(all_closed, "mandat_clos").when(worst == 0, "a_examiner").otherwise("a_verifier")
+#: What one mandate of several says of a flow, the one that counts first; one covering mandate is enough.
+OUTCOMES = ("contemporain", "chevauchement_annee", "anterieur_mandat", "hors_mandat", "dates_manquantes", "lien_sans_flux")
+
+
+def best_outcome(outcomes: Column) -> Column:
+    """Of an array of outcomes over all mandates of a person the one that counts; "indetermine" if none is known."""
+    return F.coalesce(*[F.when(F.array_contains(outcomes, o), F.lit(o)) for o in OUTCOMES], F.lit("indetermine"))
+
+
+def case_status(paid: Column, recused: Column, outcome: Column, any_closed: Column) -> Column:
+    """Status of a (person, entity) case: whether money flowed, a recusal was found, and how the flow stands to mandates.
+
+    A flow before every known mandate is outside only if a closed mandate is known; else the history may be incomplete.
+    """
+    return (
+        F.when(~F.coalesce(paid, F.lit(False)), "lien_sans_versement")
+        .when(recused, "deport_constate")
+        .when((outcome == "hors_mandat") | ((outcome == "anterieur_mandat") & any_closed), "hors_mandat")
+        .when(outcome == "anterieur_mandat", "chronologie_incertaine")
+        .otherwise("deport_non_trouve")
+    )

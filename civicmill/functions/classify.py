@@ -38,6 +38,16 @@ def editable(origin: Column) -> Column:
     return F.coalesce(origin.isin("verbatim", "atelier"), F.lit(False))
 
 
+def shared_name_score(bearers: Column) -> Column:
+    """Worth of a link by a shared surname: the more people bear it, the less it says; 20 at least."""
+    return F.greatest(F.lit(20), 50 - 8 * bearers)
+
+
+def overlap_score(share: Column) -> Column:
+    """Worth of a link by words in common, by their share."""
+    return 70 + 20 * share
+
+
 def relevance(*hits: tuple[Column, float]) -> Column:
     """0.3 and what each hit adds, 1 at most."""
     score = F.lit(0.3)

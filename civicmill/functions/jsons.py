@@ -36,6 +36,11 @@ def with_member(text: Column, key: str, value: Column) -> Column:
     return F.to_json(F.map_concat(F.map_filter(old, lambda k, v: k != key), F.create_map(F.lit(key), value.cast("string"))))
 
 
+def without_member(text: Column, key: str) -> Column:
+    """A flat object with a member removed."""
+    return F.to_json(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: k != key))
+
+
 def fingerprint(*parts: Column) -> Column:
     """16 hexadecimal digits over normalised fields, null ones left out."""
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16)

@@ -62,6 +62,26 @@ def iso_date(text: Column) -> Column:
     return F.coalesce(iso, F.when(part(3) != "", named), F.when(num(3) != "", numeric))
 
 
+def event_date(title: Column, content: Column, published: Column, before: int = 1, after: int = 2, read: int = 1200) -> Column:
+    """struct(date, origin) of an announcement: the date its title names, else the start of its content, else publication.
+
+    A date counts from ``before`` years ahead of publication to ``after`` years past it. A day without a year is in the
+    year of publication, or in the next one if its month is over by more than a month. Days that no month has are passed
+    over.
+    """
+    named = []
+    for text in (title, F.substring(content, 1, read)):
+        plain = F.lower(fold(text))
+        part = lambda k, plain=plain: F.regexp_extract(plain, rf"\b(\d{{1,2}})(?:er)? ({'|'.join(MONTHS)})\b(?! \d{{4}})", k)
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), part(2))
+        year = F.year(published) + F.when(month < F.month(published) - 1, 1).otherwise(0)
+        bare = F.when(part(2) != "", F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, part(1).try_cast("int")), "yyyy-MM-dd"))
+        for found in (iso_date(text), bare):
+            named.append(F.when(F.year(found).between(F.year(published) - before, F.year(published) + after), found))
+    date = F.coalesce(*named)
+    return F.struct(F.coalesce(date, published).alias("date"), F.when(date.isNotNull(), "texte").otherwise("publication").alias("origin"))
+
+
 def placeholder_date(date: Column) -> Column:
     """Dates that forms are filled with by default."""
     return F.coalesce(date.rlike(r"^1900|-(?:12-25|01-01)$"), F.lit(False))

@@ -90,3 +90,18 @@ def influence(entities: DataFrame, relations: DataFrame, flows: DataFrame, event
     rows = entities.select(F.col("id").alias("node"), "type", "name").join(ties, "node", "left").join(money, "node", "left").join(acts, "node", "left").na.fill(0, ["n_relations", "total_flow", "n_events"])
     score = F.col("n_relations") + F.expr("total_flow div 10000") + F.col("n_events") * 3
     return rows.select(F.col("node").alias("entity_id"), "type", "name", "n_relations", "total_flow", "n_events", score.alias("score"))
+
+
+def entourage(entities: DataFrame, relations: DataFrame, flows: DataFrame) -> DataFrame:
+    """(id, roles) of persons who lead an association, or a body that public money reaches, and hold no elective role.
+
+    ``roles``: sorted distinct structs (organisation, role, reason). Leading any other business opens no door.
+    """
+    kinds = entities.select("id", "type")
+    leads = doubled(relations.where(F.col("relation_type").isin(*PRIVATE)).select("id", "from_id", "to_id", "relation_type"))
+    persons = leads.join(kinds.where("type = 'person'").select(F.col("id").alias("node")), "node").select("node", "other", "relation_type")
+    associations = kinds.where("type = 'association'").select(F.col("id").alias("other"), F.lit("association").alias("reason"))
+    paid = flows.where("to_id IS NOT NULL").select(F.col("to_id").alias("other"), F.lit("money").alias("reason")).distinct()
+    elected = doubled(relations.where(F.col("relation_type").isin(*ELECTIVE_OR_MAYOR)).select("id", "from_id", "to_id")).select("node").distinct()
+    roles = persons.join(associations.union(paid), "other").join(elected, "node", "left_anti").distinct()
+    return roles.groupBy(F.col("node").alias("id")).agg(F.array_sort(F.collect_list(F.struct("other", "relation_type", "reason"))).alias("roles"))

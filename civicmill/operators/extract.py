@@ -29,10 +29,61 @@ def amounts_in(text: Column) -> Column:
     return F.filter(F.transform(raw, lambda a: amount(F.replace(a, F.lit("."), F.lit("")))), plausible)
 
 
+#: How minutes word a ballot and the amounts of a decision.
+BALLOT = r"(?i)\d+\s+voix\s+[«\"“”]?\s*pour(?:\s*[»\"“”])?(?:\s+et\s+\d+\s+(?:abstention|contre)s?){0,2}"
+IN_EUROS = r"[0-9][0-9\s\x{00A0}]*(?:[,.][0-9]{2,3})?\s*€"
+
+
 def vote(text: Column) -> Column:
-    """struct(pour, contre, abstention, unanimite) of a decision's text."""
-    count = lambda word: F.regexp_extract(F.lower(text), rf"(\d+) (?:voix )?{word}", 1).try_cast("int")
-    return F.struct(count("pour").alias("pour"), count("contre").alias("contre"), count("abstentions?").alias("abstention"), F.lower(text).rlike("unanimit").alias("unanimite"))
+    """struct(pour, contre, abstentions, unanimite) of a decision's text, null where it tells of no vote.
+
+    Unanimity counts only where no ballot is told. Votes against and abstentions count with and without quotes around "pour".
+    """
+    ballot = F.regexp_extract(F.coalesce(text, F.lit("")), BALLOT, 0)
+    count = lambda word: F.coalesce(F.regexp_extract(ballot, rf"(?i)(\d+)\s+{word}", 1).try_cast("int"), F.lit(0))
+    told = ballot != ""
+    result = F.struct(F.when(told, count("voix")).alias("pour"), count("contre").alias("contre"), count("abstention").alias("abstentions"), (~told).alias("unanimite"))
+    return F.when(told | F.coalesce(text.rlike("(?i)à l.unanimité"), F.lit(False)), result)
+
+
+def places_of(text: Column, pattern: str) -> Column:
+    """array<struct(start, hit)> of all matches, ``start`` from 0, without leaving the JVM."""
+    whole = F.coalesce(text, F.lit(""))
+    hits, gaps = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), F.split(whole, pattern, -1)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["gap"])
+        return F.struct((start + F.length(x["hit"])).alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), x["hit"].alias("hit")))).alias("out"))
+
+    return F.aggregate(F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap")), none, step, lambda s: s["out"])
+
+
+def around(text: Column, place: Column, before: int, after: int) -> Column:
+    """A match with its surroundings, white space squeezed."""
+    begin = F.greatest(place["start"] - before, F.lit(0))
+    cut = F.substring(text, begin + 1, place["start"] - begin + F.length(place["hit"]) + after)
+    return F.trim(F.regexp_replace(cut, r"\s+", " "))
+
+
+def amounts_in_context(docs: DataFrame, key: str, text: str, before: int = 80, after: int = 40) -> DataFrame:
+    """(key, at, value, context) of each positive amount in euros."""
+    found = docs.select(key, text, F.posexplode(places_of(F.col(text), IN_EUROS)).alias("at", "place"))
+    value = F.replace(F.regexp_replace("place.hit", r"[\s\x{00A0}€]", ""), F.lit(","), F.lit(".")).try_cast("double")
+    return found.select(key, "at", value.alias("value"), around(F.col(text), F.col("place"), before, after).alias("context")).where("value > 0")
+
+
+def mentions(pages: DataFrame, key: str, page: str, text: str, names: str, themes: str, context: int = 100) -> DataFrame:
+    """(key, page, term, excerpt): matches of ``names`` on each page, and of ``themes`` on pages that hold a name."""
+    rows = pages.select(key, page, text, places_of(F.col(text), names).alias("named")).where(F.size("named") > 0)
+    tagged = lambda places, tag: F.transform(places, lambda p: F.struct(F.concat(F.lit(tag), F.lower(p["hit"])).alias("term"), p.alias("place")))
+    hits = rows.select(key, page, text, F.explode(F.concat(tagged(F.col("named"), ""), tagged(places_of(F.col(text), themes), "THEME:"))).alias("hit"))
+    return hits.select(key, page, "hit.term", around(F.col(text), F.col("hit.place"), context, context).alias("excerpt"))
+
+
+def in_context(text: Column, pattern: str, most: int, before: int = 80, after: int = 200) -> Column:
+    """The first ``most`` places of a pattern with what stands around them; places inside an excerpt are not told again."""
+    return F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?is).{{0,{before}}}(?:{pattern}).{{0,{after}}}"), F.lit(0)), 1, most)
 
 
 def html_text(html: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicmill.functions.numbers import lambert93
 from civicmill.operators.windows import first_per_key
 
 
@@ -88,3 +89,16 @@ def journalled(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     filled = counts.select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
     added = F.col("after") - F.col("before")
     return filled.withColumns({"added": added, "status": F.when(added > 0, "ok").otherwise("empty")})
+
+
+def placed_by_hand(rows: DataFrame, moves: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` (key, lat, lng, geo_source, geo_score, x, y) where a person's coordinates (key, lat, lng) win.
+
+    Moved rows have source "manual", score 1 and a projected pair of their own; a move without both coordinates does
+    nothing. ``moves`` has one row a key at most.
+    """
+    hand = moves.where("lat IS NOT NULL AND lng IS NOT NULL").select(key, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    x, y = lambert93(F.col("_lat"), F.col("_lng"))
+    moved = F.col("_lat").isNotNull()
+    new = {"lat": F.col("_lat"), "lng": F.col("_lng"), "geo_source": F.lit("manual"), "geo_score": F.lit(1.0), "x": x, "y": y}
+    return rows.join(hand, key, "left").withColumns({c: F.when(moved, v).otherwise(F.col(c)) for c, v in new.items()}).select(*rows.columns)

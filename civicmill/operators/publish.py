@@ -97,8 +97,17 @@ def without_unknown_twins(flows: DataFrame) -> DataFrame:
 
 
 def reviewed(facts: DataFrame, annotations: DataFrame, corrected: list[str], key: str = "id") -> DataFrame:
-    """The human overlay: rejected facts go, corrections (a map of text) win over stored values, others pass."""
-    notes = annotations.select(F.col("object_id").alias(key), "review_status", "corrections")
+    """The human overlay: rejected facts go, corrections (a map of text) win over stored values, others pass.
+
+    ``annotations`` has one row a fact at most: (object_id, review_status, confidence, note, corrections). Rows gain
+    ``corrected``, the names of the columns whose value a correction changed (null if none), and ``review_note``; the
+    reviewer's confidence replaces the fact's. A correction that cannot be read as the column's type is passed over.
+    """
+    notes = annotations.select(F.col("object_id").alias(key), "review_status", F.col("confidence").alias("_confidence"), F.nullif(F.trim("note"), F.lit("")).alias("review_note"), "corrections")
     rows = facts.join(notes, key, "left").where(F.coalesce(F.col("review_status") != "rejected", F.lit(True)))
-    fixed = {c: F.coalesce(F.try_element_at("corrections", F.lit(c)).try_cast(facts.schema[c].dataType), F.col(c)) for c in corrected}
-    return rows.withColumns(fixed).select(*facts.columns)
+    given = {c: F.try_element_at("corrections", F.lit(c)).try_cast(facts.schema[c].dataType) for c in corrected}
+    changed = F.array_compact(F.array(*[F.when(v.isNotNull() & ~v.eqNullSafe(F.col(c)), F.lit(c)) for c, v in sorted(given.items())]))
+    fixed = {c: F.coalesce(v, F.col(c)) for c, v in given.items()} | {"corrected": F.when(F.size(changed) > 0, changed)}
+    if "confidence" in facts.columns:
+        fixed["confidence"] = F.coalesce("_confidence", fixed.get("confidence", F.col("confidence")))
+    return rows.withColumns(fixed).select(*facts.columns, "corrected", "review_note")

@@ -80,3 +80,38 @@ def names_within(names: DataFrame, mentions: DataFrame, name: str, mention: str)
     left = names.where(F.trim(name) != "").select(name).distinct().withColumn("wanted", words(F.col(name))).withColumn("word", longest(F.col("wanted")))
     right = mentions.select(mention).distinct().withColumn("there", words(F.col(mention))).withColumn("word", F.explode("there"))
     return left.join(right, "word").where(F.size(F.array_except("wanted", "there")) == 0).select(name, mention)
+
+
+def first_overlap(cases: DataFrame, acts: DataFrame) -> DataFrame:
+    """(case_id, act_id): for each case the first act, by (date, act_id), that speaks of it.
+
+    ``cases``: (case_id, who, about, year); ``acts``: (act_id, date, who, about), words as arrays, dates as ISO text. An act
+    speaks of a case if they share a word of ``who`` and one of ``about`` (a case without such words passes), and if its
+    date holds the case's year, where both are known. Rows meet by a word of ``who`` and, where known, the year.
+    """
+    wanted = cases.select("case_id", F.col("about").alias("_about"), F.col("year").cast("string").alias("year"), F.explode(F.array_distinct("who")).alias("word"))
+    told = acts.select("act_id", "date", "about", F.substring("date", 1, 4).alias("_year"), F.explode(F.array_distinct("who")).alias("word"))
+    dated = wanted.where("year IS NOT NULL").join(told.where("_year IS NOT NULL").withColumnRenamed("_year", "year"), ["word", "year"])
+    undated = wanted.where("year IS NULL").join(told, "word")
+    timeless = wanted.where("year IS NOT NULL").join(told.where("_year IS NULL"), "word")
+    columns = ("case_id", "_about", "act_id", "date", "about")
+    met = dated.select(*columns).union(undated.select(*columns)).union(timeless.select(*columns))
+    fits = (F.size(F.coalesce("_about", F.array().cast("array<string>"))) == 0) | F.arrays_overlap("_about", "about")
+    return met.where(fits).groupBy("case_id").agg(F.min(F.struct(F.col("date").isNull(), "date", "act_id")).alias("first")).select("case_id", "first.act_id")
+
+
+def contained_pairs(names: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
+    """(name_id, text_id) where the name stands anywhere in the text, exactly, without comparing all with all.
+
+    ``names``: (name_id, name); ``texts``: (text_id, text). Each name is looked up by the one of its ``size``-letter pieces
+    that the fewest texts hold; shorter names are their own piece. Blank names stand nowhere.
+    """
+    pieces = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+    of = lambda text, n: F.when(F.length(text) >= n, pieces(text, n)).otherwise(F.array().cast("array<string>"))
+    held = texts.select("text_id", "text", F.explode(F.flatten(F.array(*[of(F.col("text"), n) for n in range(1, size + 1)]))).alias("piece"))
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    longest = F.when(F.length("name") >= size, of(F.col("name"), size)).when(F.length("name") > 0, F.array("name"))
+    own = names.select("name_id", "name", F.explode(longest).alias("piece"))
+    known = own.join(counts, "piece", "left").groupBy("name_id", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest"))
+    rarest = known.where("rarest.n > 0").select("name_id", "name", F.col("rarest.piece").alias("piece"))
+    return rarest.join(held, "piece").where(F.contains("text", "name")).select("name_id", "text_id")

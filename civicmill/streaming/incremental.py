@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,3 +50,13 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     if events.isStreaming:
         events = events.withWatermark(ts, late)
     return events.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def listed(pages: DataFrame) -> DataFrame:
+    """Rows (source, page, key) of paged listings as a reader takes them that stops at the first page without a new key.
+
+    Pages count from 1; a key counts on the first page that shows it. A page that is not there ends the listing too.
+    """
+    first = pages.groupBy("source", "key").agg(F.min("page").alias("page"))
+    news = first.select("source", "page").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("page")))
+    return first.join(news.where("page = nth").select("source", "page"), ["source", "page"]).select("source", "page", "key")
