@@ -5,7 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civicmill.functions.text import normalise
+from civicmill.functions.text import fold, normalise
+
+#: How sources of each origin begin, as patterns over folded lower-case names.
+ATELIER = ("atelier",)
+VERBATIM = (
+    r"cm\b", r"cr\b", r"pv\b", r"conseil[ _-]municipal", r"raa\b", r"prefecture-\d+", "urbanisme:", r"web[ _-]?scraper", "agenda",
+    r"(?:web\.)?archive\.org",
+)
+INSTITUTIONNEL = (
+    "sirene", r"rna\b", "bodacc", "dvf", "ofgl", "dgfip", "dgcl", "banatic", "sitadel", "georisques", "gaspar", "insee", "melodi",
+    r"decp\b", "boamp", "interieur", r"rne\b", "pappers", "hubeau", r"data\.gouv", r"data\.economie", r"api\.",
+    r"subventions?[ _-]?etat", "occitanie", r"elections?\b", r"qualite[ _-]?eau", "fiscalite",
+)
+#: Words of a register's quality and the role each means, the first one found deciding.
+ROLES = [("gerant", "gérant"), ("president", "président"), ("associe", "associé"), ("directeur", "dirigeant"), ("tresorier", "trésorier"), ("secretaire", "secrétaire")]
+#: Families of legal announcements and their kinds of event.
+ANNOUNCEMENTS = {
+    "vente": "bodacc_vente", "creation": "bodacc_creation", "radiation": "bodacc_radiation", "modification": "bodacc_modification",
+    "depot": "bodacc_depot", "collective": "bodacc_collective", "immatriculation": "bodacc_creation", "avis": "bodacc_divers",
+}
 
 
 def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -16,6 +35,29 @@ def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def origin_of(source: Column, local_domains: tuple[str, ...] = ()) -> Column:
+    """Where a row comes from by the name of its source; null, never a guess, for a source that no rule knows.
+
+    The workshop comes first, then pages of the instance's own domains, then minutes, then institutions.
+    """
+    name = F.trim(F.lower(fold(source)))
+    begins = lambda patterns: name.rlike(f"^(?:{'|'.join(patterns)})")
+    local = F.lit(False)
+    for domain in local_domains:
+        local |= name.contains(domain)
+    return F.when(begins(ATELIER), "atelier").when(local | begins(VERBATIM), "verbatim").when(begins(INSTITUTIONNEL), "institutionnel")
+
+
+def role_of(quality: Column) -> Column:
+    """The role that a register's wording means; whoever is named without one leads. Null stays null."""
+    return F.when(quality.isNotNull(), F.coalesce(first_match(F.lower(fold(quality)), ROLES), F.lit("dirigeant")))
+
+
+def announcement_kind(family: Column) -> Column:
+    """Kind of event of a family of legal announcements; null for other families."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in ANNOUNCEMENTS.items() for x in kv]), F.lower(fold(family)))
+
+
 def role_rank(role: Column) -> Column:
     """Mayor 0, nth deputy n, first deputy 1, other roles 40, none 50."""
     r = normalise(role)

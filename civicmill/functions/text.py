@@ -50,11 +50,21 @@ def plausible_name(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def clean_label(text: Column) -> Column:
-    """Quotes at the ends, doubled blanks, blanks before punctuation and a closing full stop go; acronyms keep theirs."""
-    out = F.regexp_replace(text, r"^[\s\"«»“”']+|[\s\"«»“”']+$", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r" ([,.;])", "$1")
-    closed = out.endswith(".") & ~out.endswith("..") & ~out.rlike(r"(?:\b\p{L}\.){2,}$")
-    return F.when(closed, F.regexp_replace(out, r"\.$", "")).otherwise(out)
+    """A name or address fit for display, its words and case untouched.
+
+    Quotes go, an elision rejoins its word, blanks before points and commas go, a name written twice over is told once
+    (however its halves are spelt), and a closing full stop goes unless it ends an acronym or an ellipsis. Null is blank.
+    """
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "[\"«»“”]", " ")
+    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]{1,2}['’])\s+", "$1")
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+([,.])", "$1"), r"\s+", " "))
+    words = F.split(out, " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    first, second = F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, half), " ")
+    bones = lambda part: F.replace(normalise(part), F.lit(" "), F.lit(""))
+    twice = (F.size(words) >= 4) & (F.size(words) % 2 == 0) & (bones(first) != "") & (bones(first) == bones(second))
+    out = F.when(twice, first).otherwise(out)
+    return F.when(out.rlike(r"\.\.$|(?:^|\.)\p{L}\.$"), out).otherwise(F.rtrim(F.regexp_replace(out, r"\.$", "")))
 
 
 def safe_url(url: Column) -> Column:

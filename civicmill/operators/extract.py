@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicmill.functions.numbers import amount, plausible
@@ -165,3 +165,57 @@ def subsidies(acts: DataFrame, key: str, date: str, text: str, most: int = 200_0
     found = dated.select("year", key, "at", name.alias("beneficiary"), F.regexp_replace("hit.sum", "[^0-9]", "").cast("long").alias("amount")).where(F.col("amount").between(1, most))
     first = found.groupBy("year", F.lower("beneficiary").alias("who")).agg(F.min_by(F.struct("beneficiary", "amount", key), F.struct(key, "at")).alias("first"))
     return first.select("year", "first.*")
+
+
+#: How tariffs word leases, and words that name a place rather than who rents it.
+LEASE_TITLE = r"(?i)LOYERS?|BAIL|BAUX|TARIFS?\s+LOCATION|LOCATION\s+"
+LEASE_LINE = r"^(.{6,90}?)\s+(\d{1,3}(?:[\s\x{00A0}]\d{3})+|\d{1,7})[.,](\d{2})\s*$"
+LEASE_NOISE = r"(?i)^(?:total|indice|soit|montant)"
+PER_MONTH = r"(?i)^\s*(?:PAR\s+MOIS|/\s*mois|mensuel)\s*$"
+PLACES = (
+    "appart", "appartement", "atelier", "bureau", "cave", "chambre", "dependance", "dépendance", "etage", "étage", "garage",
+    "grange", "hangar", "local", "locaux", "logement", "maison", "parking", "rez", "salle", "studio", "terrain", "terrasse",
+    "terrasses", "villa", "villas", "gauche", "droite",
+)
+
+
+def leases(acts: DataFrame, key: str, date: str, title: str, text: str, most: float = 100_000) -> DataFrame:
+    """(year, place, tenant, amount, monthly, key): rents that dated tariffs list, the first of each (year, place).
+
+    Rents after a line "per month" are monthly. What follows the last dash is the tenant, unless it opens with a word for
+    a place: a rent must never be laid at the wrong name, so the tenant is then blank.
+    """
+    listed = acts.where(F.col(date).isNotNull() & F.col(title).rlike(LEASE_TITLE))
+    lines = listed.select(F.year(date).alias("year"), F.col(key), F.posexplode(F.split(text, r"\r?\n")).alias("at", "line")).withColumn("line", F.trim("line"))
+    monthly = F.max(F.col("line").rlike(PER_MONTH)).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lines.withColumn("monthly", monthly).where(F.col("line").rlike(LEASE_LINE) & ~F.col("line").rlike(LEASE_NOISE))
+    part = lambda k: F.regexp_extract("line", LEASE_LINE, k)
+    place = F.regexp_replace(F.regexp_replace(part(1), r"\s+", " "), "^[ –-]+|[ –-]+$", "")
+    amount = F.concat(F.regexp_replace(part(2), "[^0-9]", ""), F.lit("."), part(3)).cast("double")
+    rows = rows.select("year", key, "at", "monthly", place.alias("place"), amount.alias("amount")).where((F.col("amount") > 0) & (F.col("amount") <= most))
+    last = F.when(F.col("place").rlike(" [–-] "), F.trim(F.element_at(F.split("place", " [–-] "), -1)))
+    opens = F.get(F.split(F.lower(last), r"[^\p{L}\p{N}_]+"), F.lit(0))
+    tenant = F.when((F.length(last) >= 3) & ~opens.isin(*PLACES), last).otherwise("")
+    first = rows.withColumn("tenant", tenant).groupBy("year", F.lower("place").alias("_place")).agg(F.min_by(F.struct("place", "tenant", "amount", "monthly", key), F.struct(key, "at")).alias("first"))
+    return first.select("year", "first.*")
+
+
+#: Fixed value: a title and the one or two capitalised words after it.
+TITLED = r"\b(?:MM?\.|Mmes?)\s+(?:de\s+)?[A-ZÀÂÇÉÈÊËÎÏÔÙÛÜ][A-ZÀ-Ÿa-zà-ÿ-]+(?:\s+(?:de\s+)?[A-ZÀÂÇÉÈÊËÎÏÔÙÛÜ][A-ZÀ-Ÿa-zà-ÿ-]+)?"
+
+
+def attendance(minutes: DataFrame, key: str, text: str, head: int = 35) -> DataFrame:
+    """(key, block, at, name): who the head of minutes lists as present or absent, and its lines on proxies.
+
+    A block runs from its heading to the next one or to a ruled line. Minutes list attendance in their first ``head``
+    lines; a name told later is no attendance.
+    """
+    lines = minutes.select(key, F.posexplode(F.slice(F.split(text, "\n"), 1, head)).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\x{00A0}", " ")))
+    says = lambda pattern: F.col("line").rlike(pattern)
+    heading = F.when(says(r"(?iu)présents?\s*:"), "presents").when(says(r"(?i)absents?\s*:"), "absents")
+    proxy = heading.isNull() & says(r"(?i)donne\s+pouvoir")
+    mark = F.coalesce(heading, F.when(~proxy & says("^_{3,}$"), ""))
+    block = F.last(mark, ignorenulls=True).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lines.select(key, "at", "line", F.when(proxy, "pouvoirs").otherwise(block).alias("block")).where("block <> ''")
+    names = F.when(F.col("block") == "pouvoirs", F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(TITLED), F.lit(0)))
+    return rows.select(key, "block", "at", F.explode(names).alias("name"))

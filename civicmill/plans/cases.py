@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicmill.functions import chronology, classify, jsons, numbers
+from civicmill.functions import chronology, classify, jsons, numbers, text
 from civicmill.operators import civic_views, extract, merge, publish, resolve, search, vector
 from civicmill.plans.base import query
 from civicmill.plans.labels import LAT_SQL, LNG_SQL
@@ -158,22 +158,22 @@ def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT o_orderkey, 1, CAST(small AS DOUBLE), right(repeat('x', 70) || ' Le conseil vote ' || price || ',50 € pour la voirie, soit ', 80) || small || ' € d''aide.' FROM o WHERE small > 0""")
 def amounts_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, small = F.round("o_totalprice").cast("long").cast("string"), (F.col("o_orderkey") % 90).cast("string")
-    text = F.concat(F.lit("x" * 70 + " Le conseil\nvote "), price, F.lit(",50 € pour la voirie, soit "), small, F.lit(" € d'aide."))
-    return extract.amounts_in_context(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    told = F.concat(F.lit("x" * 70 + " Le conseil\nvote "), price, F.lit(",50 € pour la voirie, soit "), small, F.lit(" € d'aide."))
+    return extract.amounts_in_context(table(spark, sf_dir, "orders").select("o_orderkey", told.alias("text")), "o_orderkey", "text")
 
 
 @query("T06_votes", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 12 WHEN 1 THEN o_custkey % 30 WHEN 2 THEN 9 END AS pour, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 0 END AS contre, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS abstentions,
     CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey % 5 = 3 END AS unanimite FROM orders""")
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 5
-    text = (
+    told = (
         F.when(k == 0, "Adopté par 12 voix « pour » à l'unanimité")
         .when(k == 1, F.concat(F.lit("par "), F.col("o_custkey") % 30, F.lit(" voix Pour et 1 abstention et 2 contre")))
         .when(k == 2, "9 voix pour et 3 contres. 5 abstentions hier")
         .when(k == 3, "Le conseil, à l’unanimité, approuve")
         .otherwise("Le conseil prend acte")
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", extract.vote(text).alias("vote")).select("o_orderkey", "vote.*")
+    return table(spark, sf_dir, "orders").select("o_orderkey", extract.vote(told).alias("vote")).select("o_orderkey", "vote.*")
 
 
 @query("T16_mentions", """WITH pages AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents), named AS (SELECT * FROM pages WHERE regexp_matches(body, '(?i)licen[sc]e')),
@@ -224,3 +224,55 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     return incremental.listed(lines.select(F.col("l_suppkey").alias("source"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("key")))
+
+
+@query("F06_clean_labels", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'L''' || p_name || ', rue d’en haut' WHEN 2 THEN 'A.A.P.P.M.A.' WHEN 3 THEN p_name || '...' WHEN 4 THEN p_name || ' (A.C.L.G.)' ELSE '' END AS label FROM part""")
+def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, k = F.col("p_name"), F.col("p_partkey") % 6
+    raw = (
+        F.when(k == 0, F.concat(F.lit("« "), name, F.lit(' » "'), F.upper(name), F.lit('".')))
+        .when(k == 1, F.concat(F.lit("L'  "), name, F.lit(" , rue d’ en  haut .")))
+        .when(k == 2, "A.A.P.P.M.A.")
+        .when(k == 3, F.concat(name, F.lit("...")))
+        .when(k == 4, F.concat(name, F.lit(" (A.C.L.G.). ")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", text.clean_label(raw).alias("label"))
+
+
+def _one_of(values: tuple[str, ...], key: str, n: int) -> Column:
+    """The value at ``key`` modulo ``n``, null beyond the last."""
+    return F.get(F.array(*map(F.lit, values)), (F.col(key) % n).cast("int"))
+
+
+@query("C05_origins", "SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'atelier' WHEN 1 THEN 'verbatim' WHEN 3 THEN 'verbatim' WHEN 4 THEN 'verbatim' WHEN 5 THEN 'institutionnel' WHEN 6 THEN 'institutionnel' WHEN 8 THEN 'institutionnel' END AS origin FROM orders")
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _one_of(("Atelier 2026", "CM 28/05/2026", "cmx", "Préfecture-30", "https://www.ville.example/elections", "Élections 2020", "RNA", "rnaud", "  data.gouv.fr", "inconnu"), "o_orderkey", 10)
+    return table(spark, sf_dir, "orders").select("o_orderkey", classify.origin_of(source, ("ville.example",)).alias("origin"))
+
+
+@query("C09_roles", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'gérant' WHEN 1 THEN 'président' WHEN 2 THEN 'associé' WHEN 3 THEN 'dirigeant' WHEN 4 THEN 'dirigeant' END AS role FROM orders")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = _one_of(("Président et Gérant", "VICE-PRÉSIDENTE", "associe unique", "Directeur général", "Liquidateur"), "o_orderkey", 6)
+    return table(spark, sf_dir, "orders").select("o_orderkey", classify.role_of(quality).alias("role"))
+
+
+@query("C10_announcement_kinds", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'bodacc_creation' WHEN 1 THEN 'bodacc_depot' WHEN 2 THEN 'bodacc_divers' END AS kind FROM orders")
+def announcement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = _one_of(("immatriculation", "Dépôt", "avis", "autre"), "o_orderkey", 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", classify.announcement_kind(family).alias("kind"))
+
+
+@query("T04_leases", """WITH b AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, chr(CAST(65 + o_custkey % 26 AS INTEGER)) AS c FROM orders WHERE o_orderkey % 4 = 0)
+    SELECT year, 'Maison de la place - Dupont ' || c || c AS place, 'Dupont ' || c || c AS tenant, 1417.73e0 AS amount, FALSE AS monthly, min(o_orderkey) AS o_orderkey FROM b GROUP BY year, c UNION ALL SELECT year, 'Lotissement - Villa rouge', '', 250e0, TRUE, min(o_orderkey) FROM b GROUP BY year""")
+def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.when(F.col("o_orderkey") % 4 == 0, "Loyers communaux").otherwise("Divers")
+    letter = F.char(65 + F.col("o_custkey") % 26)
+    body = F.concat(F.lit("Total général 5,00\nMaison de la  place - Dupont "), letter, letter, F.lit(" 1 417,73\nPAR MOIS\nLotissement - Villa rouge 250.00 \nAu-dessus de tout 200000,00\nsans montant"))
+    acts = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), title.alias("title"), body.alias("text"))
+    return extract.leases(acts, "o_orderkey", "date", "title", "text")
+
+
+@query("T07_attendance", """SELECT o_orderkey, unnest(['presents', 'presents', 'presents', 'absents', 'pouvoirs']) AS block, unnest([1, 1, 2, 3, 4]) AS at, unnest(['M. Durand', 'Mme Paul', 'M. Henri Martin' || CASE WHEN o_orderkey % 2 = 0 THEN '-Roy' ELSE '' END, 'Mme de Noire', 'M. Blanc donne pouvoir à Mme Paul']) AS name FROM orders""")
+def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minutes = F.concat(F.lit("Séance du conseil de M. Personne\nPRÉSENTS : M. Durand, Mme Paul\nM. Henri Martin"), F.when(F.col("o_orderkey") % 2 == 0, "-Roy").otherwise(""), F.lit("\nAbsents : Mme de Noire\nM. Blanc donne pouvoir à Mme Paul\n____\nM. Plus Tard"))
+    return extract.attendance(table(spark, sf_dir, "orders").select("o_orderkey", minutes.alias("text")), "o_orderkey", "text")
