@@ -76,3 +76,15 @@ def classified(rows: DataFrame, column: str) -> DataFrame:
     """(n_entities, n_classified, refused): a build is refused where no row was ever classified."""
     n = F.count(column)
     return rows.agg(F.count("*").alias("n_entities"), n.alias("n_classified"), (n == 0).alias("refused"))
+
+
+def until_clean(rows: DataFrame, scan: Callable[[DataFrame], DataFrame], fix: Callable[[DataFrame], DataFrame], most: int = 5) -> DataFrame:
+    """``rows`` after fixing as often as ``scan`` still finds something, ``most`` times at the most; what is left then stays.
+
+    A round adds ``fix`` to the plan, which ``most`` bounds; a dear frame comes as a written table.
+    """
+    for _ in range(most):
+        if scan(rows).isEmpty():
+            break
+        rows = fix(rows)
+    return rows

@@ -60,3 +60,12 @@ def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = c.entities.where(F.col("confidence").isin("verified", "confirmed")).select("id")
     uses = c.flows.groupBy(F.col("to_id").alias("entity_id")).agg(F.count("*").alias("n_uses"))
     return uses.join(shown, F.col("entity_id") == F.col("id"), "left_anti")
+
+
+@query("Q16_until_clean", "SELECT p_partkey, CAST(CASE WHEN p_size = 0 THEN 0 ELSE p_size / least(p_size & -p_size, 8) END AS INTEGER) AS size FROM part")
+def until_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even sizes are halved until none is left, three times at the most."""
+    even = (F.col("size") % 2 == 0) & (F.col("size") > 0)
+    sizes = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"))
+    halved = F.when(even, (F.col("size") / 2).cast("int")).otherwise(F.col("size"))
+    return q.until_clean(sizes, lambda rows: rows.where(even), lambda rows: rows.withColumn("size", halved), most=3)

@@ -49,3 +49,9 @@ def read_decisions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Decisions, one JSON object a line; lines that are none are left out."""
     rows = spark.read.schema(f"{schema}, _bad string").json(path, columnNameOfCorruptRecord="_bad")
     return rows.where("_bad IS NULL").drop("_bad")
+
+
+def read_seeds(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Curated seeds, pretty-printed JSON of one object or a list of them a file; files that are none are left out."""
+    rows = spark.read.schema(f"{schema}, _bad string").json(path, multiLine=True, columnNameOfCorruptRecord="_bad")
+    return rows.where("_bad IS NULL").drop("_bad")

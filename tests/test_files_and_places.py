@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from civicmill.functions import places, text
 from civicmill.operators import extract, merge, resolve
-from civicmill.sources import files
+from civicmill.sources import files, sinks
 
 
 def test_csv_in_the_encoding_that_fits(spark, tmp_path):
@@ -118,3 +118,25 @@ def test_search_counts_words_from_their_start(spark):
 
     docs = spark.createDataFrame([(1, "Théâtre the other. Re-the"), (2, "bathe are"), (3, None), (4, "RE the")], "id int, text string")
     assert sorted(r["id"] for r in search(docs, "id", "text", "the re").collect()) == [1, 4]
+
+
+def test_seeds(spark, tmp_path):
+    (tmp_path / "list.json").write_text('[\n {"id": 1,\n  "name": "é"},\n {"id": 2}\n]', encoding="utf-8")
+    (tmp_path / "one.json").write_text('{\n "id": 3, "name": "x", "more": []\n}')
+    (tmp_path / "broken.json").write_text('{"id": 4,')
+    got = files.read_seeds(spark, f"file://{tmp_path}/*.json", "id int, name string")
+    assert sorted(map(tuple, got.collect())) == [(1, "é"), (2, None), (3, "x")]
+
+
+def test_written_json(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é", [1, 2]), (2, None, [])], "id int, name string, years array<int>")
+    for _ in range(2):  # the second write replaces the first
+        sinks.write_json(rows, f"file://{tmp_path}/out")
+    lines = [json.loads(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text(encoding="utf-8").splitlines()]
+    assert sorted(lines, key=lambda r: r["id"]) == [{"id": 1, "name": "é", "years": [1, 2]}, {"id": 2, "years": []}]
+
+
+def test_bundles_go_to_the_bucket_of_their_id(spark, tmp_path):
+    sinks.write_bundles(spark.createDataFrame([(1, "a"), (3, "b"), (2, "c")], "id int, name string"), f"file://{tmp_path}/out", buckets=2)
+    got = {p.name: sorted(json.loads(x)["id"] for f in p.glob("part-*") for x in f.read_text().splitlines()) for p in (tmp_path / "out").glob("bucket=*")}
+    assert got == {"bucket=0": [2], "bucket=1": [1, 3]}
