@@ -85,3 +85,30 @@ def test_entourage(spark):
     flows = spark.createDataFrame([(1, 4), (2, 4), (3, None)], "id int, to_id int")
     got = [(r["id"], [tuple(x) for x in r["roles"]]) for r in civic_views.entourage(entities, relations, flows).collect()]
     assert got == [(1, [(3, "président", "association"), (4, "gérant", "money")])]
+
+
+def test_chunks_cover_the_text(spark):
+    words = " ".join(str(i) for i in range(900))
+    texts = [(1, words.replace(" 7", "\n7")), (2, "short"), (3, "x" * 500), (4, "")]
+    rows = extract.chunked(spark.createDataFrame(texts, "id long, text string"), "id", "text", size=200, overlap=30).collect()
+    for key, text in texts:
+        parts = sorted((r["n"], r["start"], r["chunk"]) for r in rows if r["id"] == key)
+        assert "".join(c[max(0, e - s) :] for (_, s, c), e in zip(parts, [0] + [s + len(c) for _, s, c in parts], strict=False)) == text
+        assert all(text[s : s + len(c)] == c and len(c) <= 200 for _, s, c in parts)
+        for (n, s, c), (m, t, _) in zip(parts, parts[1:], strict=False):
+            assert (m, t) == (n + 1, s + len(c) - 30)
+            late = text[s + 100 : s + 200].rfind("\n")
+            assert len(c) == (100 + late if late > 0 else 200)
+
+
+def test_redaction_of_whole_names_only(spark):
+    names = ["Jean Petit", "Jean", "A. (B)"]
+    cases = ["Jean Petit et JEAN", "Jeanne, l'Ajean", "chez A. (B), Jean.", "", None]
+    got = one(spark, *[extract.redacted(F.lit(c).cast("string"), names).alias(f"c{i}") for i, c in enumerate(cases)])
+    assert got == ("[…] et […]", "Jeanne, l'Ajean", "chez […], […].", "", None)
+
+
+def test_text_of_a_page(spark):
+    page = "<html><head><style>p{}</style><script>var a = '<p>';</script></head><body><!-- no --><p>Un&nbsp;&amp; deux</p><table><tr><td>a</td><td>b</td></tr></table></body></html>"
+    lines = [x.split() for x in one(spark, extract.html_text(F.lit(page)).alias("t"))[0].splitlines() if x.strip()]
+    assert lines == [["Un", "&", "deux"], ["a", "b"]]
