@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicmill.llm.common import shared_dir, table
 from civicmill.llm.decontamination import contaminated_documents
+from civicmill.llm.hard_negatives import hard_negatives
 from civicmill.llm.licenses import license_scan
 from civicmill.llm.mixing import mixed
 from civicmill.llm.simhash import near_duplicates
@@ -17,6 +18,7 @@ from civicmill.llm.token_counts import token_counts
 from civicmill.llm.token_records import token_records
 from civicmill.llm.topk import top_k
 from civicmill.llm.toxicity import toxicity_scores
+from civicmill.llm.urls import url_verdicts
 from civicmill.llm.warc import archived
 
 
@@ -71,6 +73,15 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substrings": op2_substrings,
@@ -82,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_token_records": op10_token_records,
+    "op11_url_filters": op11_url_filters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +127,42 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
         FROM firsts
     """,
+    "op11_url_filters": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parted AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+        ), rules(rule_host, rule_path, verdict) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+        ), ruled AS (
+            SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+            FROM parted JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+        ), globs(pattern, regex) AS (
+            VALUES ('*spam**', '[^/]*spam.*'), ('*.cheap-**', '[^/]*\.cheap-.*'), ('*pills**', '[^/]*pills.*'), ('*casino**', '[^/]*casino.*'), ('**/login**', '.*/login.*'),
+                ('**/cart/**', '.*/cart/.*'), ('**/tag/*/page/**', '.*/tag/[^/]*/page/.*'), ('**.exe', '.*\.exe'), ('**.zip', '.*\.zip'),
+                ('m.*.example.net/es/9??**', '\.m\.[^/]*\.example\.net/es/9[^/][^/].*'), ('**/en/**/page/?', '.*/en/.*/page/[^/]')
+        ), globbed AS (
+            SELECT page_id, arg_max(pattern, length(pattern)) AS pattern FROM parted JOIN globs ON regexp_full_match('.' || host || path, regex, 's') GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(ruled.verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern
+        FROM parted LEFT JOIN ruled USING (page_id) LEFT JOIN globbed USING (page_id)
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v)]) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), mined AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 5
+    """,
 }

@@ -30,17 +30,18 @@ from civicmill.llm.common import saved
 BINS = 1024
 
 
-def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v array<long>) of the vectors that take part."""
+def quantised(vectors: DataFrame, scale: int = 64, *more: str) -> DataFrame:
+    """(vec_id, v array<long>, columns ``more``) of the vectors that take part."""
     x = F.col("embedding")
     fit = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     most = float(1 << 62)  # beyond it ``top_k`` refuses anyway
     whole = lambda c: F.floor(F.greatest(F.lit(-most), F.least(F.lit(most), c.cast("double") * scale)))
-    return vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
+    return vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"), *more)
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    lists = column.combine_chunks()
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """(rows, dim) of a column of lists, shorter ones padded with zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
     sizes = np.diff(offsets)
     if len(sizes) and (sizes == dim).all():
@@ -53,7 +54,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def _scored(queries: pa.Table, candidates: pa.Table, rows: int = 256) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(queries, scores, whether the candidate isn't the query itself) of a tile, some queries at a time."""
     dim = max((int(np.diff(np.asarray(t["v"].combine_chunks().offsets)).max(initial=0)) for t in (queries, candidates)), default=0)
-    q, c = _matrix(queries["v"], dim), _matrix(candidates["v"], dim)
+    q, c = matrix(queries["v"], dim), matrix(candidates["v"], dim)
     ids, own = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
     exact = dim * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2**53
     if exact:
