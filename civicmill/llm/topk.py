@@ -47,7 +47,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if len(sizes) and (sizes == dim).all():
         return flat[offsets[0] : offsets[-1]].reshape(-1, dim)
     out = np.zeros((len(sizes), dim), np.int64)
-    out[np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes])] = flat[offsets[0] : offsets[-1]]
+    out[np.arange(dim)[None, :] < sizes[:, None]] = flat[offsets[0] : offsets[-1]]
     return out
 
 

@@ -54,7 +54,7 @@ def test_as_scoring_everything(spark, rows):
     want = brute(rows, lambda i: i % 10 == 0, 256)
     assert len(want) > 500
     assert mined(spark, rows) == want
-    assert mined(spark, rows, block_rows=50, anchor_rows=7, sample=40) == want
+    assert mined(spark, rows, block_rows=150, anchor_rows=20, sample=40) == want
 
 
 def test_small_and_empty(spark, rows):
