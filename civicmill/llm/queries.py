@@ -12,6 +12,7 @@ from civicmill.llm.decontamination import contaminated_documents
 from civicmill.llm.hard_negatives import hard_negatives
 from civicmill.llm.licenses import license_scan
 from civicmill.llm.mixing import mixed
+from civicmill.llm.repair import damaged, repair
 from civicmill.llm.simhash import near_duplicates
 from civicmill.llm.substrings import repeated_units
 from civicmill.llm.token_counts import token_counts
@@ -77,6 +78,10 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_token_records": op10_token_records,
     "op11_url_filters": op11_url_filters,
+    "op12_repair": op12_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -148,6 +154,52 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule, coalesce(ruled.verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern
         FROM parted LEFT JOIN ruled USING (page_id) LEFT JOIN globbed USING (page_id)
     """,
+    "op12_repair": r"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(unicode(c) AS BIGINT)) AS bytes
+            FROM conversations
+        ), dealt AS (
+            SELECT *, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes),
+                lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))) % 20 AS how
+            FROM keyed
+        ), left_rows AS (
+            SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+            FROM dealt, unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)
+        ), rowed AS (
+            SELECT conv_id, turn, role, text, row_number() OVER w AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, md5(role || chr(0) || text), copy) AS time
+            FROM left_rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(0) || text), copy)
+        ), faulty AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN time > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM rowed
+        ), counted AS (
+            SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM faulty GROUP BY conv_id
+        ), edits(initial, price) AS (VALUES ('K', 0), ('R', 3), ('D', 4)
+        ), ways AS (
+            SELECT s.a AS a, k, initial, price + 3 * k AS price, CASE WHEN k = 0 THEN s.a WHEN (s.a = 'u') = (k = 1) THEN 'a' ELSE 'u' END AS mid,
+                CASE WHEN k = 0 THEN [] WHEN s.a = 'u' THEN ['assistant:', 'user:'][:k] ELSE ['user:', 'assistant:'][:k] END AS inserted
+            FROM (VALUES (''), ('s'), ('u'), ('a')) AS s(a), unnest(range(3)) AS t(k), edits
+        ), walk AS (
+            SELECT conv_id, 0 AS i, '' AS a, {'cost': 0, 'audit': '', 'turns': CAST([] AS VARCHAR[])} AS best FROM counted
+            UNION ALL
+            SELECT conv_id, i, a, min(best) AS best FROM (
+                SELECT w.conv_id, w.i + 1 AS i, CASE initial WHEN 'D' THEN mid WHEN 'R' THEN CASE mid WHEN 'u' THEN 'a' ELSE 'u' END ELSE left(role, 1) END AS a,
+                    {'cost': w.best.cost + price + CASE WHEN initial <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END, 'audit': w.best.audit || repeat('I', k) || initial,
+                        'turns': w.best.turns || inserted || CASE initial WHEN 'D' THEN [] WHEN 'R' THEN [CASE mid WHEN 'u' THEN 'assistant:' ELSE 'user:' END || text] ELSE [role || ':' || text] END} AS best
+                FROM walk w JOIN ways ON ways.a = w.a JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+                WHERE (initial = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (initial <> 'K' OR (mid || left(role, 1)) IN ('s', 'u', 'su', 'au', 'ua') AND left(role, 1) <> '')
+            ) GROUP BY conv_id, i, a
+        ), closed AS (
+            SELECT conv_id, min({'cost': best.cost + 3 * k, 'audit': best.audit || repeat('I', k), 'turns': best.turns || inserted}) AS best
+            FROM walk JOIN counted USING (conv_id) JOIN ways USING (a) WHERE i = n AND initial = 'K' AND mid IN ('', 'a') GROUP BY conv_id
+        )
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counted USING (conv_id) LEFT JOIN closed USING (conv_id)
+    """,
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
