@@ -8,7 +8,7 @@ The search is a rank-compressed dynamic program. A macro edit is a run of insert
 initials, such as ``IK``, form a prefix-free code, so the audits of equally many rows compare macro by macro. A layer (the
 rows read so far) holds for each of four roles read last the least cost, and in place of the audit string its rank in
 the layer, with a pointer to the parent and the macro; strings are put together afterwards, from the end. Costs count
-from the layer's least and ranks are dense, so few layers differ: each transition is worked out once and then looked up.
+from the layer's least, roles far above it are hopeless, and ranks are dense, so few layers differ: each transition is worked out once and then looked up.
 
 Rows are range-sorted by conversation and turn, so a conversation may lie in several partitions. A task reads its
 partition as segments, at most ``SEGMENT_ROWS`` rows or ``SEGMENT_CHARS`` characters of one conversation. Those that are
@@ -43,6 +43,8 @@ NOTHING, SYSTEM, USER, ASSISTANT = range(4)
 ENDS = (NOTHING, ASSISTANT)
 #: Costs of the edits, and of a truncated row that stays.
 RENAME, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
+#: A role that costs more than the least by this is never on a cheapest way: two inserts and a deletion stand in for any of its futures.
+HOPELESS = 2 * INSERT + DELETE
 BLANK, DUPLICATE, CUT, SOUND = "bdts"
 BEYOND = 1 << 60
 
@@ -106,8 +108,9 @@ class Machine:
             for (before, after), (cost, code) in self.macros[kind].items():
                 if layer[before][0] < BEYOND:
                     best[after] = min(best[after], (layer[before][0] + cost, layer[before][1], code, before))
-            reached = [b for b in best if b[0] < BEYOND]
-            least, order = min(b[0] for b in reached), sorted({b[1:3] for b in reached})
+            least = min(b[0] for b in best)
+            best = [b if b[0] <= least + HOPELESS else (BEYOND, 0, "", 0) for b in best]
+            order = sorted({b[1:3] for b in best if b[0] < BEYOND})
             after = tuple((b[0] - least, order.index(b[1:3])) if b[0] < BEYOND else (BEYOND, 0) for b in best)
             found = self.known[layer, kind] = (least, tuple((b[3], b[2]) for b in best), after)
         return found
