@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Outcomes of the chronology, most serious first.
-SEVERITY = ("contemporain", "chevauchement_annee", "lien_sans_flux", "dates_manquantes")
+#: What one mandate of several says of a flow, the one that counts first; one covering mandate is enough.
+OUTCOMES = ("contemporain", "chevauchement_annee", "anterieur_mandat", "hors_mandat", "dates_manquantes", "lien_sans_flux")
 
 
 def year_of(date: Column) -> Column:
@@ -23,17 +23,13 @@ def chronology(flow_id: Column, flow_year: Column, event_date: Column, since: Co
 
 
 def severity(outcome: Column) -> Column:
-    """0 for the most serious outcome."""
-    rank = F.lit(len(SEVERITY))
-    for k, name in reversed(list(enumerate(SEVERITY))):
+    """0 for the outcome that counts first."""
+    rank = F.lit(len(OUTCOMES))
+    for k, name in reversed(list(enumerate(OUTCOMES))):
         rank = F.when(outcome == name, k).otherwise(rank)
     return rank
 
 
-#: What one mandate of several says of a flow, the one that counts first; one covering mandate is enough.
-OUTCOMES = ("contemporain", "chevauchement_annee", "anterieur_mandat", "hors_mandat", "dates_manquantes", "lien_sans_flux")
-
-
 def best_outcome(outcomes: Column) -> Column:
     """Of an array of outcomes over all mandates of a person the one that counts; "indetermine" if none is known."""
     return F.coalesce(*[F.when(F.array_contains(outcomes, o), F.lit(o)) for o in OUTCOMES], F.lit("indetermine"))

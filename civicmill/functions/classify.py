@@ -65,14 +65,51 @@ def role_rank(role: Column) -> Column:
     return F.when(r.isNull() | (r == ""), 50).when(r.rlike(r"^maire\b"), 0).when(r.rlike(r"adjoint"), F.coalesce(n, F.lit(1))).otherwise(40)
 
 
+#: What the name of an authority above the communes holds; the blank after "ars" is part of it.
+SUPRA = (
+    "préfecture", "sous-préfecture", "département", "conseil départemental", "conseil régional", "région occitanie", "état français",
+    "agence de l'eau", "ademe", "dreal", "ars ", "rectorat", "direction départementale", "trésorerie", "dgfip",
+)
+#: Legal forms that open the name of a council of communes.
+COUNCIL_FORMS = r"^(?:CC|CA|CU|C\.C\.|communauté de communes|communaute de communes|communauté d'agglomération)\s+"
+
+
+def plain_name(name: Column) -> Column:
+    """Folded and lower-cased, hyphens and apostrophes blank, white space squeezed; other signs stay. Null is blank."""
+    bare = F.translate(F.lower(fold(F.coalesce(name, F.lit("")))), "-'’", "   ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def declared_scope(name: Column, commune: Column, home: str, neighbours: tuple[str, ...], council: str = "") -> Column:
+    """The scope that an entity's commune, else its name, tells: C1 the commune, C2 a neighbour or the council that the communes share, C3 an authority above, else "hors".
+
+    The council is known by its name, or by what follows the legal form in it, standing anywhere.
+    """
+    at, called = plain_name(commune), plain_name(name)
+    same = lambda c: plain_name(F.lit(c))
+    is_council = F.lit(False)
+    if council:
+        short = plain_name(F.regexp_replace(F.lit(council), f"(?i){COUNCIL_FORMS}", ""))
+        is_council = (called == same(council)) | ((short != "") & F.contains(called, short))
+    above = F.lit(False)
+    for mark in SUPRA:
+        above |= F.contains(called, F.concat(same(mark), F.lit(" " if mark.endswith(" ") else "")))
+    near = F.lit(False)
+    for c in neighbours:
+        near |= at == same(c)
+    return F.when(at == same(home), "C1").when(near | is_council, "C2").when(above, "C3").otherwise("hors")
+
+
 def direction(from_id: Column, to_id: Column, pivot: Column) -> Column:
     """A flow as the pivot sees it."""
     return F.when(to_id == pivot, "entrant").when(from_id == pivot, "sortant").otherwise("tiers")
 
 
 def geo_status(lat: Column, lng: Column, source: Column, score: Column) -> Column:
+    """How far a place can be trusted: places of map and address services, and of unknown origin, are imprecise whatever their score."""
     missing = lat.isNull() | lng.isNull()
-    return F.when(missing, "missing").when(source == "manual", "ok_manual").when(F.coalesce(score, F.lit(0.0)) < 0.5, "imprecise").otherwise("ok")
+    vague = (F.coalesce(score, F.lit(0.0)) < 0.6) | source.isNull() | source.isin("osm", "ban")
+    return F.when(missing, "missing").when(source == "manual", "ok_manual").when(vague, "imprecise").otherwise("ok")
 
 
 def editable(origin: Column) -> Column:

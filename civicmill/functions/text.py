@@ -42,10 +42,15 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+#: Particles of family names, which make no name on their own.
+PARTICLES = ("de", "du", "des", "d", "la", "le", "les", "l", "van", "von", "el")
+
+
 def plausible_name(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Two to five words, no digit, none of the stop words."""
+    """Two to five words without digits and stop words, at least two of them besides particles, each of two letters."""
     words = F.split(normalise(text), " ")
-    fine = F.size(words).between(2, 5) & ~text.rlike("[0-9]")
+    full = F.filter(words, lambda w: ~w.isin(*PARTICLES))
+    fine = F.size(words).between(2, 5) & ~text.rlike("[0-9]") & (F.size(full) >= 2) & F.forall(full, lambda w: F.length(w) >= 2)
     return F.coalesce(fine & ~F.arrays_overlap(words, F.array(*map(F.lit, stop))) if stop else fine, F.lit(False))
 
 
@@ -68,8 +73,9 @@ def clean_label(text: Column) -> Column:
 
 
 def safe_url(url: Column) -> Column:
-    """Null for what would publish a path of somebody's machine."""
-    return F.when(~F.lower(url).rlike(r"^(file:|/users/|/home/|[a-z]:\\)"), url)
+    """The address without white space around it; null if it is blank or would publish a path of somebody's machine."""
+    bare = F.regexp_replace(url, r"^[\s\p{Z}\p{Cc}]+|[\s\p{Z}\p{Cc}]+$", "")
+    return F.when((bare != "") & ~F.lower(bare).rlike(r"^(file:|/users/|/home/|[a-z]:\\)"), bare)
 
 
 def host_of(url: Column) -> Column:

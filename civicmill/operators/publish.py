@@ -11,6 +11,8 @@ from civicmill.operators.edges import doubled
 
 #: Confidence levels that may be published.
 PUBLIC_CONFIDENCE = ("verified", "confirmed")
+#: Roles that make a person public.
+PUBLIC_ROLES = ("adjoint", "candidat", "délégué_cc", "délégué_cm", "élu_cc", "élu_cm", "maire", "membre_commission")
 #: Kinds of entities that are institutions, and roles that are a seat on the council that communes share.
 INSTITUTIONS = ("service",)
 COUNCIL_SEATS = ("élu_cc",)

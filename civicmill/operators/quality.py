@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicmill.functions.text import normalise
+from civicmill.operators.edges import doubled
 
 
 def finding(rows: DataFrame, check: str, severity: str, ref: Column) -> DataFrame:
@@ -40,14 +41,28 @@ def bad_domain(rows: DataFrame, column: str, allowed: tuple[str, ...], check: st
     return finding(rows.where(F.col(column).isNull() | ~F.col(column).isin(*allowed)), check, "error", F.col("id"))
 
 
+#: Relations that are a mandate, and those that are a seat in a body beside it.
+MANDATES = ("élu_cm", "élu_cc", "adjoint", "maire", "délégué_cm", "délégué_cc")
+BODY_SEATS = ("membre_commission", "adjoint", "délégué_cm", "responsable")
+
+
 def never_closed(relations: DataFrame, before: str) -> DataFrame:
-    """Mandates of an earlier term that nothing ended."""
-    return finding(relations.where((F.col("since") < before) & F.col("until").isNull()), "never_closed", "warn", F.col("id"))
+    """Mandates of an earlier term that nothing ended; other relations may be as old as they like."""
+    old = (F.col("since") < before) & F.col("until").isNull()
+    return finding(relations.where(old & F.col("relation_type").isin(*MANDATES)), "never_closed", "warn", F.col("id"))
 
 
-def all_closed(holders: DataFrame) -> DataFrame:
-    """Persons (node, until) all of whose mandates are closed."""
-    return finding(holders.groupBy("node").agg(F.count_if(F.col("until").isNull()).alias("open")).where("open = 0"), "all_mandates_closed", "warn", F.col("node"))
+def stale_seats(relations: DataFrame, entities: DataFrame, as_of: str) -> DataFrame:
+    """Seats in a body that are still open though all mandates of their holder, one at least, are closed on that day.
+
+    Seen from the person's end of a relation, whichever that is.
+    """
+    persons = entities.where("type = 'person'").select(F.col("id").alias("node"))
+    held = doubled(relations.select("id", "relation_type", "until", "from_id", "to_id")).join(persons, "node", "left_semi")
+    open_still = F.col("until").isNull() | (F.col("until") > as_of)
+    mandates = held.where(F.col("relation_type").isin(*MANDATES)).groupBy("node").agg(F.max(open_still).alias("sits"))
+    left = mandates.where(~F.col("sits")).select("node")
+    return finding(held.where(F.col("relation_type").isin(*BODY_SEATS) & open_still).join(left, "node", "left_semi"), "stale_seat", "error", F.col("id"))
 
 
 def stale(runs: DataFrame, ttl_days: DataFrame, as_of: Column) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicmill.functions.classify import declared_scope
 from civicmill.functions.text import key_words
 from civicmill.operators import graph, resolve
-from civicmill.operators.civic_views import ELECTIVE
+from civicmill.operators.civic_views import PRIVATE
+from civicmill.operators.publish import PUBLIC_ROLES
 from civicmill.plans.base import query
 from civicmill.sources.civic import CIVIC_SQL, civic
 from civicmill.sources.tables import table
@@ -34,12 +36,61 @@ def linked_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.linked_scope(c.entities, c.relations).select(F.col("id").alias("entity_id"), "perimetre")
 
 
-@query("G06_relevance_closure", CIVIC_SQL + """, r AS (SELECT e.node, e.other, x.relation_type IN ('élu_cm', 'élu_cc', 'candidat', 'adjoint') AS civic FROM ends e JOIN relations x ON x.id = e.id),
-    f AS (SELECT node AS id, 0 AS rank FROM r WHERE civic UNION SELECT other, 1 FROM r WHERE NOT civic AND node IN (SELECT to_id FROM flows))
-    SELECT id AS entity_id, CASE min(rank) WHEN 0 THEN 'civic' ELSE 'economic' END AS why FROM f WHERE id IN (SELECT id FROM entities) GROUP BY id""")
+SCOPE_SQL = CIVIC_SQL + """, told AS (
+    SELECT id, CASE id % 19 WHEN 0 THEN 'Sous-Préfecture de ' || name WHEN 1 THEN 'COMMUNAUTÉ DE COMMUNES des deux-rives' WHEN 2 THEN 'Mars ' || name WHEN 3 THEN 'Parsons ' || name
+            WHEN 4 THEN 'Agence de l’Eau' WHEN 5 THEN 'Office des Deux   Rives' WHEN 6 THEN NULL ELSE name END AS name,
+        CASE WHEN id % 23 = 0 THEN NULL WHEN id % 23 = 1 THEN ' Saint-Été d''en Haut' WHEN id % 23 = 2 THEN 'SAINT ETE D’EN HAUT' WHEN id % 23 = 3 THEN 'Œuf-lès-Bois' ELSE commune END AS commune
+    FROM entities
+), bare AS (
+    SELECT id, trim(regexp_replace(translate(lower(strip_accents(coalesce(name, ''))), '-''’', '   '), '\\s+', ' ', 'g')) AS name,
+        trim(regexp_replace(translate(lower(strip_accents(replace(coalesce(commune, ''), 'Œ', 'OE'))), '-''’', '   '), '\\s+', ' ', 'g')) AS commune FROM told
+), declared AS (
+    SELECT id, CASE WHEN commune = 'saint ete d en haut' THEN 1 WHEN commune IN ('oeuf les bois', 'n3') OR contains(name, 'des deux rives') THEN 2
+        WHEN regexp_matches(name, 'prefecture|departement|conseil regional|region occitanie|etat francais|agence de l eau|ademe|dreal|ars |rectorat|tresorerie|dgfip') THEN 3 ELSE 4 END AS ring FROM bare
+), kinds AS (
+    SELECT id, CASE WHEN id % 40 = 0 THEN 'membre_de' WHEN id % 40 = 20 THEN 'adhère_à' ELSE relation_type END AS kind, from_id, to_id FROM relations WHERE id % 4 = 0
+), placed AS (
+    SELECT id, CASE WHEN ring = 4 AND id IN (SELECT to_id FROM kinds WHERE kind IN ('membre_de', 'adhère_à')) THEN 2 ELSE ring END AS ring FROM declared
+)
+SELECT id AS entity_id, CASE WHEN ring < 4 THEN 'C' || ring WHEN id IN (SELECT s_suppkey * 3 + 1 FROM supplier WHERE s_acctbal < 0) OR id IN (SELECT unnest([from_id, to_id]) FROM flows WHERE id % 30 = 0)
+    OR id IN (SELECT k.to_id FROM kinds k JOIN placed p ON p.id = k.from_id WHERE p.ring < 3 UNION SELECT k.from_id FROM kinds k JOIN placed p ON p.id = k.to_id WHERE p.ring < 3) THEN 'lien' ELSE 'hors' END AS scope
+FROM placed"""
+
+
+@query("C06_scopes", SCOPE_SQL)
+def classified_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and communes that are spelt in many ways, some memberships, a quarter of the relations, few flows, suppliers in debt as holders of contracts."""
+    c = civic(spark, sf_dir)
+    n, m, name = F.col("id") % 19, F.col("id") % 23, F.col("name")
+    told = F.when(n == 0, F.concat(F.lit("Sous-Préfecture de "), name)).when(n == 1, "COMMUNAUTÉ DE COMMUNES des deux-rives").when(n == 2, F.concat(F.lit("Mars "), name)).when(n == 3, F.concat(F.lit("Parsons "), name))
+    told = told.when(n == 4, "Agence de l’Eau").when(n == 5, "Office des Deux   Rives").when(n != 6, name)
+    commune = F.when(m == 1, " Saint-Été d'en Haut").when(m == 2, "SAINT ETE D’EN HAUT").when(m == 3, "Œuf-lès-Bois").when(m != 0, F.col("commune"))
+    relations = c.relations.where("id % 4 = 0").withColumn("relation_type", F.when(F.col("id") % 40 == 0, "membre_de").when(F.col("id") % 40 == 20, "adhère_à").otherwise(F.col("relation_type")))
+    contracts = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select((F.col("s_suppkey") * 3 + 1).alias("holder_id"))
+    declared = declared_scope(told, commune, "Saint-Été d'en Haut", ("Œuf-lès-Bois", "N3"), "CC des Deux-Rives")
+    return graph.classified_scopes(c.entities, relations, c.flows.where("id % 30 = 0"), contracts, declared).select(F.col("id").alias("entity_id"), "scope")
+
+
+@query("G06_relevance_closure", CIVIC_SQL + """, sure AS (SELECT *, [from_id, to_id] AS pair FROM relations WHERE confidence IN ('verified', 'confirmed')
+), fed AS (
+    SELECT to_id AS id FROM flows WHERE source IS DISTINCT FROM 'ofgl' AND NOT ends_with(type, '_demande')
+    UNION SELECT s_suppkey * 3 + 1 FROM supplier WHERE s_acctbal < 0 UNION SELECT unnest(pair) FROM sure WHERE relation_type = 'membre_commission'
+), tied AS (
+    SELECT unnest(pair) AS id FROM sure WHERE relation_type IN ('dirigeant', 'gérant', 'président', 'associé') AND EXISTS (SELECT 1 FROM fed WHERE list_contains(pair, fed.id))
+        AND NOT EXISTS (SELECT 1 FROM entities s WHERE s.type <> 'person' AND s.id % 11 = 0 AND list_contains(pair, s.id))
+), seated AS (
+    SELECT unnest(pair) AS id FROM sure WHERE relation_type IN ('adjoint', 'candidat', 'délégué_cc', 'délégué_cm', 'élu_cc', 'élu_cm', 'maire', 'membre_commission')
+)
+SELECT id AS entity_id, CASE WHEN id IN (SELECT id FROM seated) THEN 'civic' ELSE 'economic' END AS why FROM entities
+WHERE type = 'person' AND confidence IN ('verified', 'confirmed') AND (id IN (SELECT id FROM seated) OR id IN (SELECT id FROM tied))""")
 def relevance_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holders of contracts are suppliers in debt; every eleventh body is a sole proprietor."""
     c = civic(spark, sf_dir)
-    return graph.relevance_closure(c.entities, c.relations, c.flows, ELECTIVE).select(F.col("id").alias("entity_id"), "why")
+    flows = c.flows.withColumns({"scope": F.when(F.col("source") == "ofgl", "agregat"), "status": F.when(F.col("type").endswith("_demande"), "demande")})
+    contracts = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select((F.col("s_suppkey") * 3 + 1).alias("holder_id"))
+    sole = c.entities.where((F.col("type") != "person") & (F.col("id") % 11 == 0)).select(F.col("id").alias("node"))
+    money = graph.public_money(c.relations, flows, contracts, ("membre_commission",))
+    return graph.relevance_closure(c.entities, c.relations, money, sole, PUBLIC_ROLES, PRIVATE).select(F.col("id").alias("entity_id"), "why")
 
 
 @query("R01_matched_entities", CIVIC_SQL + """, e AS (SELECT id, name, commune, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k FROM entities),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicmill.operators import quality as q
-from civicmill.operators.edges import doubled
 from civicmill.plans.base import query
 from civicmill.sources.civic import CIVIC_SQL, civic
 from civicmill.sources.tables import table
@@ -25,18 +24,22 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.duplicate_names(civic(spark, sf_dir).entities)
 
 
-@query("Q_all_rules", CIVIC_SQL + """SELECT 'bad_confidence' AS "check", 'error' AS severity, CAST(id AS VARCHAR) AS ref FROM entities WHERE confidence NOT IN ('verified', 'confirmed', 'probable') OR confidence IS NULL
-    UNION ALL SELECT 'never_closed', 'warn', CAST(id AS VARCHAR) FROM relations WHERE since < '1998-01-01' AND until IS NULL
+@query("Q_all_rules", CIVIC_SQL + """, mandates AS (SELECT unnest([from_id, to_id]) AS person, until FROM relations WHERE relation_type IN ('élu_cm', 'élu_cc', 'adjoint', 'maire', 'délégué_cm', 'délégué_cc'))
+    SELECT 'bad_confidence' AS "check", 'error' AS severity, CAST(id AS VARCHAR) AS ref FROM entities WHERE confidence NOT IN ('verified', 'confirmed', 'probable') OR confidence IS NULL
+    UNION ALL SELECT 'never_closed', 'warn', CAST(id AS VARCHAR) FROM relations WHERE since < '1998-01-01' AND until IS NULL AND list_contains(['élu_cm', 'élu_cc', 'adjoint', 'maire', 'délégué_cm', 'délégué_cc'], relation_type)
     UNION ALL SELECT 'self_loop', 'error', CAST(id AS VARCHAR) FROM relations WHERE from_id = to_id
-    UNION ALL SELECT 'all_mandates_closed', 'warn', CAST(e.node AS VARCHAR) FROM ends e JOIN relations r ON r.id = e.id GROUP BY e.node HAVING count(*) FILTER (r.until IS NULL) = 0""")
+    UNION ALL SELECT 'stale_seat', 'error', CAST(s.id AS VARCHAR) FROM (SELECT r.id, unnest([from_id, to_id]) AS person FROM relations r
+        WHERE relation_type IN ('membre_commission', 'adjoint', 'délégué_cm', 'responsable') AND coalesce(until, '9999') > '1995-06-30') s
+    WHERE EXISTS (SELECT 1 FROM entities p WHERE p.id = s.person AND p.type = 'person')
+        AND EXISTS (SELECT 1 FROM mandates m WHERE m.person = s.person AND m.until <= '1995-06-30')
+        AND NOT EXISTS (SELECT 1 FROM mandates m WHERE m.person = s.person AND coalesce(m.until, '9999') > '1995-06-30')""")
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = civic(spark, sf_dir)
-    holders = doubled(c.relations.select("id", "until", "from_id", "to_id"))
     return q.run_checks({
         "bad_confidence": lambda: q.bad_domain(c.entities, "confidence", ("verified", "confirmed", "probable"), "bad_confidence"),
         "never_closed": lambda: q.never_closed(c.relations, "1998-01-01"),
         "self_loop": lambda: q.self_loops(c.relations),
-        "all_closed": lambda: q.all_closed(holders),
+        "stale_seats": lambda: q.stale_seats(c.relations, c.entities, "1995-06-30"),
     })
 
 

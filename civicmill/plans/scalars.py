@@ -29,9 +29,26 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_brand"), 16).alias("slug"))
 
 
-@query("F14_plausible_names", "SELECT p_partkey, len(string_split(p_name, ' ')) BETWEEN 2 AND 5 AND NOT regexp_matches(p_name, '[0-9]') AND NOT list_contains(string_split(p_name, ' '), 'ring') AS plausible FROM part")
+@query("F14_plausible_names", """WITH n AS (SELECT p_partkey, ['', 'Le ', 'du ', 'A. '][1 + p_partkey % 4] || split_part(p_name, ' ', 1 + CAST(p_size % 2 AS INT)) || ['', ' de la', ' ' || p_name, ' X'][1 + p_size % 4] AS name FROM part),
+    w AS (SELECT *, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM n),
+    f AS (SELECT *, list_filter(words, lambda x: NOT list_contains(['de', 'du', 'des', 'd', 'la', 'le', 'les', 'l', 'van', 'von', 'el'], x)) AS own FROM w)
+    SELECT p_partkey, len(words) BETWEEN 2 AND 5 AND NOT regexp_matches(name, '[0-9]') AND NOT list_contains(words, 'ring') AND len(own) >= 2 AND len(list_filter(own, lambda x: length(x) < 2)) = 0 AS plausible FROM f""")
 def plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", text.plausible_name(F.col("p_name"), ("ring",)).alias("plausible"))
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (1 + n % 4).cast("int"))
+    given = F.split_part(F.col("p_name"), F.lit(" "), (1 + F.col("p_size") % 2).cast("int"))
+    name = F.concat(pick(["", "Le ", "du ", "A. "], F.col("p_partkey")), given, pick(["", " de la", F.concat(F.lit(" "), "p_name"), " X"], F.col("p_size")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.plausible_name(name, ("ring",)).alias("plausible"))
+
+
+@query("P14_safe_urls", r"""WITH u AS (SELECT page_id, ['', '  file:///Users/a/', chr(9) || '/Users/a/', ' ', 'FILE:', chr(160) || 'c:\', ' /home/x/'][1 + page_id % 7] || CASE WHEN page_id % 7 = 3 AND page_id % 2 = 0 THEN '' ELSE url END || '  ' AS url FROM pages),
+    t AS (SELECT page_id, trim(url, ' ' || chr(9) || chr(160)) AS url FROM u)
+    SELECT page_id, CASE WHEN url = '' OR starts_with(lower(url), 'file:') OR starts_with(lower(url), '/users/') OR starts_with(lower(url), '/home/') OR lower(url)[2:3] = ':\' THEN NULL ELSE url END AS url FROM t""")
+def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with paths of somebody's machine put before them, blanks around."""
+    fronts = F.array(*map(F.lit, ("", "  file:///Users/a/", "\t/Users/a/", " ", "FILE:", "\u00a0c:\\", " /home/x/")))
+    bare = (F.col("page_id") % 7 == 3) & (F.col("page_id") % 2 == 0)
+    url = F.concat(F.element_at(fronts, (1 + F.col("page_id") % 7).cast("int")), F.when(bare, "").otherwise(F.col("url")), F.lit("  "))
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_url(url).alias("url"))
 
 
 @query("P13_hosts", "WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages) SELECT page_id, host, host = 'example.org' OR ends_with(host, '.example.org') AS denied FROM h")
