@@ -1,0 +1,54 @@
+"""Extraction from minutes over the driver's documents.
+
+The documents are prose without a layout, so heads of acts are put in at hashed places: every document gets one of several
+layouts, with gaps, false titles and running heads, so that what does not match is met as well.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from civicmill.operators import minutes as m
+from civicmill.plans.base import query
+from civicmill.sources.tables import table
+
+
+def picked(values: list[Column | str], n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (1 + F.pmod(n, F.lit(len(values)))).cast("int"))
+
+
+def with_minutes(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): sentences as lines, heads in one of seven layouts by the document's id."""
+    layout = F.col("doc_id") % 7
+
+    def head(line: Column, i: Column) -> Column:
+        k = F.floor(i / 4).cast("int")
+        h = F.pmod(F.hash("doc_id", i), F.lit(11))
+        words, n = F.substring(line, 1, 60), k.cast("string")
+        title = F.when(h == 0, "DETR 52 655.52 € 27.62 %").when(h == 1, "M. DURAND : Oui").when(h == 2, F.concat(words, F.lit(" 39,60 318.37"))).otherwise(words)
+        roman = picked(["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"], k)
+        number = F.when(h == 3, F.concat(n, F.lit("/2024 "))).otherwise(F.concat(n, F.lit("/2024 : n° "), (4700 + k).cast("string"), F.lit(" : ")))
+        ident = F.concat(F.lit(" (N° DE_2026_"), n, F.lit(")"))
+        wide = F.concat(F.upper(words), F.lit("\n"), F.lower(words), ident)
+        listed = F.when((h == 4) & (layout == 3), line).otherwise(F.concat(title, picked(["", ", approuvé à l'unanimité"], h)))
+        return (
+            F.when(layout == 0, F.concat(number, title, F.lit("\nVu le code général\n"), line))
+            .when(layout == 1, F.concat(F.when(h > 7, wide).otherwise(F.concat(title, ident)), F.lit("\n"), line))
+            .when(layout == 2, F.concat(picked(["• ", "(cid:127) ", "– "], h), title, F.lit(" : "), line))
+            .when(layout == 3, F.concat(F.when(h == 4, "").otherwise(F.concat((k + 1).cast("string"), F.lit(". "))), listed, F.lit("\n"), line))
+            .when(layout == 4, F.concat(F.upper(title), F.lit("\n"), line, F.lit("\nVILLE DE HAUT\n")))
+            .when(layout == 5, F.concat(roman, F.lit(". "), title, F.lit("\n\n"), line))
+            .otherwise(line)
+        )
+
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
+    lines = F.transform(sentences, lambda line, i: F.when(i % 4 == 1, head(line, i)).otherwise(line))
+    opening = F.when(F.col("doc_id") % 2 == 0, "PRÉSENTS : TOUS\nSecrétaire de séance : Mme X\n").otherwise("")
+    closing = F.when(F.col("doc_id") % 3 == 0, "\nLa séance est levée à 20 h.\nLe Maire, X").otherwise("")
+    return documents.select("doc_id", F.concat(opening, F.array_join(lines, "\n"), closing).alias("text"))
+
+
+@query("T08_acts")
+def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.acts(with_minutes(table(spark, sf_dir, "documents")), "doc_id", "text")
