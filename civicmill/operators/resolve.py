@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicmill.functions.jsons import fingerprint
-from civicmill.functions.text import normalise
+from civicmill.functions.text import fold, normalise
 from civicmill.operators.windows import first_per_key
+from civicmill.sources.tables import checkpointed
 
 
 def match_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -115,3 +116,99 @@ def contained_pairs(names: DataFrame, texts: DataFrame, size: int = 3) -> DataFr
     known = own.join(counts, "piece", "left").groupBy("name_id", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest"))
     rarest = known.where("rarest.n > 0").select("name_id", "name", F.col("rarest.piece").alias("piece"))
     return rarest.join(held, "piece").where(F.contains("text", "name")).select("name_id", "text_id")
+
+
+#: Words that tell no beneficiary from another.
+BENEFICIARY_STOP = ("de", "des", "du", "la", "le", "les", "l", "d", "et", "a", "au", "aux", "pour", "association", "asso")
+BENEFICIARY_KINDS = ("association", "business", "service", "place")
+
+
+def _plain_quotes(text: Column) -> Column:
+    return F.translate(text, "’‘`", "'''")
+
+
+def _name_key(name: Column) -> Column:
+    return F.lower(F.trim(_plain_quotes(name)))
+
+
+def _name_tokens(name: Column) -> Column:
+    words = F.array_distinct(F.split(normalise(_plain_quotes(name)), " "))
+    return F.array_sort(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*BENEFICIARY_STOP)))
+
+
+def covering_pairs(names: DataFrame, pool: DataFrame, key_l: str, key_r: str, least: float = 0.6) -> DataFrame:
+    """(key_l, key_r, shared, n_left, n_right) of the pairs where the pool's row has that share of the name's tokens.
+
+    Of a name with n tokens at least ceil(least n) must be shared, so one of its n + 1 - ceil(least n) rarest is: rows meet on
+    those only, and a frequent token makes no pairs of its own.
+    """
+    held = pool.select(key_r, F.col("tokens").alias("_there"), F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("_df"))
+    own = names.select(key_l, F.col("tokens").alias("_own"), F.explode("tokens").alias("token")).join(counts, "token", "left")
+    rank = F.row_number().over(Window.partitionBy(key_l).orderBy(F.coalesce("_df", F.lit(0)), "token"))
+    probes = own.withColumn("_rank", rank).where((F.col("_rank") <= F.size("_own") + 1 - F.ceil(F.size("_own") * F.lit(least) - 1e-9)) & F.col("_df").isNotNull())
+    met = probes.select(key_l, "_own", "token").join(held, "token").dropDuplicates([key_l, key_r])
+    shared = met.select(key_l, key_r, F.size(F.array_intersect("_own", "_there")).alias("shared"), F.size("_own").alias("n_left"), F.size("_there").alias("n_right"))
+    return shared.where(F.col("shared") >= F.col("n_left") * F.lit(least) - 1e-9)
+
+
+def _best_first(older: Column, *more: Column) -> list[Column]:
+    """Order of candidates: share of the name's tokens, and a half more if all; then ``more``; fewer tokens; the older one."""
+    cover = F.col("shared") / F.col("n_left")
+    return [F.desc(cover + F.when(F.col("shared") == F.col("n_left"), 0.5).otherwise(0.0)), *more, F.col("n_right"), older]
+
+
+def resolved_beneficiaries(mentions: DataFrame, entities: DataFrame, subsidised: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """(mention_id, entity_id, registered_by, how): who the names of ``mentions`` (mention_id, name) stand for.
+
+    A name is looked up as its alias says, then exactly, an association before others, then by the tokens it shares:
+    among the entities (id, name, type) that were subsidised (id) before, else among all; 0.6 of its tokens are needed.
+    Names that stay unknown are registered, the first mentioned one first, unless they match one that is registered
+    already; ``registered_by`` is the mention that made the entry, for that name and those that match it. Names without
+    tokens match their equals only.
+
+    A name is decided where it is first mentioned and known entities win over new ones, so the result hangs on the
+    mentions' ids, not on the order in which rows come. Which names are registered is a fixpoint of joins on ids: a name is
+    in once all earlier names that it matches are known to be out. Null names resolve to nothing.
+    """
+    said = F.trim(F.regexp_replace(F.lower(fold(_plain_quotes(F.col("name")))), r"\s+", " "))
+    meant = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), said), F.col("name")) if aliases else F.col("name")
+    told = mentions.where(F.col("name").isNotNull()).select("mention_id", meant.alias("name"), (meant != F.col("name")).alias("aliased")).withColumn("key", _name_key(F.col("name")))
+    names = checkpointed(told.groupBy("key").agg(F.min("mention_id").alias("first"), F.min_by("name", "mention_id").alias("name")).withColumn("tokens", _name_tokens(F.col("name"))))
+
+    kinds = entities.where(F.col("type").isin(*BENEFICIARY_KINDS)).select("id", "name", (F.col("type") == "association").alias("asso"))
+    exact = first_per_key(kinds.withColumn("key", _name_key(F.col("name"))), ["key"], F.desc("asso"), F.col("id")).select("key", F.col("id").alias("exact_id"))
+    open_names = names.join(exact, "key", "left_anti")
+    pool = kinds.join(subsidised.select("id", F.lit(True).alias("paid")).distinct(), "id", "left").select("id", "asso", F.coalesce("paid", F.lit(False)).alias("paid"), _name_tokens(F.col("name")).alias("tokens"))
+    pairs = covering_pairs(open_names, pool.select("id", "tokens"), "key", "id").join(pool.select("id", "asso", "paid"), "id")
+    similar = first_per_key(pairs, ["key"], F.desc("paid"), *_best_first(F.col("id"), F.desc("asso"))).select("key", F.col("id").alias("similar_id"), "paid")
+
+    unknown = checkpointed(open_names.join(similar, "key", "left_anti").select("key", "first", "tokens"))
+    ids = unknown.select("first", "tokens")
+    older = covering_pairs(ids, ids.select(F.col("first").alias("before"), "tokens"), "first", "before").where("before < first")
+    older = checkpointed(older)
+    registered, undecided = _earliest(ids.select("first"), older.select("first", "before"))
+    while not undecided.isEmpty():
+        registered, undecided = _earliest(ids.select("first"), older.select("first", "before"), registered)
+    twins = older.join(registered.withColumnRenamed("first", "before"), "before", "left_semi")
+    twin = first_per_key(twins, ["first"], *_best_first(F.col("before"))).select("first", "before")
+    made = unknown.join(twin, "first", "left").select("key", F.coalesce("before", "first").alias("registered_by"))
+
+    rows = told.join(exact, "key", "left").join(similar, "key", "left").join(made, "key", "left")
+    how = F.when(F.col("exact_id").isNotNull(), F.when(F.col("aliased"), "alias").otherwise("exact")).when(F.col("paid"), "subsidised").when(F.col("similar_id").isNotNull(), "known").when(F.col("registered_by") == F.col("mention_id"), "registered").otherwise("new")
+    found = rows.select("mention_id", F.coalesce("exact_id", "similar_id").alias("entity_id"), "registered_by", how.alias("how"))
+    nothing = mentions.where(F.col("name").isNull()).select("mention_id", F.lit(None).cast(entities.schema["id"].dataType).alias("entity_id"), F.lit(None).cast(mentions.schema["mention_id"].dataType).alias("registered_by"), F.lit("nothing").alias("how"))
+    return found.unionByName(nothing)
+
+
+def _earliest(names: DataFrame, older: DataFrame, registered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(registered, undecided) after one more round: names join in whose earlier matches are all known to be out."""
+    if registered is None:
+        undecided, known = names, None
+    else:
+        out = older.join(registered.withColumnRenamed("first", "before"), "before", "left_semi").select("first")
+        undecided, known = names.join(registered, "first", "left_anti").join(out, "first", "left_anti"), registered
+    undecided = checkpointed(undecided)
+    waits = older.join(undecided.withColumnRenamed("first", "before"), "before", "left_semi").select("first")
+    joins = undecided.join(waits, "first", "left_anti")
+    return checkpointed(joins if known is None else known.union(joins)), undecided

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicmill.functions.classify import declared_scope
@@ -157,3 +157,62 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = civic(spark, sf_dir).entities
     return entities.select(F.col("id").alias("entity_id"), resolve.natural_key(F.col("type"), F.col("siren"), F.lit(None).cast("string"), F.col("name")).alias("natural_key"))
+
+
+LETTERS_SQL = "translate(CAST({n} AS VARCHAR), '0123456789', 'abcdefghij')"
+#: What people write for the first part's body, and nobody else's.
+ALIASES = {"ape": "small widget", "les boulistes": "amicale des boulistes"}
+
+
+def _letters(n: Column) -> Column:
+    return F.translate(n.cast("string"), "0123456789", "abcdefghij")
+
+
+@query("R04_beneficiaries", """WITH RECURSIVE bodies AS (
+    SELECT p_partkey AS id, p_name || ' w' || """ + LETTERS_SQL.format(n="p_partkey % 97") + """ || ' v' || """ + LETTERS_SQL.format(n="p_partkey % 31") + """ AS name, p_partkey % 3 = 0 AS asso, p_partkey % 5 = 0 AS paid FROM part WHERE p_partkey % 11 > 0
+), said AS (
+    SELECT o_orderkey AS mention_id, p_name AS plain, p_name || ' w' || """ + LETTERS_SQL.format(n="p_partkey % 97") + """ || ' v' || """ + LETTERS_SQL.format(n="p_partkey % 31") + """ AS name FROM orders JOIN part ON p_partkey = o_custkey
+), told AS (
+    SELECT mention_id, CASE mention_id % 9 WHEN 0 THEN upper(name) WHEN 1 THEN 'Association  ' || name WHEN 2 THEN array_to_string(list_reverse(string_split(name, ' ')), '-') WHEN 3 THEN array_to_string(string_split(name, ' ')[1:3], ' ')
+        WHEN 4 THEN name || ' nouveau club' WHEN 5 THEN 'Amicale z' || """ + LETTERS_SQL.format(n="mention_id % 40") + """ || ' ' || plain WHEN 6 THEN CASE mention_id % 4 WHEN 0 THEN 'amicale des boulistes' ELSE 'small widget' END WHEN 7 THEN 'l' || chr(39) || name ELSE CASE mention_id % 5 WHEN 0 THEN NULL ELSE 'de la' END END AS name FROM said
+), keyed AS (
+    SELECT mention_id, name, lower(trim(name)) AS key, mention_id % 9 = 6 AS aliased FROM told WHERE name IS NOT NULL
+), tokens AS (
+    SELECT key, min(mention_id) AS first, list_distinct(list_filter(string_split(trim(regexp_replace(key, '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('de', 'des', 'du', 'la', 'le', 'les', 'et', 'au', 'aux', 'pour', 'association', 'asso'))) AS words FROM keyed GROUP BY key
+), exact AS (
+    SELECT lower(name) AS key, arg_min(id, (NOT asso, id)) AS exact_id FROM bodies GROUP BY lower(name)
+), body_words AS (
+    SELECT id, asso, paid, list_distinct(string_split(lower(name), ' ')) AS words FROM bodies
+), scored AS (
+    SELECT key, id, paid, row_number() OVER (PARTITION BY key ORDER BY paid DESC, len(list_intersect(t.words, b.words)) DESC, asso DESC, len(b.words), id) AS nth
+    FROM tokens t ANTI JOIN exact USING (key) JOIN body_words b ON list_has_any(t.words, b.words) AND len(list_intersect(t.words, b.words)) * 10 >= len(t.words) * 6
+), alike AS (SELECT key, id, paid FROM scored WHERE nth = 1
+), unknown AS (
+    SELECT key, first, words, row_number() OVER (ORDER BY first) AS k FROM tokens ANTI JOIN exact USING (key) ANTI JOIN alike USING (key)
+), walk AS (
+    SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(first BIGINT, words VARCHAR[])[]) AS made, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS registered_by
+    UNION ALL
+    SELECT k, CASE WHEN hit IS NULL THEN list_append(made, {'first': first, 'words': words}) ELSE made END, key, coalesce(hit, first) FROM (
+        SELECT u.k, w.made, u.key, u.first, u.words, list_sort(list_transform(list_filter(w.made, lambda m: len(u.words) > 0 AND len(list_intersect(u.words, m.words)) * 10 >= len(u.words) * 6),
+            lambda m: {'a': -len(list_intersect(u.words, m.words)), 'b': len(m.words), 'first': m.first}))[1].first AS hit
+        FROM walk w JOIN unknown u ON u.k = w.k + 1)
+)
+SELECT told.mention_id, coalesce(exact_id, alike.id) AS entity_id, registered_by,
+    CASE WHEN told.name IS NULL THEN 'nothing' WHEN exact_id IS NOT NULL THEN CASE WHEN aliased THEN 'alias' ELSE 'exact' END WHEN alike.id IS NOT NULL THEN CASE WHEN paid THEN 'subsidised' ELSE 'known' END
+        WHEN registered_by = told.mention_id THEN 'registered' ELSE 'new' END AS how
+FROM told LEFT JOIN keyed ON keyed.mention_id = told.mention_id LEFT JOIN exact ON exact.key = keyed.key LEFT JOIN alike ON alike.key = keyed.key LEFT JOIN walk ON walk.key = keyed.key""")
+def beneficiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts' bodies as orders tell them: in capitals, in another order, in part, with more, as an alias, or of unknown clubs."""
+    part = table(spark, sf_dir, "part")
+    body = F.concat("p_name", F.lit(" w"), _letters(F.col("p_partkey") % 97), F.lit(" v"), _letters(F.col("p_partkey") % 31))
+    entities = part.where("p_partkey % 11 > 0").select(F.col("p_partkey").alias("id"), body.alias("name"), F.when(F.col("p_partkey") % 3 == 0, "association").otherwise("business").alias("type"))
+    n = F.col("o_orderkey")
+    words = F.split("name", " ")
+    told = (
+        F.when(n % 9 == 0, F.upper("name")).when(n % 9 == 1, F.concat(F.lit("Association  "), "name")).when(n % 9 == 2, F.array_join(F.reverse(words), "-")).when(n % 9 == 3, F.array_join(F.slice(words, 1, 3), " "))
+        .when(n % 9 == 4, F.concat("name", F.lit(" nouveau club"))).when(n % 9 == 5, F.concat(F.lit("Amicale z"), _letters(n % 40), F.lit(" "), "p_name"))
+        .when(n % 9 == 6, F.when(n % 4 == 0, " Les  Boulistes").otherwise("APE")).when(n % 9 == 7, F.concat(F.lit("l’"), "name")).when(n % 5 != 0, "de la")
+    )
+    rows = table(spark, sf_dir, "orders").join(part.select("p_partkey", "p_name", body.alias("name")), F.col("o_custkey") == F.col("p_partkey"))
+    paid = entities.where("id % 5 = 0").select("id")
+    return resolve.resolved_beneficiaries(rows.select(n.alias("mention_id"), told.alias("name")), entities, paid, ALIASES)
