@@ -43,7 +43,7 @@ def has_letter(text: Column) -> Column:
 
 
 #: Particles of family names, which make no name on their own.
-PARTICLES = ("de", "du", "des", "d", "la", "le", "les", "l", "van", "von", "el")
+PARTICLES = ("de", "du", "des", "le", "la", "von", "van", "d", "l")
 
 
 def plausible_name(text: Column, stop: tuple[str, ...] = ()) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicmill.operators import minutes as m
+from civicmill.operators import people
 from civicmill.plans.base import query
 from civicmill.sources.tables import table
 
@@ -52,3 +53,57 @@ def with_minutes(documents: DataFrame) -> DataFrame:
 @query("T08_acts")
 def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.acts(with_minutes(table(spark, sf_dir, "documents")), "doc_id", "text")
+
+
+FIRST = ("Jean", "Marie-Claude", "Paul", "Élodie", "René", "Anne")
+LAST = ("DUPONT", "Le Goff", "MARTIN", "de Cazenove", "Séo", "FONTENAY")
+
+
+def _person(n: Column) -> Column:
+    return F.concat(picked(list(FIRST), n), F.lit(" "), picked(list(LAST), F.shiftright(n, 3)))
+
+
+def with_people(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): sentences as lines, every third one with officers told in one of many wordings."""
+
+    def told(line: Column, i: Column) -> Column:
+        h = F.pmod(F.hash("doc_id", i), F.lit(1 << 20))
+        role = picked(["Président", "trésorière", "SECRÉTAIRE GÉNÉRALE", "gérant", "vice-présidente", "Responsable"], F.shiftright(h, 6))
+        a, b = _person(h), _person(F.shiftright(h, 9))
+        said = [
+            F.concat(role, F.lit(" : "), a), F.concat(role, F.lit(" : Mme "), a, F.lit(", Secrétaire "), b), F.concat(a, F.lit(", "), role, F.lit(" — "), b, F.lit(", trésorière")),
+            F.concat(F.lit("Pour contacter "), a, F.lit(" ("), role, F.lit(")")), F.concat(F.lit("présidée par "), a, F.lit(" depuis 2020")), F.concat(role, F.lit(" : Contact Mairie")), F.concat(role, F.lit(" Le Goff")),
+            F.concat(F.lit("M. "), a, F.lit(" - le "), role, F.lit(" : "), b), line, role,
+        ]
+        return F.concat(line, F.lit(" "), picked(said, h))
+
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
+    return documents.select("doc_id", F.array_join(F.transform(sentences, lambda line, i: F.when(i % 3 == 1, told(line, i)).otherwise(line)), "\n").alias("text"))
+
+
+@query("T13_roles")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.roles(with_people(table(spark, sf_dir, "documents")), "doc_id", "text")
+
+
+def with_committees(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): sentences as lines, between them titles, leads, members, overflowing lists, speech and page numbers."""
+
+    def put(line: Column, i: Column) -> Column:
+        h = F.pmod(F.hash("doc_id", i), F.lit(1 << 20))
+        name = lambda k: F.concat(picked(["Brigitte", "René\n", "Jean-\nJacques", "Ève"], F.shiftright(h, k)), F.lit(" "), picked(["MARTIN", "FLOUTIER", "LAVERGNE (volet agricole)", "Dubois"], F.shiftright(h, k + 2)))
+        three = F.concat(name(3), F.lit(", "), name(7), picked([" - ", "; ", " – "], h), name(11))
+        short = F.initcap(F.substring(F.regexp_replace(line, "[^a-zA-Z ]", ""), 1, 30))
+        said = [
+            short, F.concat(short, F.lit(" :")), F.concat(F.lit("Responsable : "), name(5)), F.concat(F.lit("Responsables : "), three), F.concat(F.lit("Membres : "), three), F.concat(F.lit("MEMBRE : "), name(4)),
+            F.upper(three), F.lit("travaux et services"), F.lit("12"), F.lit(""), line, F.when(F.shiftright(h, 8) % 8 == 0, "M. VANTARD : nous allons voter").otherwise(short),
+        ]
+        return picked(said, F.shiftright(h, 4))
+
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
+    return documents.select("doc_id", F.array_join(F.transform(sentences, lambda line, i: F.when(i % 5 < 4, put(line, i)).otherwise(line)), "\n").alias("text"))
+
+
+@query("T12_committees")
+def committees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.committees(with_committees(table(spark, sf_dir, "documents")), "doc_id", "text")

@@ -31,7 +31,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("F14_plausible_names", """WITH n AS (SELECT p_partkey, ['', 'Le ', 'du ', 'A. '][1 + p_partkey % 4] || split_part(p_name, ' ', 1 + CAST(p_size % 2 AS INT)) || ['', ' de la', ' ' || p_name, ' X'][1 + p_size % 4] AS name FROM part),
     w AS (SELECT *, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM n),
-    f AS (SELECT *, list_filter(words, lambda x: NOT list_contains(['de', 'du', 'des', 'd', 'la', 'le', 'les', 'l', 'van', 'von', 'el'], x)) AS own FROM w)
+    f AS (SELECT *, list_filter(words, lambda x: NOT list_contains(['de', 'du', 'des', 'd', 'la', 'le', 'l', 'van', 'von'], x)) AS own FROM w)
     SELECT p_partkey, len(words) BETWEEN 2 AND 5 AND NOT regexp_matches(name, '[0-9]') AND NOT list_contains(words, 'ring') AND len(own) >= 2 AND len(list_filter(own, lambda x: length(x) < 2)) = 0 AS plausible FROM f""")
 def plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (1 + n % 4).cast("int"))
