@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicmill.operators import budgets
 from civicmill.operators import minutes as m
 from civicmill.operators import people
 from civicmill.plans.base import query
@@ -107,3 +108,37 @@ def with_committees(documents: DataFrame) -> DataFrame:
 @query("T12_committees")
 def committees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.committees(with_committees(table(spark, sf_dir, "documents")), "doc_id", "text")
+
+
+def with_budgets(documents: DataFrame) -> DataFrame:
+    """(doc_id, date, title, text): sentences as lines, between them heads and lines of budget tables, as spreadsheets and web pages write them."""
+
+    def put(line: Column, i: Column) -> Column:
+        h = F.pmod(F.hash("doc_id", i), F.lit(1 << 24))
+        at = lambda k: F.shiftright(h, k)
+        year = picked(["2024", "2025"], F.col("doc_id"))
+        name = picked(["PRINCIPAL ", "le budget annexe de la Chaufferie bois ", "M57 ", "qui s'établit ainsi : Parc locatif ", "", "du 2024 "], at(3))
+        section = picked(["section de fonctionnement", "SECTION D'INVESTISSEMENT", "dépenses d’investissement", "recettes", "section fonctionnement"], at(6))
+        later = picked(["", " 11 0", " CA 2024", "", " Restes à réaliser"], at(9))
+        head = F.concat(name, section, picked(["\n", " dépenses "], at(4)), F.lit("Chap/art Intitulé"), picked(["", " Réalisé 2023 | ", "\n"], at(5)), F.lit(" BP "), year, later)
+        whole = lambda k: F.concat((at(k) % 900 + 1).cast("string"), F.lit(" "), F.lpad((at(k + 2) % 1000).cast("string"), 3, "0"))
+        amount = lambda k: picked([F.concat(whole(k), F.lit(",50")), whole(k), F.concat(F.lit("-"), whole(k), F.lit(".07")), F.lit("65"), F.lit("0,00")], at(k))
+        label = picked(["TOTAL DES RECETTES FONCT. EXERCICE", "Total des dépenses fonctionnement", "Total des recettes d'investissement", "TOTAL DES DEPENSES INVEST", ".012 Charges de personnel et frais", "011 charges à caractère général", "Solde d’exécution"], at(2))
+        row = F.concat(label, F.lit(" "), amount(8), picked(["\n", " | ", " Autres ", " "], at(7)), amount(11), F.lit(" "), amount(5))
+        return picked([head, row, row, line, row], at(1))
+
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
+    body = F.array_join(F.transform(sentences, lambda line, i: F.when(i % 6 < 4, put(line, i)).otherwise(line)), "\n")
+    title = F.when(F.col("doc_id") % 3 > 0, picked(["Budget", "PRINCIPAL section de fonctionnement"], F.col("doc_id")))
+    return documents.select("doc_id", F.when(F.col("doc_id") % 10 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 50).cast("int"))).alias("date"), title.alias("title"), body.alias("text"))
+
+
+@query("T10_budget_tables")
+def budget_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = budgets.budget_tables(with_budgets(table(spark, sf_dir, "documents")), "doc_id", "title", "text")
+    return found.select("doc_id", "nth", "year", "scope", "section", "verdict", F.array_join(F.transform("lines", lambda e: F.format_string("%s=%.12e", e["label"], e["value"])), ";").alias("lines"))
+
+
+@query("T10_voted_budgets")
+def voted_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budgets.voted_budgets(with_budgets(table(spark, sf_dir, "documents")), "doc_id", "date", "title", "text")
