@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicmill.sources.tables import checkpointed
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key under ``order``, which must decide between any two rows.
@@ -73,3 +75,31 @@ def densified(df: DataFrame, key: str, axis: str) -> DataFrame:
     keys = df.select(key).distinct()
     grid = keys.join(F.broadcast(axis_values)).select(key, F.explode("_axis").alias(axis))  # one row
     return grid.join(df, [key, axis], "left")
+
+
+def best_of_near_repeats(df: DataFrame, keys: list[str], date: str, days: int, *best: Column) -> DataFrame:
+    """Of rows with equal ``keys`` within ``days`` of each other the one that comes first under ``best``.
+
+    A row stays if no row that stays is better and near. A row without a date is near to all of its keys; rows with a null
+    key are near to none. ``best`` must decide between any two rows of a key.
+
+    Each round keeps what is best among the undecided rows near it and drops what is near to those; both are range windows,
+    so a key's rows are streamed, never gathered. Rounds end when nothing is undecided.
+    """
+    own, day = Window.partitionBy(*keys), F.datediff(date, F.lit("1970-01-01"))
+    known = df
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    without_key = df.where(~F.coalesce(*[F.when(F.col(k).isNull(), F.lit(False)) for k in keys], F.lit(True)))
+    rows = checkpointed(known.withColumns({"_best": F.row_number().over(own.orderBy(*best)), "_day": day}))
+    near = own.orderBy("_day").rangeBetween(-days, days)
+    dated, undated = F.col("_day").isNotNull(), F.col("_day").isNull()
+    stays = None
+    while not rows.isEmpty():
+        around = F.when(undated, F.min("_best").over(own)).otherwise(F.least(F.min(F.when(dated, F.col("_best"))).over(near), F.min(F.when(undated, F.col("_best"))).over(own)))
+        judged = rows.withColumn("_stays", F.col("_best") == around)
+        close = F.when(undated, F.max("_stays").over(own)).otherwise(F.coalesce(F.max(dated & F.col("_stays")).over(near), F.lit(False)) | F.max(undated & F.col("_stays")).over(own))
+        judged = checkpointed(judged.withColumn("_close", close))
+        kept, rows = judged.where("_stays").select(*df.columns), judged.where(~F.col("_stays") & ~F.col("_close")).drop("_stays", "_close")
+        stays = kept if stays is None else stays.union(kept)
+    return without_key if stays is None else stays.union(without_key)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicmill.operators import approvals as approved
 from civicmill.operators import budgets
 from civicmill.operators import minutes as m
 from civicmill.operators import people
@@ -142,3 +143,28 @@ def budget_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("T10_voted_budgets")
 def voted_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets.voted_budgets(with_budgets(table(spark, sf_dir, "documents")), "doc_id", "date", "title", "text")
+
+
+def with_plans(documents: DataFrame) -> DataFrame:
+    """(doc_id, date, title, text): sentences as lines, every fifth one a vote on a plan, worded in many ways; titles of every kind."""
+
+    def put(line: Column, i: Column) -> Column:
+        h = F.pmod(F.hash("doc_id", i), F.lit(1 << 24))
+        at = lambda k: F.shiftright(h, k)
+        amount = lambda k: F.concat((at(k) % 7 + 1).cast("string"), picked([" 130,10", "\u00a0500", "0 000.5", "99", " 000 000 000"], at(k + 3)))
+        who = picked(["Le SMEG propose", "M. SERRE : le SIVOM", "le syndicat mixte d'électrification porte", "Monsieur  SDEE et le Syndicat de la Vallée du Gardon suite", "la commune"], at(4))
+        vote = picked(["approuve le projet de travaux", "vote le plan de financement", "Ce projet s’élève à", "avant-projet ci-joint", "examine l'affaire"], at(7))
+        money = picked([F.concat(amount(2), F.lit(" € HT soit "), amount(9), F.lit(" € TTC")), F.concat(amount(5), F.lit(" HT")), F.concat(amount(1), F.lit(" euros")), F.concat(amount(6), F.lit(" € ttc et "), amount(3), F.lit(" € ttc"))], at(10))
+        return F.concat(line, F.lit("\n"), who, F.lit(" "), vote, F.lit(" "), money, F.lit(". Fin; "), line)
+
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
+    body = F.array_join(F.transform(sentences, lambda line, i: F.when(i % 5 == 2, put(line, i)).otherwise(line)), "\n")
+    title = picked(["Coût des travaux", "EXTENSION DU RESEAU D'ECLAIRAGE PUBLIC DU POSTE", "Travaux au lieu-dit Calviac et alentours", "Séance du conseil de la commune de Haut", "M. SERRE : Le SMEG propose un projet", " "], F.col("doc_id"))
+    date = F.when(F.col("doc_id") % 9 > 0, F.date_add(F.lit("2020-01-01").cast("date"), ((F.col("doc_id") * 37) % 1500).cast("int")))
+    return documents.select("doc_id", date.alias("date"), title.alias("title"), body.alias("text"))
+
+
+@query("T11_approvals")
+def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = approved.approvals(with_plans(table(spark, sf_dir, "documents")), "doc_id", "date", "title", "text")
+    return approved.best_named(found, "doc_id")

@@ -84,6 +84,23 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", w.carried("bought", ["user_id"], F.col("ts"), F.col("event_id")).alias("last_purchase"))
 
 
+@query("W12_best_of_near", """WITH RECURSIVE r AS (
+    SELECT o_orderkey, o_custkey % 200 AS amount, o_orderdate AS day, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_totalprice DESC, o_orderkey) AS nth
+    FROM (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 200 > 0 THEN CAST(o_orderdate AS DATE) END AS o_orderdate FROM orders)
+), walk AS (
+    SELECT amount, CAST(0 AS BIGINT) AS nth, CAST([] AS STRUCT(o_orderkey BIGINT, day DATE)[]) AS kept FROM (SELECT DISTINCT amount FROM r)
+    UNION ALL
+    SELECT w.amount, r.nth, CASE WHEN len(list_filter(w.kept, lambda k: k.day IS NULL OR r.day IS NULL OR abs(datediff('day', k.day, r.day)) <= 200)) = 0 THEN list_append(w.kept, {'o_orderkey': r.o_orderkey, 'day': r.day}) ELSE w.kept END
+    FROM walk w JOIN r ON r.amount = w.amount AND r.nth = w.nth + 1
+)
+SELECT amount, unnest(arg_max(kept, nth)).o_orderkey AS o_orderkey FROM walk GROUP BY amount""")
+def best_of_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of orders of one amount within 200 days the dearest one stays; some orders have no date."""
+    day = F.when(F.col("o_orderkey") % 200 > 0, F.to_date("o_orderdate"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("amount"), day.alias("day"), "o_totalprice")
+    return w.best_of_near_repeats(rows, ["amount"], "day", 200, F.desc("o_totalprice"), F.col("o_orderkey")).select("amount", "o_orderkey")
+
+
 @query("W12_near_repeats", """WITH RECURSIVE r AS (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
     g AS (SELECT o_orderkey, o_custkey, o_orderpriority, n, day AS last, true AS stays FROM r WHERE n = 1 UNION ALL SELECT r.o_orderkey, r.o_custkey, r.o_orderpriority, r.n, CASE WHEN r.day - g.last > 200 THEN r.day ELSE g.last END, r.day - g.last > 200
     FROM r JOIN g ON r.o_custkey = g.o_custkey AND r.o_orderpriority = g.o_orderpriority AND r.n = g.n + 1) SELECT o_orderkey FROM g WHERE stays""")

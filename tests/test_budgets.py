@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def py(pattern):
-    return re.compile(pattern.replace(r"\x{00A0}", " ").replace(r"\x{202F}", " "), re.A)
+    return re.compile(pattern.replace(r"\x{00A0}", r"\xa0").replace(r"\x{202F}", r"\u202f"), re.A)
 
 
 def plain(text):

@@ -18,7 +18,7 @@ def py(pattern: str) -> re.Pattern:
     if opened := re.match(r"\(\?([a-z]+)\)", pattern):
         flags = re.I if "i" in opened[1] else 0
         pattern = pattern[opened.end() :]
-    pattern = pattern.replace(r"\x{00A0}", " ").replace(r"[\p{L}\p{N}_'’\-]", r"[\w'’\-]").replace(r"[\p{L}\p{N}_-]", r"[\w\-]").replace(r"[\p{L}\p{N}_]", r"\w").replace(r"\p{L}", r"[^\W\d_]")
+    pattern = pattern.replace(r"\x{00A0}", r"\xa0").replace(r"[\p{L}\p{N}_'’\-]", r"[\w'’\-]").replace(r"[\p{L}\p{N}_-]", r"[\w\-]").replace(r"[\p{L}\p{N}_]", r"\w").replace(r"\p{L}", r"[^\W\d_]")
     return re.compile(pattern, flags)
 
 
