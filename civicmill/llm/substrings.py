@@ -33,6 +33,8 @@ EDGES = ".,;:!?\"'()[]«»“”*#%&$-"
 LAST = (1 << 63) - 1
 #: Name of a column that stands beside a table's own for a while.
 SPANS = "_substring_spans"
+#: Name of a column that names a row while documents are cut.
+ROW = "_substrings_row"
 
 
 def _spans(line: str, offset: int, min_words: int) -> Iterator[tuple[int, int, str]]:
@@ -73,36 +75,43 @@ def units(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
                 yield start, end, unit
 
 
-def _digested(min_words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _digested(min_words: int, row: bool = False) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            hashes, keys, starts, sizes, again = [], [], [], [], []
-            for key, text in zip(batch["key"].tolist(), batch["text"], strict=True):
+            hashes, keys, starts, sizes, again, rows = [], [], [], [], [], []
+            for key, text, own in zip(batch["key"].tolist(), batch["text"], batch[ROW if row else "key"].tolist(), strict=True):
                 seen: set[bytes] = set()
                 for start, end, unit in units(text, min_words):
                     h = digest(unit.encode("utf-8", "replace"))
                     hashes.append(h)
                     keys.append(key)
+                    rows.append(own)
                     starts.append(start)
                     sizes.append(end - start)
                     again.append(h in seen)
                     seen.add(h)
             halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"h1": halves[:, 0], "h2": halves[:, 1], "key": np.array(keys, np.int64), "start": np.array(starts, np.int32), "size": np.array(sizes, np.int32), "again": np.array(again, bool)})
+            yield pd.DataFrame({"h1": halves[:, 0], "h2": halves[:, 1], "key": np.array(keys, np.int64), "start": np.array(starts, np.int32), "size": np.array(sizes, np.int32), "again": np.array(again, bool)} | ({ROW: np.array(rows, np.int64)} if row else {}))
 
     return run
 
 
-def repeated_units(docs: DataFrame, min_words: int = 6) -> DataFrame:
-    """(doc_id, start, end, kept_doc_id) of every unit that goes; ``start`` and ``end`` are offsets in the text."""
+def _gone(docs: DataFrame, min_words: int, *row: str) -> DataFrame:
+    """(key, start, size, kept, and ``row`` if given) of the units that go."""
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text")
-    found = saved(rows.mapInPandas(_digested(min_words), "h1 long, h2 long, key long, start int, size int, again boolean"), "units")
+    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text", *row)
+    schema = "h1 long, h2 long, key long, start int, size int, again boolean" + "".join(f", {r} long" for r in row)
+    found = saved(rows.mapInPandas(_digested(min_words, bool(row)), schema), "units")
     keepers = found.groupBy("h1", "h2").agg(F.min("key").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = found.join(keepers, ["h1", "h2"]).where(F.col("again") | (F.col("key") > F.col("kept")))
+    return found.join(keepers, ["h1", "h2"]).where(F.col("again") | (F.col("key") > F.col("kept")))
+
+
+def repeated_units(docs: DataFrame, min_words: int = 6) -> DataFrame:
+    """(doc_id, start, end, kept_doc_id) of every unit that goes; ``start`` and ``end`` are offsets in the text."""
+    gone = _gone(docs, min_words)
     named = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return gone.select(named("key").alias("doc_id"), F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"), named("kept").alias("kept_doc_id"))
 
@@ -125,6 +134,11 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def deduplicated(docs: DataFrame, min_words: int = 6) -> DataFrame:
-    """The documents without the units that go; all columns stay."""
-    spans = repeated_units(docs, min_words).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(SPANS))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, SPANS).mapInPandas(_cut, docs.schema)
+    """The documents without the units that go; all columns stay.
+
+    Each row loses what repeats in its own text: rows get a key, under which their spans come back, so rows that share an
+    id don't lose each other's spans, and rows without one lose what an identified row has.
+    """
+    keyed = saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    spans = _gone(keyed, min_words, ROW).groupBy(ROW).agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias(SPANS))
+    return keyed.join(spans, ROW, "left").select(*docs.columns, SPANS).mapInPandas(_cut, docs.schema)

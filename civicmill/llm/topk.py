@@ -102,10 +102,10 @@ def _selected(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _tiles(queries: DataFrame, candidates: DataFrame, n_query_blocks: int, n_blocks: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``work`` on each tile: every block of candidates meets every block of queries once."""
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("qb", dealt(n_query_blocks)).withColumn("cb", spread(n_blocks))
-    c = candidates.withColumn("cb", dealt(n_blocks)).withColumn("qb", spread(n_query_blocks))
+    q = queries.withColumn("qb", dealt("vec_id", n_query_blocks)).withColumn("cb", spread(n_blocks))
+    c = candidates.withColumn("cb", dealt("row", n_blocks)).withColumn("qb", spread(n_query_blocks))
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(work, schema)
 
 
@@ -129,7 +129,8 @@ def _kth_bin(counts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` largest integer inner products, ties to smaller ids."""
-    candidates = saved(quantised(vectors, scale), "candidates")
+    # dealt by row, as many rows may share an id
+    candidates = saved(quantised(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "candidates")
     size = candidates.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     reach = int(size[1] or 0) * int(size[2] or 0) ** 2 + 1
     if reach > 1 << 61:

@@ -10,7 +10,8 @@ largest page id stays a response; the others become revisits of it.
 Files are written by Spark's text writer (gzip over the whole file, no partial files after a lost task) and read with
 ``binaryFile``. A new archive begins after a number of records that keeps it at about ``archive_bytes``, and at eight
 times that however the long pages fall, so what a task holds of a file and of the decisions on its records is bounded.
-Payloads are not shuffled: digests are, and each file meets the decisions about its own records.
+WARC files are bounded like ARC files, by their number of records. Digests are shuffled, payloads are not, unless
+the decisions are too many to broadcast: then each file is shuffled once, whole, to the decisions about its own records.
 
 Edge cases: null html is an empty payload; empty payloads count as equal to each other; null urls become
 ``urn:page:<id>``; white space in a url is percent-encoded; a null ``page_id`` stays null, below every other; of rows
@@ -96,9 +97,9 @@ def records_per_file(pages: DataFrame, archive_bytes: int) -> int:
     return max(2, min(int(archive_bytes / (mean or 512)), 8 * archive_bytes // (most or 512)))
 
 
-def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), date: str = "20240101000000", archive_bytes: int = 32 << 20) -> None:
-    """Pages (page_id, url, html) as ARC files; the tasks' files take the ``versions`` in turn."""
-    rows, per_file = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html"), records_per_file(pages, archive_bytes)
+def write_arc(pages: DataFrame, path: str, per_file: int, versions: tuple[int, ...] = (1, 2), date: str = "20240101000000") -> None:
+    """Pages (page_id, url, html) as ARC files of ``per_file`` records; the tasks' files take the ``versions`` in turn."""
+    rows = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html")
     write_archive(rows.mapInPandas(_arc_rows(versions, date, per_file), "record binary"), path, "\n", per_file)
 
 
@@ -185,8 +186,8 @@ def _converted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"record": out})
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
-    """ARC files to WARC files; payloads of at least ``min_bytes`` that occur again become revisits."""
+def convert(spark: SparkSession, arc_path: str, warc_path: str, per_file: int, min_bytes: int = 0) -> None:
+    """ARC files to WARC files of ``per_file`` records; payloads of at least ``min_bytes`` that occur again become revisits."""
     found = saved(survey(spark, arc_path), "survey")
     keyed = found.where(F.col("size") >= min_bytes)
     place = F.struct("page_id", "path", "position")
@@ -197,7 +198,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
     none = F.array().cast("array<struct<position:long,first_page:long,first_path:string,first_position:long>>")
     joined = files.join(decided, "path", "left").select("path", "content", F.coalesce("decisions", none).alias("decisions"))
-    write_archive(joined.mapInPandas(_converted, "record binary"), warc_path, "\r\n\r\n")
+    write_archive(joined.mapInPandas(_converted, "record binary"), warc_path, "\r\n\r\n", per_file)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -243,6 +244,7 @@ def archived(pages: DataFrame, min_bytes: int = 0, path: str | None = None, arch
     spark = pages.sparkSession
     small_batches(spark)
     path = path or shared_dir(spark, "archives")
-    write_arc(pages, f"{path}/arc", archive_bytes=archive_bytes)
-    convert(spark, f"{path}/arc", f"{path}/warc", min_bytes)
+    per_file = records_per_file(pages, archive_bytes)
+    write_arc(pages, f"{path}/arc", per_file)
+    convert(spark, f"{path}/arc", f"{path}/warc", per_file, min_bytes)
     return read_warc(spark, f"{path}/warc")
