@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from civicmill.operators.civic_views import ELECTIVE_OR_MAYOR, PRIVATE
+from civicmill.functions.text import normalise
+from civicmill.operators.civic_views import ELECTIVE_OR_MAYOR
 from civicmill.operators.edges import doubled
 
 #: Confidence levels that may be published.
 PUBLIC_CONFIDENCE = ("verified", "confirmed")
 #: Roles that make a person public.
 PUBLIC_ROLES = ("adjoint", "candidat", "délégué_cc", "délégué_cm", "élu_cc", "élu_cm", "maire", "membre_commission")
+#: Relations that may be published, those that may if they bear on public action, and marks of those that never are.
+PUBLIC_RELATIONS = (
+    "adjoint", "bail_loyer", "bailleur_commune", "candidat", "délégué_cc", "délégué_cm", "locataire_commune", "maire", "mandat", "membre_commission",
+    "prestataire", "président_cc", "subvention", "subventionné", "vice_président_cc", "élu_cc", "élu_cm",
+)
+ECONOMIC = ("associé", "dirigeant", "gérant", "président", "secrétaire", "trésorier")
+PRIVATE_MARKS = ("présumé", "famille", "époux", "enfant", "proche", "même_adresse", "même_lieu_dit", "doublon")
+PUBLIC_MONEY = ("bail_loyer", "bailleur_commune", "locataire_commune", "prestataire", "subvention", "subventionné")
 #: Kinds of entities that are institutions, and roles that are a seat on the council that communes share.
 INSTITUTIONS = ("service",)
 COUNCIL_SEATS = ("élu_cc",)
@@ -65,37 +73,72 @@ def breaches(decided: DataFrame, relations: DataFrame) -> DataFrame:
     return shown.select("id", breach.alias("breach")).where("breach IS NOT NULL")
 
 
-def _with_ends(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    shown = decided.where("ok").select(F.col("id").alias("shown_id"))
-    near = shown.select(F.col("shown_id").alias("from_id"), F.lit(True).alias("from_shown"))
-    far = shown.select(F.col("shown_id").alias("to_id"), F.lit(True).alias("to_shown"))
-    return rows.join(near, "from_id", "left").join(far, "to_id", "left").withColumn("both_shown", F.col("from_shown").isNotNull() & F.col("to_shown").isNotNull())
+def _marked(rows: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with ``mark``: how many of their two ends are among ``ids`` (node)."""
+    known = ids.select(F.col("node").alias("_node")).distinct().withColumn("_there", F.lit(1))
+    for end in ("from_id", "to_id"):
+        rows = rows.join(known, F.col(end) == F.col("_node"), "left").withColumn(f"{mark}_{end}", F.coalesce("_there", F.lit(0))).drop("_node", "_there")
+    return rows.withColumn(mark, F.col(f"{mark}_from_id") + F.col(f"{mark}_to_id")).drop(f"{mark}_from_id", f"{mark}_to_id")
 
 
-def decide_relations(relations: DataFrame, decided: DataFrame) -> DataFrame:
-    """``relations`` with a reason; those that open with "public_" may be published."""
+def decide_relations(relations: DataFrame, entities: DataFrame, shown: DataFrame, civic: DataFrame, money: DataFrame, sole: DataFrame) -> DataFrame:
+    """``relations`` with a reason; those that open with "public" may be published.
+
+    ``shown``, ``civic``, ``money`` and ``sole`` (node each) are the published entities, those with a civic role, those that
+    got public money, and sole proprietors. An economic tie is public only if it bears on public action: one end is civic
+    or was paid. Not so the tie of sole proprietors to themselves, whom the register knows, or else their name at both ends.
+    """
+    called = entities.select(F.col("id").alias("_id"), normalise(F.col("name")).alias("_name"))
+    rows = _marked(_marked(_marked(_marked(relations, shown, "_shown"), civic, "_civic"), money, "_money"), sole, "_sole")
+    for end in ("from", "to"):
+        rows = rows.join(called, F.col(f"{end}_id") == F.col("_id"), "left").withColumnRenamed("_name", f"_{end}_name").drop("_id")
+    same_name = F.coalesce("_from_name", F.lit("")) == F.coalesce("_to_name", F.lit(""))
+    relevant = (F.col("_sole") == 0) & ~same_name & ((F.col("_civic") > 0) | (F.col("_money") > 0))
+    kind = F.coalesce("relation_type", F.lit(""))
+    private = F.lit(False)
+    for mark in PRIVATE_MARKS:
+        private |= F.contains(kind, F.lit(mark))
     reason = (
-        F.when(~public_confidence(F.col("confidence")), "confidence")
-        .when(~F.col("both_shown"), "hidden_end")
-        .when(F.col("relation_type").isin(*ELECTIVE_OR_MAYOR, "membre_commission"), "public_mandate")
-        .when(F.col("relation_type").isin(*PRIVATE), "public_lead")
-        .otherwise("private_kind")
+        F.when(~public_confidence(F.col("confidence")), "private_confidence")
+        .when(F.col("_shown") < 2, "endpoint_not_public")
+        .when(private, "private_relation_type")
+        .when(kind.isin(*PUBLIC_RELATIONS), "public")
+        .when(kind.isin(*ECONOMIC), F.when(relevant, "public_par_pertinence").otherwise("economique_sans_lien_public"))
+        .otherwise("not_in_public_allowlist")
     )
-    return _with_ends(relations, decided).withColumn("reason", reason)
-
+    return rows.withColumn("reason", reason).select(*relations.columns, "reason")
 
-def decide_flows(flows: DataFrame, decided: DataFrame) -> DataFrame:
-    """``flows`` with a reason: amount, beneficiary, ends, and only the first of equal flows is public."""
-    nth = F.row_number().over(Window.partitionBy("type", "year", "amount", "from_id", "to_id").orderBy("id"))
-    reason = F.when(F.col("amount").isNull() | (F.col("amount") <= 0), "amount").when(F.col("to_id").isNull(), "no_beneficiary").when(~F.col("both_shown"), "hidden_end").when(F.col("nth") > 1, "repeated").otherwise("public")
-    return _with_ends(flows.withColumn("nth", nth), decided).withColumn("reason", reason)
 
+def decide_flows(flows: DataFrame, reviews: DataFrame, entities: DataFrame, shown: DataFrame, persons: DataFrame, commune: int) -> DataFrame:
+    """``flows`` with a reason, after the review of people, which may reject a flow or settle its confidence.
 
-def without_unknown_twins(flows: DataFrame) -> DataFrame:
-    """Flows without a beneficiary go where a flow of the same year, amount, type and payer names one."""
-    named = flows.where(F.col("to_id").isNotNull()).select("year", "amount", "type", "from_id").distinct()
-    unknown = flows.where(F.col("to_id").isNull()).join(named, ["year", "amount", "type", "from_id"], "left_anti")
-    return flows.where(F.col("to_id").isNotNull()).unionByName(unknown.select(*flows.columns))
+    Refused are, in this order: rejected flows, those of private confidence, cessions to which the commune (an id) is no
+    party, flows with a person at an end who may not be named (``persons``, node: who may), flows with an end that is not
+    published (``shown``, node), and repeats: the later ones of equal flows, and a flow without a beneficiary where an equal
+    one names it.
+    """
+    rejected = reviews.where("review_status = 'rejected'").select(F.col("object_id").alias("id")).distinct()
+    refused = flows.join(rejected, "id", "left_semi").withColumn("reason", F.lit("rejete_en_atelier"))
+    rows = reviewed(flows, reviews, [c for c in flows.columns if c not in ("id", "confidence")]).select(*flows.columns)
+    hidden = entities.where("type = 'person'").select(F.col("id").alias("node")).join(persons.select("node"), "node", "left_anti")
+    rows = _marked(_marked(rows, hidden, "_hidden"), shown, "_shown")
+    ends = F.when(F.col("from_id").isNull(), 0).otherwise(1) + F.when(F.col("to_id").isNull(), 0).otherwise(1)
+    party = F.coalesce(F.col("from_id") == commune, F.lit(False)) | F.coalesce(F.col("to_id") == commune, F.lit(False))
+    reason = (
+        F.when(~public_confidence(F.col("confidence")), "private_confidence")
+        .when(F.coalesce(F.col("type").startswith("cession"), F.lit(False)) & ~party, "private_cession")
+        .when(F.col("_hidden") > 0, "private_person_endpoint")
+        .when(F.col("_shown") < ends, "endpoint_not_public")
+    )
+    rows = rows.withColumn("reason", reason).select(*flows.columns, "reason")
+    left = rows.where("reason IS NULL")
+    keys = ("year", "amount", "type", "from_id")
+    first = left.groupBy(*keys, "to_id").agg(F.min("id").alias("id"))  # nulls are equal to each other here
+    named = first.where("to_id IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    stays = first.where("to_id IS NOT NULL").select("id").union(first.where("to_id IS NULL").join(named, same, "left_anti").select("id")).withColumn("_stays", F.lit(True))
+    last = left.drop("reason").join(stays, "id", "left").withColumn("reason", F.when(F.col("_stays"), "public").otherwise("duplicates"))
+    return refused.unionByName(rows.where("reason IS NOT NULL")).unionByName(last.select(*flows.columns, "reason"))
 
 
 def reviewed(facts: DataFrame, annotations: DataFrame, corrected: list[str], key: str = "id") -> DataFrame:

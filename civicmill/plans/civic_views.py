@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from civicmill.operators import civic_views as views
 from civicmill.operators.edges import doubled
-from civicmill.operators.publish import breaches, decide_entities, decide_flows, decide_relations, scope_allows, seated
+from civicmill.operators.graph import public_money, relevance_closure
+from civicmill.operators.publish import ECONOMIC, PUBLIC_MONEY, PUBLIC_ROLES, breaches, decide_entities, decide_flows, decide_relations, scope_allows, seated
 from civicmill.operators.quality import classified, outside_list
 from civicmill.plans.base import query
-from civicmill.sources.civic import CIVIC_SQL, civic
+from civicmill.sources.civic import CIVIC_SQL, Civic, civic
 
 #: Outcomes in the order in which their tests are made; the first that holds is the outcome.
 CONFLICTS_SQL = CIVIC_SQL + """, seats AS (
@@ -154,22 +155,80 @@ def entity_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide_entities(c.entities, c.relations).select(F.col("id").alias("entity_id"), "type", "reason", "ok")
 
 
-@query("C11_relation_decisions", CIVIC_SQL + ", " + ENTITY_DECISION + """ SELECT r.id AS relation_id, CASE WHEN coalesce(r.confidence, '') NOT IN ('verified', 'confirmed') THEN 'confidence'
-    WHEN a.id IS NULL OR b.id IS NULL THEN 'hidden_end' WHEN r.relation_type IN ('élu_cm', 'élu_cc', 'adjoint', 'maire', 'candidat', 'membre_commission') THEN 'public_mandate'
-    WHEN r.relation_type IN ('dirigeant', 'gérant', 'président', 'associé') THEN 'public_lead' ELSE 'private_kind' END AS reason
-    FROM relations r LEFT JOIN (SELECT id FROM decided WHERE reason = 'public') a ON a.id = r.from_id LEFT JOIN (SELECT id FROM decided WHERE reason = 'public') b ON b.id = r.to_id""")
+#: The parties of a publication: whose relations carry confidence, who got public money, who is a sole proprietor, who may be named.
+PARTIES_SQL = CIVIC_SQL + ", " + ENTITY_DECISION + """, shown AS (SELECT id FROM decided WHERE reason = 'public'
+), ties AS (
+    SELECT id, CASE id % 10 WHEN 3 THEN 'famille_proche' WHEN 7 THEN 'prestataire' WHEN 8 THEN 'voisin' ELSE relation_type END AS kind, confidence, [from_id, to_id] AS pair FROM relations
+), sure AS (SELECT * FROM ties WHERE confidence IN ('verified', 'confirmed')
+), sole AS (SELECT id FROM entities WHERE type <> 'person' AND id % 11 = 0
+), paid AS (
+    SELECT to_id AS id FROM flows WHERE source IS DISTINCT FROM 'ofgl' AND NOT ends_with(type, '_demande') AND id % 4 = 0
+    UNION SELECT unnest(pair) FROM sure WHERE kind IN ('bail_loyer', 'bailleur_commune', 'locataire_commune', 'prestataire', 'subvention', 'subventionné')
+), seated AS (
+    SELECT DISTINCT e.id FROM entities e JOIN (SELECT unnest(pair) AS id FROM sure WHERE kind IN ('adjoint', 'candidat', 'délégué_cc', 'délégué_cm', 'élu_cc', 'élu_cm', 'maire', 'membre_commission')) s ON s.id = e.id
+    WHERE e.type = 'person' AND e.confidence IN ('verified', 'confirmed')
+), leaders_of AS (
+    SELECT DISTINCT e.id FROM entities e JOIN (SELECT unnest(pair) AS id FROM sure WHERE kind IN ('associé', 'dirigeant', 'gérant', 'président', 'secrétaire', 'trésorier')
+        AND EXISTS (SELECT 1 FROM paid WHERE list_contains(pair, paid.id)) AND NOT EXISTS (SELECT 1 FROM sole WHERE list_contains(pair, sole.id))) s ON s.id = e.id
+    WHERE e.type = 'person' AND e.confidence IN ('verified', 'confirmed')
+)"""
+
+
+def _parties(c: Civic) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Relations of more kinds, and (node) of who is shown, civic, paid, sole and may be named."""
+    n = F.col("id") % 10
+    relations = c.relations.withColumn("relation_type", F.when(n == 3, "famille_proche").when(n == 7, "prestataire").when(n == 8, "voisin").otherwise(F.col("relation_type")))
+    flows = c.flows.where("id % 4 = 0").withColumns({"scope": F.when(F.col("source") == "ofgl", "agregat"), "status": F.when(F.col("type").endswith("_demande"), "demande")})
+    nobody = c.entities.select(F.col("id").alias("holder_id")).where(F.lit(False))
+    node = lambda rows: rows.select(F.col("id").alias("node"))
+    sole, money = node(c.entities.where((F.col("type") != "person") & (F.col("id") % 11 == 0))), public_money(relations, flows, nobody, PUBLIC_MONEY)
+    named = relevance_closure(c.entities, relations, money, sole, PUBLIC_ROLES, ECONOMIC)
+    shown = decide_entities(c.entities, c.relations).where("ok")
+    return relations, {"shown": node(shown), "civic": node(named.where("why = 'civic'")), "money": money, "sole": sole, "persons": node(named)}
+
+
+@query("C11_relation_decisions", PARTIES_SQL + """ SELECT t.id AS relation_id, CASE WHEN t.confidence IS NULL OR t.confidence NOT IN ('verified', 'confirmed') THEN 'private_confidence'
+    WHEN EXISTS (SELECT 1 FROM (SELECT unnest(t.pair) AS e) ANTI JOIN shown ON shown.id = e) THEN 'endpoint_not_public' WHEN contains(kind, 'famille') THEN 'private_relation_type'
+    WHEN kind IN ('adjoint', 'candidat', 'maire', 'membre_commission', 'prestataire', 'élu_cc', 'élu_cm') THEN 'public'
+    WHEN kind NOT IN ('associé', 'dirigeant', 'gérant', 'président', 'secrétaire', 'trésorier') THEN 'not_in_public_allowlist'
+    WHEN a.name = b.name OR a.id IN (FROM sole) OR b.id IN (FROM sole) THEN 'economique_sans_lien_public'
+    WHEN a.id IN (FROM seated) OR b.id IN (FROM seated) OR a.id IN (FROM paid) OR b.id IN (FROM paid) THEN 'public_par_pertinence' ELSE 'economique_sans_lien_public' END AS reason
+    FROM ties t LEFT JOIN entities a ON a.id = pair[1] LEFT JOIN entities b ON b.id = pair[2]""")
 def relation_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = civic(spark, sf_dir)
-    return decide_relations(c.relations, decide_entities(c.entities, c.relations)).select(F.col("id").alias("relation_id"), "reason")
-
-
-@query("C13_flow_decisions", CIVIC_SQL + ", " + ENTITY_DECISION + """, shown AS (SELECT id FROM decided WHERE reason = 'public'), ranked AS (
-    SELECT f.*, row_number() OVER (PARTITION BY type, year, amount, from_id, to_id ORDER BY id) AS nth FROM flows f)
-    SELECT r.id AS flow_id, CASE WHEN r.amount IS NULL OR r.amount <= 0 THEN 'amount' WHEN r.to_id IS NULL THEN 'no_beneficiary' WHEN a.id IS NULL OR b.id IS NULL THEN 'hidden_end'
-    WHEN nth > 1 THEN 'repeated' ELSE 'public' END AS reason FROM ranked r LEFT JOIN shown a ON a.id = r.from_id LEFT JOIN shown b ON b.id = r.to_id""")
+    relations, p = _parties(c)
+    return decide_relations(relations, c.entities, p["shown"], p["civic"], p["money"], p["sole"]).select(F.col("id").alias("relation_id"), "reason")
+
+
+@query("C13_flow_decisions", PARTIES_SQL + """, told AS (
+    SELECT id, CASE WHEN id % 13 = 0 THEN 'cession_fonds' ELSE type END AS type, year, amount, CASE WHEN id % 5 = 0 THEN 4 ELSE from_id END AS from_id, to_id, CASE WHEN id % 7 = 0 THEN 'probable' ELSE 'verified' END AS confidence FROM flows
+), every AS (
+    SELECT * FROM told UNION ALL SELECT id + 1000000000, type, year, amount, from_id, to_id, confidence FROM told WHERE id % 10 = 0
+    UNION ALL SELECT id + 2000000000, type, year, amount, from_id, NULL, 'verified' FROM told WHERE id % 4 = 1 UNION ALL SELECT id + 3000000000, type, year, amount, from_id, (id % 1000) * 3, 'verified' FROM told WHERE id % 6 = 1
+), checked AS (
+    SELECT * REPLACE (CASE WHEN id % 17 = 1 THEN 'verified' ELSE confidence END AS confidence, CASE WHEN id % 17 = 2 THEN 100 ELSE amount END AS amount) FROM every WHERE id % 17 > 0
+), judged AS (
+    SELECT *, CASE WHEN confidence <> 'verified' THEN 'private_confidence' WHEN starts_with(type, 'cession') AND from_id IS DISTINCT FROM 4 AND to_id IS DISTINCT FROM 4 THEN 'private_cession'
+        WHEN EXISTS (SELECT 1 FROM entities e WHERE e.id IN (from_id, to_id) AND e.type = 'person' AND e.id NOT IN (FROM seated UNION FROM leaders_of)) THEN 'private_person_endpoint'
+        WHEN from_id NOT IN (FROM shown) OR to_id NOT IN (FROM shown) THEN 'endpoint_not_public' END AS why FROM checked
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY why, year, amount, type, from_id, to_id ORDER BY id) AS nth, max(to_id) OVER (PARTITION BY why, year, amount, type, from_id) AS named FROM judged
+)
+SELECT id AS flow_id, coalesce(why, CASE WHEN nth > 1 OR to_id IS NULL AND named IS NOT NULL THEN 'duplicates' ELSE 'public' END) AS reason FROM numbered
+UNION ALL SELECT id, 'rejete_en_atelier' FROM every WHERE id % 17 = 0""")
 def flow_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows with cessions, a commune (4), copies, twins without a beneficiary and payments to persons, and what people made of some of them."""
     c = civic(spark, sf_dir)
-    return decide_flows(c.flows, decide_entities(c.entities, c.relations)).select(F.col("id").alias("flow_id"), "reason")
+    _, p = _parties(c)
+    n = F.col("id")
+    told = c.flows.select("id", F.when(n % 13 == 0, "cession_fonds").otherwise(F.col("type")).alias("type"), "year", "amount", F.when(n % 5 == 0, 4).otherwise(F.col("from_id")).alias("from_id"), "to_id", F.when(n % 7 == 0, "probable").otherwise("verified").alias("confidence"))
+    later = lambda rows, k, **changed: rows.withColumns({"id": n + k * 1_000_000_000} | changed).select(*told.columns)
+    none, sure = F.lit(None).cast("long"), F.lit("verified")
+    flows = told.union(later(told.where(n % 10 == 0), 1)).union(later(told.where(n % 4 == 1), 2, to_id=none, confidence=sure)).union(later(told.where(n % 6 == 1), 3, to_id=(n % 1000) * 3, confidence=sure))
+    kind = n % 17
+    given = F.when(kind == 2, F.create_map(F.lit("amount"), F.lit("100")))
+    reviews = flows.where(kind < 3).select(n.alias("object_id"), F.when(kind == 0, "rejected").otherwise("checked").alias("review_status"), F.when(kind == 1, "verified").alias("confidence"), F.lit(None).cast("string").alias("note"), given.alias("corrections"))
+    return decide_flows(flows, reviews, c.entities, p["shown"], p["persons"], 4).select(F.col("id").alias("flow_id"), "reason")
 
 
 @query("A23_exclusions", CIVIC_SQL + ", " + ENTITY_DECISION + " SELECT type AS section, reason, count(*) AS n FROM decided WHERE reason <> 'public' GROUP BY ALL")

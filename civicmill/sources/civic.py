@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicmill.sources.tables import table
+from civicmill.sources.tables import shared_folder, table
 
 #: Relation and flow types by order priority; a third of the deputies sit on the shared council instead.
 RELATION_TYPES = {"1-URGENT": "élu_cm", "2-HIGH": "adjoint", "3-MEDIUM": "dirigeant", "4-NOT SPECIFIED": "président", "5-LOW": "membre_commission"}
@@ -47,6 +47,30 @@ def _graded(key: Column) -> tuple[Column, Column]:
     return confidence, scope
 
 
+#: (application, folder) -> where its acts are written.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their largest line: relations, flows and events alike come from them.
+
+    The join is written once a session, for each folder of tables, which are taken not to change meanwhile; each frame of
+    each query then reads the columns it needs.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        line = F.max(F.struct("l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey"))
+        main = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(line.alias("line"), F.max("l_shipdate").alias("shipped"))
+        acts = table(spark, sf_dir, "orders").join(main, F.col("o_orderkey") == F.col("l_orderkey")).select(
+            F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 3).alias("person"), (F.col("line.l_partkey") * 3 + 2).alias("association"), (F.col("line.l_suppkey") * 3 + 1).alias("business"),
+            "o_orderpriority", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), F.date_format("shipped", "yyyy-MM-dd").alias("shipped"), F.year("o_orderdate").alias("year"),
+        )
+        path = shared_folder(spark, "acts")
+        acts.write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def civic(spark: SparkSession, sf_dir: str) -> Civic:
     read = lambda name: table(spark, sf_dir, name)
     place = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
@@ -65,12 +89,7 @@ def civic(spark: SparkSession, sf_dir: str) -> Civic:
     confidence, scope = _graded(F.col("id"))
     entities = person.union(business).union(association).withColumns({"confidence": confidence, "perimetre": scope})
 
-    line = F.max(F.struct("l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey"))
-    main = read("lineitem").groupBy("l_orderkey").agg(line.alias("line"), F.max("l_shipdate").alias("shipped"))
-    acts = read("orders").join(main, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 3).alias("person"), (F.col("line.l_partkey") * 3 + 2).alias("association"), (F.col("line.l_suppkey") * 3 + 1).alias("business"),
-        "o_orderpriority", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), F.date_format("shipped", "yyyy-MM-dd").alias("shipped"), F.year("o_orderdate").alias("year"),
-    )
+    acts = _acts(spark, sf_dir)
     swapped, source = F.col("id") % 2 == 1, _named(F.col("o_orderstatus"), SOURCES)
     relations = acts.select(
         "id", F.when(swapped, F.col("association")).otherwise(F.col("person")).alias("from_id"), F.when(swapped, F.col("person")).otherwise(F.col("association")).alias("to_id"),
