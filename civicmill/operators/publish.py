@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +75,14 @@ def breaches(decided: DataFrame, relations: DataFrame) -> DataFrame:
     return shown.select("id", breach.alias("breach")).where("breach IS NOT NULL")
 
 
-def _marked(rows: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
-    """``rows`` with ``mark``: how many of their two ends are among ``ids`` (node)."""
-    known = ids.select(F.col("node").alias("_node")).distinct().withColumn("_there", F.lit(1))
+def _marked(rows: DataFrame, **ids: DataFrame) -> DataFrame:
+    """``rows`` with a column for each of ``ids`` (node): how many of their two ends are among them. All sets meet an end in one join."""
+    sets = reduce(DataFrame.union, [nodes.select(F.col("node").alias("_node"), F.lit(mark).alias("_mark")) for mark, nodes in ids.items()])
+    known = sets.groupBy("_node").agg(*[F.max((F.col("_mark") == mark).cast("int")).alias(f"_in{mark}") for mark in ids])
     for end in ("from_id", "to_id"):
-        rows = rows.join(known, F.col(end) == F.col("_node"), "left").withColumn(f"{mark}_{end}", F.coalesce("_there", F.lit(0))).drop("_node", "_there")
-    return rows.withColumn(mark, F.col(f"{mark}_from_id") + F.col(f"{mark}_to_id")).drop(f"{mark}_from_id", f"{mark}_to_id")
+        rows = rows.join(known, F.col(end) == F.col("_node"), "left").drop("_node").withColumnsRenamed({f"_in{mark}": f"{mark}_{end}" for mark in ids})
+    total = {mark: F.coalesce(f"{mark}_from_id", F.lit(0)) + F.coalesce(f"{mark}_to_id", F.lit(0)) for mark in ids}
+    return rows.withColumns(total).drop(*[f"{mark}_{end}" for mark in ids for end in ("from_id", "to_id")])
 
 
 def decide_relations(relations: DataFrame, entities: DataFrame, shown: DataFrame, civic: DataFrame, money: DataFrame, sole: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def decide_relations(relations: DataFrame, entities: DataFrame, shown: DataFrame
     or was paid. Not so the tie of sole proprietors to themselves, whom the register knows, or else their name at both ends.
     """
     called = entities.select(F.col("id").alias("_id"), normalise(F.col("name")).alias("_name"))
-    rows = _marked(_marked(_marked(_marked(relations, shown, "_shown"), civic, "_civic"), money, "_money"), sole, "_sole")
+    rows = _marked(relations, _shown=shown, _civic=civic, _money=money, _sole=sole)
     for end in ("from", "to"):
         rows = rows.join(called, F.col(f"{end}_id") == F.col("_id"), "left").withColumnRenamed("_name", f"_{end}_name").drop("_id")
     same_name = F.coalesce("_from_name", F.lit("")) == F.coalesce("_to_name", F.lit(""))
@@ -121,7 +125,7 @@ def decide_flows(flows: DataFrame, reviews: DataFrame, entities: DataFrame, show
     refused = flows.join(rejected, "id", "left_semi").withColumn("reason", F.lit("rejete_en_atelier"))
     rows = reviewed(flows, reviews, [c for c in flows.columns if c not in ("id", "confidence")]).select(*flows.columns)
     hidden = entities.where("type = 'person'").select(F.col("id").alias("node")).join(persons.select("node"), "node", "left_anti")
-    rows = _marked(_marked(rows, hidden, "_hidden"), shown, "_shown")
+    rows = _marked(rows, _hidden=hidden, _shown=shown)
     ends = F.when(F.col("from_id").isNull(), 0).otherwise(1) + F.when(F.col("to_id").isNull(), 0).otherwise(1)
     party = F.coalesce(F.col("from_id") == commune, F.lit(False)) | F.coalesce(F.col("to_id") == commune, F.lit(False))
     reason = (

@@ -12,6 +12,7 @@ from civicmill.operators.publish import ECONOMIC, PUBLIC_MONEY, PUBLIC_ROLES, br
 from civicmill.operators.quality import classified, outside_list
 from civicmill.plans.base import query
 from civicmill.sources.civic import CIVIC_SQL, Civic, civic
+from civicmill.sources.tables import checkpointed
 
 #: Outcomes in the order in which their tests are made; the first that holds is the outcome.
 CONFLICTS_SQL = CIVIC_SQL + """, seats AS (
@@ -181,9 +182,9 @@ def _parties(c: Civic) -> tuple[DataFrame, dict[str, DataFrame]]:
     flows = c.flows.where("id % 4 = 0").withColumns({"scope": F.when(F.col("source") == "ofgl", "agregat"), "status": F.when(F.col("type").endswith("_demande"), "demande")})
     nobody = c.entities.select(F.col("id").alias("holder_id")).where(F.lit(False))
     node = lambda rows: rows.select(F.col("id").alias("node"))
-    sole, money = node(c.entities.where((F.col("type") != "person") & (F.col("id") % 11 == 0))), public_money(relations, flows, nobody, PUBLIC_MONEY)
-    named = relevance_closure(c.entities, relations, money, sole, PUBLIC_ROLES, ECONOMIC)
-    shown = decide_entities(c.entities, c.relations).where("ok")
+    sole, money = node(c.entities.where((F.col("type") != "person") & (F.col("id") % 11 == 0))), checkpointed(public_money(relations, flows, nobody, PUBLIC_MONEY))
+    named = checkpointed(relevance_closure(c.entities, relations, money, sole, PUBLIC_ROLES, ECONOMIC))  # each is read several times
+    shown = checkpointed(decide_entities(c.entities, c.relations).where("ok").select("id"))
     return relations, {"shown": node(shown), "civic": node(named.where("why = 'civic'")), "money": money, "sole": sole, "persons": node(named)}
 
 
