@@ -148,3 +148,67 @@ def rectified(text: Column, corrections: dict[str, str]) -> Column:
         text = F.replace(text, F.lit(wrong), F.lit(right))
         text = F.replace(text, F.upper(fold(F.lit(wrong))), F.upper(fold(F.lit(right))))
     return text
+
+
+#: Words that join others in a name, elided words, and acronyms that stay in capitals.
+LINKS = ("DE", "DES", "DU", "D", "LA", "LE", "LES", "L", "ET", "EN", "AU", "AUX", "POUR", "SUR", "PAR", "UN", "UNE", "A", "AVEC", "SOUS", "SANS", "OU")
+ELIDED = ("D", "L", "N", "S", "C", "J", "QU")
+ACRONYMS = (
+    "ADMR", "AFPPA", "ANS", "APE", "ASART", "ASL", "ATSEM", "BOAMP", "CAC", "CAF", "CCAS", "CC", "CD30", "CDG", "CERISE", "CIAS", "CLIC", "CNRS", "CVN", "DDFIP", "DETR", "DGCL",
+    "DGF", "DSP", "EHPAD", "EPCI", "EPI", "ESAT", "EVEN", "FCTVA", "FSC", "MJC", "MSA", "OFGL", "ONF", "PLU", "PNC", "RAM", "RNA", "RPI", "SAS", "SARL", "SCI", "SCIC", "SCOP",
+    "SIVU", "SPANC", "SYMTOMA", "UFOLEP", "USEP", "USPOP", "VTT", "ZAD",
+)
+
+
+def human_case(name: Column) -> Column:
+    """A register's name in capitals as people write it; a name in mixed case was settled by somebody and stays.
+
+    Acronyms stay, known ones, what has two letters or no vowel, and a word alone in brackets; words that join others are
+    small but for the first; an elision is small and what follows it is not. Null is blank.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^\s+|\s+$", ""), r"\.+$", "")
+
+    def block(word: Column, first: Column) -> Column:
+        link = F.when(first, F.initcap(word)).otherwise(F.lower(word))
+        short = (F.length(word) <= 2) | ~word.rlike("[AEIOUY]")
+        return F.when(word.isin(*ACRONYMS), word).when(word.isin(*LINKS), link).when(short, word).otherwise(F.initcap(word))
+
+    def rewritten(word: Column, i: Column) -> Column:
+        before = F.regexp_extract(word, "^[(«\"']*", 0)
+        rest = F.substr(word, F.length(before) + 1)
+        after = F.regexp_extract(rest, "[)».,;:\"]*$", 0)
+        core = F.substr(rest, F.lit(1), F.length(rest) - F.length(after))
+        parts, first = F.split(core, "['’]"), i == 0
+        head, tail, mark = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.regexp_extract(core, "['’]", 0)
+        opened = F.when(head.isin(*ELIDED), F.when(first, F.initcap(head)).otherwise(F.lower(head))).otherwise(block(head, first))
+        spelt = F.when(F.size(parts) == 2, F.concat(opened, mark, block(tail, F.lit(False)))).otherwise(block(core, first))
+        alone = F.contains(before, F.lit("(")) & F.contains(after, F.lit(")"))
+        return F.when((core == "") | alone, word).otherwise(F.concat(before, spelt, after))
+
+    words = F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
+    return F.when((bare == "") | (bare != F.upper(bare)), bare).otherwise(F.array_join(F.transform(words, rewritten), " "))
+
+
+def _compared(text: Column) -> Column:
+    plain = F.regexp_replace(fold(F.translate(F.coalesce(text, F.lit("")), "’‘—–", "")), r"[^\x00-\x7F]", "")
+    return F.trim(F.regexp_replace(F.translate(F.upper(plain), "-", " "), r"\s+", " "))
+
+
+def flow_label(text: Column, actor: Column, amount_shown: Column) -> Column:
+    """The label of a flow without what its line shows anyway: the actor's name, as its words in any order, and the amount at the end.
+
+    Of the parts between dashes those that say nothing but the actor go, unless nothing would be left; a part that opens
+    with the name and goes on in brackets keeps the brackets. Null is blank.
+    """
+    out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    target = _compared(actor)
+    tokens = lambda c: F.filter(F.split(F.replace(_compared(c), F.lit("'"), F.lit(" ")), r"\s+"), lambda w: F.length(w) >= 2)
+    own = tokens(actor)
+    for dash in (" — ", " – ", " - "):
+        parts = F.split(out, dash)
+        says = lambda p: (_compared(p) != target) & ~((F.size(tokens(p)) > 0) & (F.size(F.array_except(tokens(p), own)) == 0))
+        rest = lambda p: F.trim(F.substr(F.trim(p), F.length(actor) + 1))
+        told = F.transform(F.filter(parts, says), lambda p: F.when(_compared(p).startswith(F.concat(target, F.lit(" "))) & rest(p).startswith("("), rest(p)).otherwise(p))  # noqa: B023
+        out = F.when((F.coalesce(actor, F.lit("")) != "") & (F.size(parts) > 1) & (F.size(told) > 0), F.array_join(told, dash)).otherwise(out)
+    out = F.when(amount_shown.isNotNull(), F.regexp_replace(out, r"\s*[—–-]\s*[\d \x{00A0}\x{202F}]+(?:[.,]\d+)?\s*€\s*$", "")).otherwise(out)
+    return F.regexp_replace(out, "^[ —–-]+|[ —–-]+$", "")

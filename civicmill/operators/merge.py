@@ -102,3 +102,27 @@ def placed_by_hand(rows: DataFrame, moves: DataFrame, key: str = "id") -> DataFr
     moved = F.col("_lat").isNotNull()
     new = {"lat": F.col("_lat"), "lng": F.col("_lng"), "geo_source": F.lit("manual"), "geo_score": F.lit(1.0), "x": x, "y": y}
     return rows.join(hand, key, "left").withColumns({c: F.when(moved, v).otherwise(F.col(c)) for c, v in new.items()}).select(*rows.columns)
+
+
+def applied_if_unchanged(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(new rows, outcomes): changes to rows that are still as their author saw them.
+
+    ``rows`` have ``version`` and ``batch``, the last batch that changed them; ``changes`` are (batch, key, seen, columns): the
+    version that was seen and the new values, null for none, one a batch and key. Of several batches for one row the
+    first, by name, is applied, which makes the others stale. Outcomes (batch, key, outcome): applied, repeated (that batch
+    changed the row before, so a batch that runs twice changes nothing), stale, or unknown.
+    """
+    there = rows.select(F.col(key), F.col("version").alias("_version"), F.col("batch").alias("_batch"), F.lit(True).alias("_there"))
+    told = changes.join(there, key, "left")
+    outcome = (
+        F.when(F.col("_there").isNull(), "unknown").when(F.coalesce(F.col("_batch") == F.col("batch"), F.lit(False)), "repeated").when(~F.col("_version").eqNullSafe(F.col("seen")), "stale")
+    )
+    judged = told.withColumn("outcome", outcome).drop("_version", "_batch", "_there")
+    first = judged.where("outcome IS NULL").groupBy(key).agg(F.min("batch").alias("_first"))
+    final = F.coalesce("outcome", F.when(F.col("batch") == F.col("_first"), "applied").otherwise("stale"))
+    judged = judged.join(first, key, "left").withColumn("outcome", final).drop("_first")
+    new = judged.where("outcome = 'applied'").select(key, F.col("batch").alias("_batch"), *[F.col(c).alias(f"_{c}") for c in columns])
+    merged = rows.join(new, key, "left")
+    changed = {c: F.coalesce(f"_{c}", c) for c in columns}
+    changed |= {"version": F.when(F.col("_batch").isNull(), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1), "batch": F.coalesce("_batch", "batch")}
+    return merged.withColumns(changed).select(*rows.columns), judged.select("batch", key, "outcome")

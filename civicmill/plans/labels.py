@@ -158,3 +158,37 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.col("p_name").alias("Liste 1"), F.col("p_size").alias("Voix 1"), F.lit(None).cast("string").alias("Liste 2"), F.when(F.col("p_size") > 10, F.col("p_type")).alias("Voix 2"), F.col("p_brand").alias("Liste 12"),
     )
     return files.unpivot_blocks(wide, ["p_partkey"])
+
+
+def register_names(part: DataFrame) -> DataFrame:
+    """(p_partkey, name): parts' names as a register writes bodies, most in capitals, with elisions, acronyms, brackets and quotes."""
+    n, words = F.col("p_partkey"), F.split("p_name", " ")
+    a, b = F.upper(F.get(words, F.lit(0))), F.upper(F.get(words, F.lit(1)))
+    forms = [
+        F.concat(F.lit("ASSOCIATION DE L'"), a, F.lit(" ET DU "), b), F.concat(F.lit("CC DES "), a, F.lit(" (CCAS) – SIVU."), b), F.concat(F.lit("D’"), a, F.lit(" «"), b, F.lit("»;")), F.concat(a, F.lit("'"), b, F.lit(" NEZ HJH A LA ÉTÉ...")),
+        F.concat(F.lit("LES AMIS  DU "), b, F.lit(", (SANS "), a, F.lit(")")), F.col("p_name"), F.initcap("p_name"), F.concat(F.lit('" QU\'EN "'), a, F.lit("-"), b), F.lit("."), F.lit(None).cast("string"), F.concat(F.lit("L'O'"), a),
+    ]
+    return part.select("p_partkey", F.element_at(F.array(*forms), (1 + n % len(forms)).cast("int")).alias("name"))
+
+
+@query("F08_human_case")
+def human_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register_names(table(spark, sf_dir, "part")).select("p_partkey", text.human_case(F.col("name")).alias("name"))
+
+
+def labelled_flows(part: DataFrame) -> DataFrame:
+    """(p_partkey, label, actor, amount): labels that tell the actor's name and the amount again, in many ways."""
+    n, words = F.col("p_partkey"), F.split("p_name", " ")
+    actor = F.concat(F.initcap(F.get(words, F.lit(0))), F.lit("-Écoles "), F.upper(F.get(words, F.lit(1))))
+    turned = F.concat(F.get(words, F.lit(1)), F.lit(" L'ecoles"), F.lit(" "))
+    forms = [
+        F.concat(actor, F.lit(" — Subvention  communale 2026 — "), actor), F.concat(F.lit("Subvention - "), turned), F.concat(actor, F.lit(" – "), actor), F.concat(F.lit("Bail — "), F.upper(actor), F.lit(" (320 + 4 044) — 11 637,87 €")),
+        F.concat(actor, F.lit(" (détail) - suite")), F.lit("- 12\u00a0000 € "), F.lit(None).cast("string"), F.concat(F.lit("Travaux — "), F.get(words, F.lit(1)), F.lit(" — reste")), F.lit("Prêt – 3 500.5 €"), F.lit(" "),
+    ]
+    pick = lambda k: F.element_at(F.array(*forms), (1 + k % len(forms)).cast("int"))
+    return part.select("p_partkey", pick(n).alias("label"), F.when(n % 7 == 0, F.lit(None)).when(n % 7 == 1, "").otherwise(actor).alias("actor"), F.when(n % 3 > 0, F.col("p_retailprice")).alias("amount"))
+
+
+@query("F09_flow_labels")
+def flow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled_flows(table(spark, sf_dir, "part")).select("p_partkey", text.flow_label(F.col("label"), F.col("actor"), F.col("amount")).alias("label"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicmill.operators import merge
+from civicmill.operators.windows import first_per_key
 from civicmill.plans.base import query
 from civicmill.sources.tables import table
 
@@ -80,3 +81,35 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine, theirs = (df.groupBy("user_id").agg(F.max("value").alias("v")) for df in _batches(spark, sf_dir))
     return merge.decided(mine, theirs, "user_id", "v")
+
+
+OPTIMISTIC_SQL = """WITH base AS (
+    SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, CAST(c_custkey % 3 AS BIGINT) AS version, CASE WHEN c_custkey % 50 = 0 THEN 'b1' END AS batch FROM customer
+), told AS (
+    SELECT ['b1', 'b2', 'b3'][1 + o_orderkey % 3] AS batch, o_custkey + CASE WHEN o_orderkey % 20 = 0 THEN 1000000 ELSE 0 END AS id, o_orderkey % 4 AS seen, o_totalprice AS balance, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS segment, o_orderkey FROM orders
+), changes AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY batch, id ORDER BY o_orderkey) = 1
+), judged AS (
+    SELECT c.*, CASE WHEN b.id IS NULL THEN 'unknown' WHEN b.batch = c.batch THEN 'repeated' WHEN b.version <> c.seen THEN 'stale' WHEN row_number() OVER (PARTITION BY c.id, b.version = c.seen AND b.batch IS DISTINCT FROM c.batch ORDER BY c.batch) = 1 THEN 'applied' ELSE 'stale' END AS outcome
+    FROM changes c LEFT JOIN base b ON b.id = c.id
+)"""
+
+
+def _optimistic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 3).alias("version"), F.when(F.col("c_custkey") % 50 == 0, "b1").alias("batch"))
+    n = F.col("o_orderkey")
+    told = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("b"), (1 + n % 3).cast("string")).alias("batch"), (F.col("o_custkey") + F.when(n % 20 == 0, 1_000_000).otherwise(0)).alias("id"), (n % 4).alias("seen"),
+        F.col("o_totalprice").alias("balance"), F.when(n % 7 == 0, F.col("o_orderpriority")).alias("segment"), n,
+    )
+    return merge.applied_if_unchanged(base, first_per_key(told, ["batch", "id"], n).drop("o_orderkey"), "id", ["balance", "segment"])
+
+
+@query("M14_optimistic_rows", OPTIMISTIC_SQL + """ SELECT b.id, coalesce(j.balance, b.balance) AS balance, coalesce(j.segment, b.segment) AS segment, b.version + CASE WHEN j.id IS NULL THEN 0 ELSE 1 END AS version, coalesce(j.batch, b.batch) AS batch
+    FROM base b LEFT JOIN (SELECT * FROM judged WHERE outcome = 'applied') j ON j.id = b.id""")
+def optimistic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _optimistic(spark, sf_dir)[0]
+
+
+@query("M14_optimistic_outcomes", OPTIMISTIC_SQL + " SELECT batch, id, outcome FROM judged")
+def optimistic_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _optimistic(spark, sf_dir)[1]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from civicmill.functions.text import fold
+
 
 #: Control characters of ISO-8859-1 that are letters and signs in windows-1252, which Spark's reader doesn't take.
 WINDOWS = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
@@ -55,3 +58,62 @@ def read_seeds(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Curated seeds, pretty-printed JSON of one object or a list of them a file; files that are none are left out."""
     rows = spark.read.schema(f"{schema}, _bad string").json(path, multiLine=True, columnNameOfCorruptRecord="_bad")
     return rows.where("_bad IS NULL").drop("_bad")
+
+
+#: What heads the columns of a table of grants by commune.
+GRANTS = {
+    "forfaitaire": ("dotation forfaitaire", "dot forfaitaire"), "dsr": ("solidarite rurale", "dsr"), "dsu": ("solidarite urbaine", "dsu"),
+    "dnp": ("nationale de perequation", "dnp"), "total": ("dotation globale de fonctionnement", "montant dgf", "total dgf", "dgf totale"),
+}
+
+
+def _heading(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(fold(text)), r"\s+", " "))
+
+
+def french_number(text: Column) -> Column:
+    """A number with blanks between thousands and a comma or point; null for a dash, a blank or anything else."""
+    return F.replace(F.regexp_replace(text, r"[\s\x{00A0}\x{202F}€]", ""), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def read_grants(spark: SparkSession, path: str, components: dict[str, tuple[str, ...]] = GRANTS, first_lines: int = 15) -> DataFrame:
+    """(path, line, insee, name, one column a component) of tables of communes, whatever stands above them and however columns are called.
+
+    Files are CSV with semicolons or commas, whichever their start holds more of. The head is the first of the first lines
+    that are not blank to speak of an INSEE code, or of commune and département; else the first line. Columns are known by
+    words in their headings, the first that fits; the code of a commune is put together from those of its département and
+    its own where it is not given. Each file is one row while its head is found, as its lines only mean something together;
+    cells that hold line ends are not read.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    start = F.substring("value", 1, 4096)
+    comma = F.regexp_count(start, F.lit(",")) > F.regexp_count(start, F.lit(";"))
+    quoted = lambda sep: F.split("line", f'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    lines = files.select("path", comma.alias("comma"), F.posexplode(F.split("value", r"\r?\n")).alias("line_number", "line"))
+    cells = F.transform(F.when(F.col("comma"), quoted(",")).otherwise(quoted(";")), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
+    rows = lines.select("path", (F.col("line_number") + 1).alias("line"), cells.alias("cells")).where(F.exists("cells", lambda c: F.trim(c) != ""))
+
+    told = F.array_join(F.transform("cells", _heading), " ")
+    speaks = F.contains(told, F.lit("insee")) | (F.contains(told, F.lit("commune")) & F.contains(told, F.lit("departement"))) | F.contains(told, F.lit("code commune"))
+    by_line = Window.partitionBy("path").orderBy("line")
+    ranked = rows.withColumn("nth", F.row_number().over(by_line)).where(F.col("nth") <= first_lines)
+    heads = ranked.groupBy("path").agg(F.coalesce(F.min_by(F.when(speaks, F.struct("line", "cells")), F.when(speaks, F.col("line"))), F.min_by(F.struct("line", "cells"), "line")).alias("head"))
+
+    names = F.transform("head.cells", _heading)
+    at = lambda fits: F.array_position(F.transform(names, fits), True)  # noqa: E731  0 for none
+    holds = lambda *words: lambda n: reduce(lambda a, b: a | b, [F.contains(n, F.lit(w)) for w in words])
+    places = {
+        "_insee": at(holds("insee")), "_dep": at(lambda n: holds("departement")(n) | n.isin("dep", "code dep")),
+        "_com": at(lambda n: holds("code commune", "code com")(n) | (n == "com")), "_name": at(lambda n: holds("nom commune")(n) | n.isin("commune", "libelle", "nom")),
+    } | {f"_{c}": at(holds(*words)) for c, words in components.items()}
+    mapped = heads.select("path", F.col("head.line").alias("_head"), *[p.cast("int").alias(c) for c, p in places.items()])
+    body = rows.join(mapped, "path").where(F.col("line") > F.col("_head"))
+    cell = lambda c: F.when(F.col(c) > 0, F.get("cells", F.col(c) - 1))
+    whole = lambda c: F.get(F.split(F.trim(cell(c)), r"\."), F.lit(0))
+    dep, com = F.lpad(F.trim(cell("_dep")), 2, "0"), F.lpad(whole("_com"), 3, "0")
+    long = F.greatest(F.lit(5), F.length(whole("_insee")))
+    given = F.when(whole("_insee").rlike(r"^\d+$"), F.lpad(whole("_insee"), long, F.lit("0"))).otherwise(F.nullif(whole("_insee"), F.lit("")))
+    made = F.when(dep.rlike(r"^\d+$") & com.rlike(r"^\d+$"), F.substring(F.concat(dep, com), 1, 5))
+    insee = F.when(F.col("_insee") > 0, given).otherwise(made)
+    found = body.select("path", "line", insee.alias("insee"), F.trim(cell("_name")).alias("name"), *[french_number(cell(f"_{c}")).alias(c) for c in components])
+    return found.where("insee IS NOT NULL")
