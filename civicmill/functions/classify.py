@@ -148,3 +148,25 @@ def valid_correction(kind: str, value: Column) -> Column:
     if kind == "url":
         return F.when(value.rlike(r"^https?://[^\s]+$"), value)
     raise ValueError(f"no such kind of correction: {kind}")
+
+
+#: Fixed value: how a filter names the rows that have no value.
+NO_VALUE = "non-classe"
+
+
+def or_default(value: Column, default: str) -> Column:
+    """A status that is not told is the usual one."""
+    return F.coalesce(value, F.lit(default))
+
+
+def in_buckets(value: Column, wanted: tuple[str, ...]) -> Column:
+    """Whether a value is one of those wanted, where the bucket of no value is one of them by its name."""
+    named = [w for w in wanted if w != NO_VALUE]
+    hit = value.isin(*named) if named else F.lit(False)
+    return F.coalesce(hit, F.lit(False)) | (value.isNull() if NO_VALUE in wanted else F.lit(False))
+
+
+def period(date: Column, date_end: Column, as_of: Column) -> Column:
+    """"past" if an event ended before that day, by its end, else its date; "current" if not; null without dates."""
+    last = F.coalesce(date_end, date)
+    return F.when(last < as_of, "past").when(last >= as_of, "current")

@@ -56,3 +56,15 @@ def coordinates_kept(quality: Column, kind: Column) -> Column:
     """Whether coordinates stay in the public record."""
     hidden = quality.isin("hidden_person", "hidden_home")
     return ~hidden & ((quality != "approx_center") | kind.isin("place", "service"))
+
+
+#: What is asked, in this order, and the score that an answer needs; of the second service it must be above.
+GEOCODING = (("ign", "housenumber", 0.5, True), ("ign", "locality", 0.4, True), ("ign", "free", 0.35, True), ("ban", "address", 0.5, False), ("ban", "commune", 0.4, False))
+
+
+def accepted_step(service: Column, kind: Column, score: Column) -> Column:
+    """The step at which an answer is taken, from 0; null if it isn't good enough."""
+    step = F.lit(None).cast("int")
+    for k, (s, asked, least, equal) in reversed(list(enumerate(GEOCODING))):
+        step = F.when((service == s) & (kind == asked) & ((score >= least) if equal else (score > least)), F.lit(k)).otherwise(step)
+    return step

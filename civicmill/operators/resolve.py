@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicmill.functions.jsons import fingerprint
+from civicmill.functions.places import accepted_step
 from civicmill.functions.text import fold, normalise
 from civicmill.operators.windows import first_per_key
 from civicmill.sources.tables import checkpointed
@@ -212,3 +213,27 @@ def _earliest(names: DataFrame, older: DataFrame, registered: DataFrame | None =
     waits = older.join(undecided.withColumnRenamed("first", "before"), "before", "left_semi").select("first")
     joins = undecided.join(waits, "first", "left_anti")
     return checkpointed(joins if known is None else known.union(joins)), undecided
+
+
+def geocoded(places: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """``places`` (key, address) with lat, lng, score, source and step of the first step of the cascade that gave a good answer.
+
+    ``answers``: (key, service, kind, rank, lat, lng, score); a step looks at a service's first answer (rank 1) only. A place
+    without an address is not asked about; one without a good answer stays without coordinates.
+    """
+    step = accepted_step(F.col("service"), F.col("kind"), F.col("score"))
+    good = answers.where((F.col("rank") == 1) & F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn("step", step).where("step IS NOT NULL")
+    best = good.groupBy(key).agg(F.min_by(F.struct("lat", "lng", "score", F.col("service").alias("source"), "step"), F.struct("step", -F.col("score"))).alias("best"))
+    rows = places.join(best, key, "left")
+    told = F.coalesce(F.trim("address") != "", F.lit(False))
+    return rows.select(*places.columns, *[F.when(told, F.col(f"best.{c}")).alias(c) for c in ("lat", "lng", "score", "source", "step")])
+
+
+def mandates_to_record(register: DataFrame, relations: DataFrame) -> DataFrame:
+    """(person_id, relation_type, since, finding) of the register's mandates: to insert where the person has none of the kind
+    that is open, divergent where the open one began on another day; those that agree are left out."""
+    active = relations.where("until IS NULL").groupBy("person_id", "relation_type").agg(F.collect_set(F.coalesce("since", F.lit(""))).alias("starts"))
+    told = register.join(active, ["person_id", "relation_type"], "left")
+    agrees = F.array_contains("starts", F.coalesce("since", F.lit("")))
+    finding = F.when(F.col("starts").isNull(), "insert").when(~agrees, "divergent")
+    return told.withColumn("finding", finding).where("finding IS NOT NULL").select("person_id", "relation_type", "since", "finding")
