@@ -148,9 +148,9 @@ def covering_pairs(names: DataFrame, pool: DataFrame, key_l: str, key_r: str, le
     own = names.select(key_l, F.col("tokens").alias("_own"), F.explode("tokens").alias("token")).join(counts, "token", "left")
     rank = F.row_number().over(Window.partitionBy(key_l).orderBy(F.coalesce("_df", F.lit(0)), "token"))
     probes = own.withColumn("_rank", rank).where((F.col("_rank") <= F.size("_own") + 1 - F.ceil(F.size("_own") * F.lit(least) - 1e-9)) & F.col("_df").isNotNull())
-    met = probes.select(key_l, "_own", "token").join(held, "token").dropDuplicates([key_l, key_r])
+    met = probes.select(key_l, "_own", "token").join(held, "token")
     shared = met.select(key_l, key_r, F.size(F.array_intersect("_own", "_there")).alias("shared"), F.size("_own").alias("n_left"), F.size("_there").alias("n_right"))
-    return shared.where(F.col("shared") >= F.col("n_left") * F.lit(least) - 1e-9)
+    return shared.where(F.col("shared") >= F.col("n_left") * F.lit(least) - 1e-9).dropDuplicates([key_l, key_r])  # few are left to shuffle
 
 
 def _best_first(older: Column, *more: Column) -> list[Column]:

@@ -18,7 +18,11 @@ from civicmill.sources.tables import table
 
 
 def picked(values: list[Column | str], n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (1 + F.pmod(n, F.lit(len(values)))).cast("int"))
+    """One of ``values`` by ``n``; the others are not computed."""
+    at, out = F.pmod(n, F.lit(len(values))), F.lit(None).cast("string")
+    for k, v in reversed(list(enumerate(values))):
+        out = F.when(at == k, F.lit(v) if isinstance(v, str) else v).otherwise(out)
+    return out
 
 
 def with_minutes(documents: DataFrame) -> DataFrame:
