@@ -144,7 +144,7 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("T03_subsidies", """WITH f AS (SELECT year(o_orderdate) AS year, o_orderkey, c_mktsegment || CASE WHEN o_orderkey % 2 = 0 THEN '.' ELSE '' END AS raw, CAST(o_totalprice AS BIGINT) AS amount FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P')
     SELECT CAST(year AS INTEGER) AS year, rtrim(raw, '.') AS beneficiary, amount, o_orderkey FROM f WHERE amount BETWEEN 1 AND 200000 QUALIFY row_number() OVER (PARTITION BY year, lower(rtrim(raw, '.')) ORDER BY o_orderkey) = 1""")
 def subsidies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = F.regexp_replace(F.format_number(F.round("o_totalprice"), 0), ",", " ")
+    sums = F.regexp_replace(F.format_number(F.bround("o_totalprice"), 0), ",", " ")
     name = F.concat(F.col("c_mktsegment"), F.when(F.col("o_orderkey") % 2 == 0, ".").otherwise(""))
     wording = F.concat(F.lit("Le conseil décide d'attribuer à la "), name, F.lit(" une subvention exceptionnelle de "), sums, F.lit(" € et de l'inscrire au budget."))
     acts = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
