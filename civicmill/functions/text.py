@@ -16,12 +16,13 @@ def fold(text: Column) -> Column:
     out = F.translate(text, ACCENTED, FOLDED)
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"\p{Mn}", "")
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(out, r"\p{Mn}", ""))
 
 
-def normalise(text: Column, keep: str = "", case: str = "lower", separator: str = " ") -> Column:
-    """One parametrised form of a name: folded, cased, and everything but letters, digits and ``keep`` made a separator."""
-    cased = F.lower(fold(text)) if case == "lower" else F.upper(fold(text))
+def normalise(text: Column, keep: str = "", case: str = "lower", separator: str = " ", folded: bool = False) -> Column:
+    """One parametrised form of a name: folded (unless it is), cased, and everything but letters, digits and ``keep`` made a separator."""
+    plain = text if folded else fold(text)
+    cased = F.lower(plain) if case == "lower" else F.upper(plain)
     squeezed = F.regexp_replace(cased, rf"[^a-zA-Z0-9{keep}]+", separator)
     return F.trim(squeezed) if separator == " " else squeezed
 
