@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented letters and what they fold to; ligatures open into two letters.
@@ -11,8 +13,18 @@ FOLDED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 LIGATURES = {"Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae"}
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it: an array of one, transformed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that filters above it don't compute again: an exploded array of one keeps them from being pushed below."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def fold(text: Column) -> Column:
-    """Accents dropped, composed or combining; ligatures opened."""
+    """Accents dropped, composed or combining; ligatures opened. A text of as many bytes as letters has none."""
     out = F.translate(text, ACCENTED, FOLDED)
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -202,14 +214,19 @@ def flow_label(text: Column, actor: Column, amount_shown: Column) -> Column:
     with the name and goes on in brackets keeps the brackets. Null is blank.
     """
     out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    target = _compared(actor)
-    tokens = lambda c: F.filter(F.split(F.replace(_compared(c), F.lit("'"), F.lit(" ")), r"\s+"), lambda w: F.length(w) >= 2)
-    own = tokens(actor)
-    for dash in (" — ", " – ", " - "):
-        parts = F.split(out, dash)
-        says = lambda p: (_compared(p) != target) & ~((F.size(tokens(p)) > 0) & (F.size(F.array_except(tokens(p), own)) == 0))
-        rest = lambda p: F.trim(F.substr(F.trim(p), F.length(actor) + 1))
-        told = F.transform(F.filter(parts, says), lambda p: F.when(_compared(p).startswith(F.concat(target, F.lit(" "))) & rest(p).startswith("("), rest(p)).otherwise(p))  # noqa: B023
-        out = F.when((F.coalesce(actor, F.lit("")) != "") & (F.size(parts) > 1) & (F.size(told) > 0), F.array_join(told, dash)).otherwise(out)
+    tokens = lambda compared: F.filter(F.split(F.replace(compared, F.lit("'"), F.lit(" ")), r"\s+"), lambda w: F.length(w) >= 2)
+    rest = lambda p: F.trim(F.substr(F.trim(p), F.length(actor) + 1))
+
+    def without_actor(label: Column, target: Column, own: Column, dash: str) -> Column:
+        says = lambda p: bound(_compared(p), lambda c: (c != target) & ~bound(tokens(c), lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, own)) == 0)))
+        kept = lambda p: F.when(rest(p).startswith("(") & _compared(p).startswith(F.concat(target, F.lit(" "))), rest(p)).otherwise(p)
+        told = lambda parts: bound(F.transform(F.filter(parts, says), kept), lambda t: F.when(F.size(t) > 0, F.array_join(t, dash)).otherwise(label))
+        return bound(F.split(label, dash), lambda parts: F.when(F.size(parts) > 1, told(parts)).otherwise(label))
+
+    def without(label: Column, target: Column, own: Column, dashes: tuple[str, ...]) -> Column:
+        return bound(without_actor(label, target, own, dashes[0]), lambda rest: without(rest, target, own, dashes[1:])) if dashes else label
+
+    named = bound(_compared(actor), lambda target: bound(tokens(target), lambda own: bound(out, lambda label: without(label, target, own, (" — ", " – ", " - ")))))
+    out = F.when(F.coalesce(actor, F.lit("")) != "", named).otherwise(out)
     out = F.when(amount_shown.isNotNull(), F.regexp_replace(out, r"\s*[—–-]\s*[\d \x{00A0}\x{202F}]+(?:[.,]\d+)?\s*€\s*$", "")).otherwise(out)
     return F.regexp_replace(out, "^[ —–-]+|[ —–-]+$", "")
