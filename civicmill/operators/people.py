@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicmill.functions.text import fold, plausible_name
+from civicmill.functions.text import fold, once, plausible_name
 
 #: Roles as texts word them, longer ones before those they open with, and the relation each stands for.
 ROLES = {
@@ -119,8 +119,7 @@ def committees(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     empty = F.array().cast("array<struct<name string, note string>>")
 
-    def parsed(raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    def parsed(line: Column) -> Column:
         leads, members = line.rlike(LEADS), line.rlike(MEMBERS)
         kind = F.when((line == "") | line.rlike(PAGE_NUMBER), "blank").when(line.rlike(SPEECH), "speech").when(leads, "lead").when(members, "member").otherwise("other")
         names = F.when(leads, listed_names(F.regexp_extract(line, LEADS, 1))).when(members, listed_names(F.regexp_extract(line, MEMBERS, 1))).when(F.length(line) <= 2000, listed_names(line)).otherwise(empty)
@@ -159,6 +158,7 @@ def committees(texts: DataFrame, key: str, text: str) -> DataFrame:
         }
         return F.struct(*[F.when(still, s[name]).otherwise(value).alias(name) for name, value in fields.items()])
 
-    lines = F.transform(F.split(rejoined(F.col(text)), r"\r?\n"), parsed)
-    read = texts.where(F.col(text).isNotNull()).select(key, lines.alias("lines")).select(key, F.aggregate("lines", start, step)["found"].alias("found"))
+    bare = F.transform(F.split(rejoined(F.col(text)), r"\r?\n"), lambda raw: F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    lines = F.transform(bare, parsed)
+    read = once(texts, text, F.col(text)).where(F.col(text).isNotNull()).select(key, lines.alias("lines")).select(key, F.aggregate("lines", start, step)["found"].alias("found"))
     return read.select(key, F.inline("found")).where("committee <> ''")
