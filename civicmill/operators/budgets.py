@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicmill.functions.text import fold
+from civicmill.functions.text import bound, fold, once
 from civicmill.operators.windows import first_per_key
 
 #: The head of a budget table, what names section and budget before it, and columns that may follow it.
@@ -54,15 +54,15 @@ def last_amount(tail: Column, most: int = 3) -> Column:
 
     The number of the next line's chapter is no sum: sums have decimals or are a thousand at least.
     """
-    value = F.lit(None).cast("double")
-    rest, going = tail, F.lit(True)
-    for _ in range(most):
-        raw = F.regexp_extract(rest, rf"^[ \t\n\r|:]*({AMOUNT})", 1)
-        number = F.replace(F.regexp_replace(raw, r"[\s\x{00A0}\x{202F}]", ""), F.lit(","), F.lit(".")).try_cast("double")
-        going = going & F.coalesce((raw != "") & (raw.rlike(r"[.,]\d{1,2}$") | (F.abs(number) >= 1000)), F.lit(False))
-        value = F.when(going, number).otherwise(value)
-        rest = F.regexp_replace(rest, rf"^[ \t\n\r|:]*{AMOUNT}", "")
-    return value
+    number = lambda raw: F.replace(F.regexp_replace(raw, r"[\s\x{00A0}\x{202F}]", ""), F.lit(","), F.lit(".")).try_cast("double")
+    sums = lambda raw, value: (raw != "") & (raw.rlike(r"[.,]\d{1,2}$") | (F.abs(value) >= 1000))
+
+    def read(rest: Column, before: Column, left: int) -> Column:
+        after = lambda value: bound(F.regexp_replace(rest, rf"^[ \t\n\r|:]*{AMOUNT}", ""), lambda r: read(r, value, left - 1)) if left > 1 else value
+        told = lambda raw: bound(number(raw), lambda value: F.when(sums(raw, value), after(value)).otherwise(before))
+        return bound(F.regexp_extract(rest, rf"^[ \t\n\r|:]*({AMOUNT})", 1), lambda raw: F.when(raw == "", before).otherwise(told(raw)))
+
+    return bound(tail, lambda t: read(t, F.lit(None).cast("double"), most))
 
 
 def _found(body: Column, label: str) -> Column:
@@ -80,7 +80,7 @@ def budget_tables(acts: DataFrame, key: str, title: str, text: str) -> DataFrame
     so the last sum of a line counts. ``verdict`` is "lu", or why a table is refused: another column follows the voted one
     (colonne_incertaine), no line was read (sans_montant), or nothing names the budget (budget_indetermine).
     """
-    whole = acts.select(key, F.concat(plain(F.col(title)), F.lit(" "), plain(F.col(text))).alias("whole")).where(F.col("whole").rlike(HEAD))
+    whole = once(acts, "whole", F.concat(plain(F.col(title)), F.lit(" "), plain(F.col(text)))).select(key, "whole").where(F.col("whole").rlike(HEAD))
     cut = whole.select(key, F.split("whole", HEAD).alias("pieces"), *[F.regexp_extract_all("whole", F.lit(HEAD), F.lit(g)).alias(n) for g, n in ((0, "heads"), (2, "years"))])
     stretches = F.transform("heads", lambda h, i: F.concat(F.get("pieces", i), h))
     tables = cut.select(key, "pieces", "years", stretches.alias("stretches"), F.explode(F.sequence(F.lit(0), F.size("heads") - 1)).alias("nth"))
