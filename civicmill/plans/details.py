@@ -110,9 +110,10 @@ def top_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, trim(regexp_replace(upper(replace(f, 'ß', 'SS')), '[^a-zA-Z0-9]+', ' ', 'g')) AS upper_form, regexp_replace(lower(f), '[^a-zA-Z0-9]+', '', 'g') AS tight, trim(regexp_replace(lower(f), '[^a-zA-Z0-9''-]+', ' ', 'g')) AS hyphened, coalesce(regexp_matches(text, '\\p{{L}}'), FALSE) AS lettered FROM t JOIN documents USING (doc_id)""")
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forms that collectors compare names by."""
-    name = F.col("text")
-    forms = (text.normalise(name, case="upper").alias("upper_form"), text.normalise(name, separator="").alias("tight"), text.normalise(name, keep="'-").alias("hyphened"), text.has_letter(name).alias("lettered"))
-    return table(spark, sf_dir, "documents").select("doc_id", *forms)
+    name, folded = F.col("text"), F.col("folded")
+    form = lambda **how: text.normalise(folded, folded=True, **how)
+    forms = (form(case="upper").alias("upper_form"), form(separator="").alias("tight"), form(keep="'-").alias("hyphened"), text.has_letter(name).alias("lettered"))
+    return text.once(table(spark, sf_dir, "documents"), "folded", text.fold(name)).select("doc_id", *forms)
 
 
 @query("F34_geocoded", """WITH a AS (
