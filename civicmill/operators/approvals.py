@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicmill.functions.text import bound, once
 from civicmill.operators.windows import best_of_near_repeats
 
 #: How minutes vote a plan, and titles that name no operation.
@@ -13,7 +14,7 @@ AMOUNT = r"(?i)(\d[\d \x{00A0}\x{202F}]{2,}(?:[.,]\d{1,2})?)\s*€?\s*(HT|TTC)"
 GENERIC = r"(?iu)^(PV du CM|CM du|Conseil municipal|Conseil communautaire|D[ée]lib[ée]rations? du|Proc[èe]s[- ]verbal|Compte[- ]rendu|S[ée]ance)"
 SPEECH = r"(?i)^(?:M\.|Mme|Mlle|Monsieur|Madame)\s+\S+\s*:"
 #: An acronym of a syndicate, or the word; a surname in capitals looks alike but follows a civility.
-OWNER = r"(?<![\p{L}\p{N}_])(?<!(?:M\.|Mme|Mlle|Monsieur|Madame)\s{0,9})(?:S[A-Z]{2,5}(?![\p{L}\p{N}_])|[sS][yY][nN][dD][iI][cC][aA][tT](?:\s+[\p{L}\p{N}_'’-]+){1,4})"
+OWNER = r"(?=[sS])(?<![\p{L}\p{N}_])(?<!(?:M\.|Mme|Mlle|Monsieur|Madame)\s{0,9})(?:S[A-Z]{2,5}(?![\p{L}\p{N}_])|[sS][yY][nN][dD][iI][cC][aA][tT](?:\s+[\p{L}\p{N}_'’-]+){1,4})"
 QUALIFIERS = ("mixte", "intercommunal", "intercommunale", "departemental", "departementale", "départemental", "départementale", "communal", "communale")
 PREPOSITIONS = ("de", "du", "des", "d'", "d’", "la", "le", "les", "l'", "l’")
 LEAST, MOST, SHORT_TITLE, NEAR_DAYS = 500.0, 20_000_000.0, 25, 200
@@ -28,7 +29,6 @@ def sentences(text: Column) -> Column:
 
 def owner(text: Column) -> Column:
     """The first syndicate that a text names, cut where its name ends; null if none."""
-    words = F.split(F.get(F.regexp_extract_all(text, F.lit(OWNER), F.lit(0)), F.lit(0)), r"\s+")
     bare = lambda w: F.regexp_replace(F.lower(w), "[.,;:]+$", "")
 
     def step(s: Column, w: Column) -> Column:
@@ -37,10 +37,16 @@ def owner(text: Column) -> Column:
         goes = s["on"] & fits
         return F.struct(goes.alias("on"), F.when(goes, bare(w).isin(*PREPOSITIONS) | glued).otherwise(s["after"]).alias("after"), F.when(goes, F.concat(s["kept"], F.array(w))).otherwise(s["kept"]).alias("kept"))
 
-    start = F.struct(F.lit(True).alias("on"), F.lit(False).alias("after"), F.slice(words, 1, 1).alias("kept"))
-    kept = F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), start, step)["kept"]
-    full = F.array_max(F.transform(kept, lambda w, i: F.when(~bare(w).isin(*PREPOSITIONS), i)))
-    return F.array_join(F.slice(kept, F.lit(1), full + 1), " ")
+    def kept(words: Column) -> Column:
+        start = F.struct(F.lit(True).alias("on"), F.lit(False).alias("after"), F.slice(words, 1, 1).alias("kept"))
+        return F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), start, step)["kept"]
+
+    def ended(words: Column) -> Column:
+        full = F.array_max(F.transform(words, lambda w, i: F.when(~bare(w).isin(*PREPOSITIONS), i)))
+        return F.array_join(F.slice(words, F.lit(1), full + 1), " ")
+
+    words = F.split(F.get(F.regexp_extract_all(text, F.lit(OWNER), F.lit(0)), F.lit(0)), r"\s+")
+    return bound(words, lambda w: bound(kept(w), ended))
 
 
 def approvals(acts: DataFrame, key: str, date: str, title: str, text: str) -> DataFrame:
@@ -49,12 +55,12 @@ def approvals(acts: DataFrame, key: str, date: str, title: str, text: str) -> Da
     Amounts without and with tax are paired from one sentence, the first of each. The object is the act's title if it
     names the operation, the title and the sentence if it is short or generic, and the sentence if it is a speech.
     """
-    rows = acts.where(F.col(text).isNotNull()).select(key, date, title, F.posexplode(sentences(F.col(text))).alias("at", "quote")).where(F.col("quote").rlike(VOTED))
+    rows = once(acts, text, F.col(text)).where(F.col(text).isNotNull()).select(key, date, title, F.posexplode(sentences(F.col(text))).alias("at", "quote")).where(F.col("quote").rlike(VOTED))
     raw, base = (F.regexp_extract_all("quote", F.lit(AMOUNT), F.lit(g)) for g in (1, 2))
     number = lambda r: F.replace(F.regexp_replace(r, r"[ \x{00A0}\x{202F}]", ""), F.lit(","), F.lit(".")).try_cast("double")
     pairs = F.filter(F.zip_with(raw, base, lambda r, b: F.struct(F.upper(b).alias("base"), number(r).alias("value"))), lambda p: p["value"].between(LEAST, MOST))
     first = lambda kind: F.get(F.filter("pairs", lambda p: p["base"] == kind), F.lit(0))["value"]
-    rows = rows.withColumn("pairs", pairs).where(F.size("pairs") > 0)
+    rows = once(rows, "pairs", pairs).where(F.size("pairs") > 0)
     said = F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s+|\s+$", "")
     useful = F.when(said.rlike(SPEECH), "").otherwise(said)
     vague = (useful != "") & ((F.length(useful) < SHORT_TITLE) | useful.rlike(GENERIC))
