@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +97,24 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[  ]+", " "), r"\s*\n\s*", "\n"))
 
 
-def _chunked(batches: Iterator[pd.DataFrame], key: str, size: int, overlap: int) -> Iterator[pd.DataFrame]:
+#: Letters that a task holds of slices before it gives them out.
+HELD = 4_000_000
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], key: str, size: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, given out whenever ``HELD`` letters are together: a text at a time is a Python object."""
     for batch in batches:
-        rows = []
+        kind = pa.schema([(key, batch.schema.field(key).type), ("n", pa.int32()), ("start", pa.int32()), ("chunk", pa.string())])
+        rows, held = [], 0
         for k, text in zip(batch[key], batch["text"], strict=True):
-            rows += [(k, n, begin, part) for n, (begin, part) in enumerate(chunks(text or "", size, overlap))]
-        yield pd.DataFrame(rows, columns=[key, "n", "start", "chunk"])
+            for n, (begin, part) in enumerate(chunks(text.as_py() or "", size, overlap)):
+                rows.append((k.as_py(), n, begin, part))
+                held += len(part)
+                if held >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
 
 def chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
@@ -122,7 +134,7 @@ def chunked(docs: DataFrame, key: str, text: str, size: int = 10_000, overlap: i
     """(key, n, start, chunk): where a slice ends depends on the one before, so this is an Arrow function per row."""
     rows = docs.select(key, F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(lambda batches: _chunked(batches, key, size, overlap), f"{key} {kind}, n int, start int, chunk string")
+    return rows.mapInArrow(lambda batches: _chunked(batches, key, size, overlap), f"{key} {kind}, n int, start int, chunk string")
 
 
 def cited(text: Column, quote: Column, shortest: int = 15) -> Column:
