@@ -88,21 +88,36 @@ def roman(digits: Column) -> Column:
 
 
 def _list_heads(body: DataFrame, key: str) -> DataFrame:
-    """(key, at) of the longest run of ordinals that go up by one, the last of equally long ones, if it is a list of acts."""
-    number = F.when(F.col("line").rlike(ARABIC), F.regexp_extract("line", ARABIC, 1).cast("int")).when(F.col("line").rlike(ROMAN), roman(F.regexp_extract("line", ROMAN, 1)))
-    marks = body.withColumns({"value": number, "kind": F.when(F.col("line").rlike(ARABIC), 0).otherwise(1)}).where("value IS NOT NULL")
-    item = F.trim(F.when(F.col("kind") == 0, F.regexp_extract("line", ARABIC, 2)).otherwise(F.regexp_extract("line", ROMAN, 2)))
-    within = Window.partitionBy(key, "kind").orderBy("at")
-    breaks = F.coalesce((F.col("value") != F.lag("value").over(within) + 1).cast("int"), F.lit(1))
-    runs = marks.withColumn("break", breaks).withColumn("run", F.sum("break").over(within))
-    gap = F.lead("nth").over(Window.partitionBy(key, "kind", "run").orderBy("at")) - F.col("nth")
-    summed = runs.withColumns({"gap": gap, "person": item.rlike(PERSON).cast("int")}).groupBy(key, "kind", "run").agg(
-        F.count("*").alias("n"), F.min("nth").alias("first"), F.max("total").alias("total"), F.sum("person").alias("persons"), F.array_sort(F.collect_list("gap")).alias("gaps")
-    )
-    best = summed.groupBy(key).agg(F.max_by(F.struct("kind", "run", "n", "first", "total", "persons", "gaps"), F.struct("n", -F.col("kind"), "run")).alias("b")).select(key, "b.*")
-    close = F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")) <= CLOSE
-    lists = best.where((F.col("n") >= LEAST_RUN) & (F.col("persons") * 2 < F.col("n")) & (~close | (F.col("first") <= F.col("total") * OPENING)))
-    return runs.join(lists.select(key, "kind", "run"), [key, "kind", "run"], "left_semi").select(key, "at")
+    """``body`` and ``opens``: whether a line is in the longest run of ordinals that go up by one, the last of equally long ones, if that is a list of acts.
+
+    Arabic and Roman ordinals (``kind``) make runs of their own. What a run sums up is told by running figures, less what
+    they were where the run began, so one order of the lines serves all of it.
+    """
+    over, whole = Window.partitionBy(key).orderBy("at"), Window.partitionBy(key)
+    before, upto = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(Window.unboundedPreceding, 0)
+    kind, value, breaks = F.col("kind"), F.col("value"), F.col("breaks") == 1
+    own = lambda f: F.when(kind == 0, f(0)).when(kind == 1, f(1))  # noqa: E731  the figure of the line's own kind
+    latest = lambda c, test, window: own(lambda k: F.last(F.when((kind == k) & test, c), ignorenulls=True).over(window))
+    tally = lambda c: own(lambda k: F.sum(F.when(kind == k, c)).over(upto))
+
+    marks = body.withColumn("kind", F.when(F.col("line").rlike(ARABIC), 0).when(F.col("line").rlike(ROMAN), 1))
+    item = F.trim(F.when(kind == 0, F.regexp_extract("line", ARABIC, 2)).otherwise(F.regexp_extract("line", ROMAN, 2)))
+    number = F.when(kind == 0, F.regexp_extract("line", ARABIC, 1).cast("int")).when(kind == 1, roman(F.regexp_extract("line", ROMAN, 1)))
+    marks = marks.withColumns({"value": number, "person": F.when(kind.isNotNull(), item.rlike(PERSON).cast("int"))})
+    marks = marks.withColumn("previous", latest(F.struct("value", "nth"), kind.isNotNull(), before))
+    marks = marks.withColumn("breaks", F.when(kind.isNotNull(), F.coalesce((value != F.col("previous.value") + 1).cast("int"), F.lit(1))))
+    near = F.when(~breaks & (F.col("nth") - F.col("previous.nth") <= CLOSE), 1).otherwise(0)
+    marks = marks.withColumns({"run": tally(F.col("breaks")), "n": tally(F.lit(1)), "persons": tally(F.col("person")), "near": tally(near)})
+    begun = F.struct((F.col("n") - 1).alias("n"), (F.col("persons") - F.col("person")).alias("persons"), "near", F.col("nth").alias("first"))
+    marks = marks.withColumn("begun", latest(begun, breaks, upto))
+    since = [(F.col(c) - F.col(f"begun.{c}")).alias(c) for c in ("n", "persons", "near")]
+    run = F.struct(since[0], (-kind).alias("of"), "run", *since[1:], "begun.first")
+    marks = marks.withColumn("best", F.max(F.when(kind.isNotNull(), run)).over(whole))
+    n = F.col("best.n")
+    close = F.col("best.near") > F.floor((n - 1) / 2)  # so is the median of the n - 1 gaps
+    acts = (n >= LEAST_RUN) & (F.col("best.persons") * 2 < n) & (~close | (F.col("best.first") <= F.col("total") * OPENING))
+    opens = F.coalesce((kind == -F.col("best.of")) & (F.col("run") == F.col("best.run")) & acts, F.lit(False))
+    return marks.select(key, "at", "line", opens.alias("opens"))
 
 
 def _capitals(line: Column) -> Column:
@@ -128,15 +143,20 @@ def _titles(layout: Column, head: Column, body: Column) -> Column:
     return F.substring(named, 1, 255)
 
 
-def acts(minutes: DataFrame, key: str, text: str, paged: bool = True) -> DataFrame:
+def acts(minutes: DataFrame, key: str, text: str, paged: bool = True, parts: int | None = None) -> DataFrame:
     """(key, n, layout, session, number, title, text): the acts of each document, in order; none where no layout holds.
 
     ``paged`` tells documents with pages, whose running heads are no heads of acts, from web pages, where a repeated line
     is the head of a table. A title that names no act (a row of a table, a roll call, too short) shows a cut in the wrong
     place: its lines go back to the act before it. So every line from the first act on is in one act, once, but the lines
     that a layout leaves out: blank ones, running heads and what follows the end of a list.
+
+    Whole texts are shuffled once, into ``parts`` partitions (default: as the session has it); their lines, windows and
+    acts stay where the text is. The lines of a partition are sorted in memory, some ten times its text.
     """
-    lines = minutes.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
+    texts = minutes.where(F.col(text).isNotNull()).select(key, text)
+    texts = texts.repartition(parts, key) if parts else texts.repartition(key)
+    lines = texts.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
     body = _body(lines, key, paged)
     over = Window.partitionBy(key).orderBy("at")
 
@@ -153,17 +173,18 @@ def acts(minutes: DataFrame, key: str, text: str, paged: bool = True) -> DataFra
     either = lambda tests: reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
     marked = marked.withColumns({"opens": either([r == j for j, r in enumerate(ahead)]), "in_title": either([r >= j for j, r in enumerate(ahead)])})
 
-    three = marked.select(
-        key, "at", "line",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("layout"), F.col(opens).alias("opens"), F.col(inside).alias("head")) for i, (opens, inside) in enumerate((("numbered", "numbered"), ("opens", "in_title"), ("bullet", "bullet")))])).alias("as"),
-    ).select(key, "at", "line", "as.*")
-    listed = body.join(_list_heads(body, key).withColumn("opens", F.lit(True)), [key, "at"], "left").select(key, "at", "line", F.lit(3).alias("layout"), F.coalesce("opens", F.lit(False)).alias("opens")).withColumn("head", F.col("opens"))
-    capital = body.select(key, "at", "line", F.lit(4).alias("layout"), _capitals(F.col("line")).alias("opens")).withColumn("head", F.col("opens"))
+    upto = over.rowsBetween(Window.unboundedPreceding, 0)
+
+    def cut(rows: DataFrame, layouts: dict[int, tuple[str, str]]) -> DataFrame:
+        """Lines from the first act on, once for each layout that has one; ``layouts``: columns that tell what opens an act, and what is in its head."""
+        counted = rows.withColumns({f"act{i}": F.sum(F.col(opens).cast("int")).over(upto) for i, (opens, _) in layouts.items()})
+        each = [F.struct(F.lit(i).alias("layout"), F.col(f"act{i}").alias("act"), F.col(inside).alias("head")) for i, (_, inside) in layouts.items()]
+        return counted.select(key, "at", "line", F.inline(F.filter(F.array(*each), lambda e: e["act"] > 0)))
 
-    run = Window.partitionBy(key, "layout").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    cut = three.unionByName(listed).unionByName(capital).withColumn("act", F.sum(F.col("opens").cast("int")).over(run)).where("act > 0")
+    three = cut(marked, {0: ("numbered", "numbered"), 1: ("opens", "in_title"), 2: ("bullet", "bullet")})
+    two = cut(_list_heads(body, key).withColumn("capital", _capitals(F.col("line"))), {3: ("opens", "opens"), 4: ("capital", "capital")})
     part = lambda inside: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == inside, F.struct("at", "line")))), lambda r: r["line"]), "\n")
-    found = cut.groupBy(key, "layout", "act").agg(part(True).alias("head"), part(False).alias("body"))
+    found = three.unionByName(two).groupBy(key, "layout", "act").agg(part(True).alias("head"), part(False).alias("body"))
 
     layout, last = F.col("layout"), F.max("act").over(Window.partitionBy(key, "layout"))
     ended = F.regexp_replace(F.regexp_extract("body", rf"(?s)\A(.*?){LIST_CLOSES}", 1), r"\s+$", "")

@@ -14,7 +14,10 @@ from civicmill.operators import budgets
 from civicmill.operators import minutes as m
 from civicmill.operators import people
 from civicmill.plans.base import query
-from civicmill.sources.tables import table
+from civicmill.sources.tables import parts_of, table
+
+#: Bytes of text in a partition whose lines are sorted.
+TEXT_BYTES = 16 << 20
 
 
 def picked(values: list[Column | str], n: Column) -> Column:
@@ -58,7 +61,8 @@ def with_minutes(documents: DataFrame) -> DataFrame:
 
 @query("T08_acts")
 def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.acts(with_minutes(table(spark, sf_dir, "documents")), "doc_id", "text")
+    documents = table(spark, sf_dir, "documents")
+    return m.acts(with_minutes(documents), "doc_id", "text", parts=parts_of(documents, F.octet_length("text"), TEXT_BYTES))
 
 
 FIRST = ("Jean", "Marie-Claude", "Paul", "Élodie", "René", "Anne")

@@ -6,8 +6,11 @@ import re
 import statistics
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from civicmill.operators import minutes as m
 from civicmill.plans import extracts
+from civicmill.sources.tables import parts_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -198,3 +201,21 @@ def test_no_line_is_lost(spark):
     acts = rows_of(spark, [(1, text)])
     joined = "\n".join(a[6] for a in acts)
     assert len(acts) == 10 and all(joined.count(f"n° {4000 + i} :") == 1 for i in range(30) if i % 3) and all(joined.count(f"ligne {i}\n") + joined.endswith(f"ligne {i}") <= 1 for i in range(30))
+
+
+def test_texts_are_shuffled_once(spark):
+    made = spark.createDataFrame(list(enumerate(MADE)), "doc_id long, text string")
+    whole = sorted(tuple(r) for r in m.acts(made, "doc_id", "text").collect())
+    for parts in (3, 40):
+        df = m.acts(made, "doc_id", "text", parts=parts)
+        assert sorted(tuple(r) for r in df.collect()) == whole
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffles and all(f", {parts}), REPARTITION_BY_NUM" in line for line in shuffles) and len({re.search(r"plan_id=(\d+)", line)[1] for line in shuffles}) == 1, plan
+
+
+def test_parts_grow_with_the_texts(spark):
+    rows = spark.createDataFrame([(i, "é" * 500) for i in range(100)] + [(100, None)], "doc_id long, text string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts_of(rows, F.octet_length("text"), 1000) == 100
+    assert parts_of(rows, F.octet_length("text"), 10**9) == parts_of(rows.where("false"), F.octet_length("text"), 1000) == least
