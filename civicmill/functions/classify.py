@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civicmill.functions.text import fold, normalise
+from civicmill.functions.text import bound, fold, normalise
 
 #: How sources of each origin begin, as patterns over folded lower-case names.
 ATELIER = ("atelier",)
@@ -85,19 +85,20 @@ def declared_scope(name: Column, commune: Column, home: str, neighbours: tuple[s
 
     The council is known by its name, or by what follows the legal form in it, standing anywhere.
     """
-    at, called = plain_name(commune), plain_name(name)
     same = lambda c: plain_name(F.lit(c))
-    is_council = F.lit(False)
-    if council:
-        short = plain_name(F.regexp_replace(F.lit(council), f"(?i){COUNCIL_FORMS}", ""))
-        is_council = (called == same(council)) | ((short != "") & F.contains(called, short))
-    above = F.lit(False)
-    for mark in SUPRA:
-        above |= F.contains(called, F.concat(same(mark), F.lit(" " if mark.endswith(" ") else "")))
-    near = F.lit(False)
-    for c in neighbours:
-        near |= at == same(c)
-    return F.when(at == same(home), "C1").when(near | is_council, "C2").when(above, "C3").otherwise("hors")
+    short = plain_name(F.regexp_replace(F.lit(council), f"(?i){COUNCIL_FORMS}", ""))
+
+    def told(at: Column, called: Column) -> Column:
+        is_council = ((called == same(council)) | ((short != "") & F.contains(called, short))) if council else F.lit(False)
+        above = F.lit(False)
+        for mark in SUPRA:
+            above |= F.contains(called, F.concat(same(mark), F.lit(" " if mark.endswith(" ") else "")))
+        near = F.lit(False)
+        for c in neighbours:
+            near |= at == same(c)
+        return F.when(at == same(home), "C1").when(near | is_council, "C2").when(above, "C3").otherwise("hors")
+
+    return bound(F.struct(plain_name(commune).alias("at"), plain_name(name).alias("called")), lambda s: told(s["at"], s["called"]))
 
 
 def direction(from_id: Column, to_id: Column, pivot: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicmill.functions.text import once
 from civicmill.operators.edges import degrees, doubled, induced
 from civicmill.operators.publish import public_confidence
 
@@ -61,7 +62,7 @@ def classified_scopes(entities: DataFrame, relations: DataFrame, flows: DataFram
     entity inside, party to a money flow, or holder of a contract (holder_id) is a link. Links are found from the scopes
     before any was given, so they make no chain; authorities above (C3) stay what they are.
     """
-    first = entities.select("id", declared.alias("scope"))
+    first = once(entities, "scope", declared).select("id", "scope")
     joined = relations.where(F.col("relation_type").isin(*MEMBERSHIPS)).select(F.col("to_id").alias("id")).distinct().withColumn("joined", F.lit(True))
     outside = F.col("scope") == "hors"
     placed = first.join(joined, "id", "left").select("id", F.when(outside & F.col("joined"), "C2").otherwise(F.col("scope")).alias("scope"))
