@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicmill.sources.tables import placed
+
 LAYOUTS = ("numerote", "acte_final", "puces", "liste", "capitales")
 
 #: How minutes word the heads of acts.
@@ -154,8 +156,7 @@ def acts(minutes: DataFrame, key: str, text: str, paged: bool = True, parts: int
     Whole texts are shuffled once, into ``parts`` partitions (default: as the session has it); their lines, windows and
     acts stay where the text is. The lines of a partition are sorted in memory, some ten times its text.
     """
-    texts = minutes.where(F.col(text).isNotNull()).select(key, text)
-    texts = texts.repartition(parts, key) if parts else texts.repartition(key)
+    texts = placed(minutes.where(F.col(text).isNotNull()).select(key, text), key, parts)
     lines = texts.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
     body = _body(lines, key, paged)
     over = Window.partitionBy(key).orderBy("at")
