@@ -12,7 +12,7 @@ from civicmill.operators.civic_views import PRIVATE
 from civicmill.operators.publish import PUBLIC_ROLES
 from civicmill.plans.base import query
 from civicmill.sources.civic import CIVIC_SQL, civic
-from civicmill.sources.tables import table
+from civicmill.sources.tables import table, unsent
 
 
 @query("G01_ego_network", CIVIC_SQL + """, u AS (SELECT DISTINCT node, other FROM ends), d AS (SELECT node AS other, count(*) AS degree FROM ends GROUP BY 1),
@@ -213,6 +213,6 @@ def beneficiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 9 == 4, F.concat("name", F.lit(" nouveau club"))).when(n % 9 == 5, F.concat(F.lit("Amicale z"), _letters(n % 40), F.lit(" "), "p_name"))
         .when(n % 9 == 6, F.when(n % 4 == 0, " Les  Boulistes").otherwise("APE")).when(n % 9 == 7, F.concat(F.lit("l’"), "name")).when(n % 5 != 0, "de la")
     )
-    rows = table(spark, sf_dir, "orders").join(part.select("p_partkey", "p_name", body.alias("name")), F.col("o_custkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "orders").join(unsent(part.select("p_partkey", "p_name", body.alias("name"))), F.col("o_custkey") == F.col("p_partkey"))
     paid = entities.where("id % 5 = 0").select("id")
     return resolve.resolved_beneficiaries(rows.select(n.alias("mention_id"), told.alias("name")), entities, paid, ALIASES)
